@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from itertools import repeat
 
 import numpy as np
@@ -104,45 +105,73 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[n
     return counts, total
 
 
-def matches(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    *,
-    rank: int = 128,
-    min_cosine: float = 0.5,
-    min_common: float = 0.65,
-    min_answer: float = 0.5,
-    min_words: int = 8,
-    slice_chars: int = 4_000_000,
-) -> DataFrame:
+Found = dict[int, tuple[float, float, float]]
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """(doc_id, item_id, common, answer, cosine): the documents that hold a benchmark item, whole texts, one row a pair.
 
     ``benchmark`` has item_id and text, and may have ``answer``. ``common`` is the share of the item's words found as
-    a common subsequence, ``answer`` the share of its answer words there, ``cosine`` the best window's. Items are searched in
-    slices of bounded size, so the model that goes to the tasks is bounded whatever the benchmark's size.
+    a common subsequence, ``answer`` the share of its answer words there, ``cosine`` the best window's. Options: see ``finders``.
 
     Null or empty texts on either side never match, nor do items of under ``min_words`` words. Rows with a null doc_id are
     reported with it. Repeated documents are each reported; repeated items are each reported under their own item_id, and
     rows that repeat an item_id are searched as separate texts, the best of them reported. Empty tables give no
     rows. Columns besides those named are not read.
     """
+    schema = "doc_id long, item_id long, common double, answer double, cosine double"
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    out = docs.sparkSession.createDataFrame([], schema)
+    for find in finders(docs, benchmark, **options):
+
+        def make(find=find):
+            def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+                out: list[list] = [[] for _ in range(5)]
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    for item_id, found in find(text).items():
+                        for column, value in zip(out, (doc_id, item_id, *found), strict=True):
+                            column.append(value)
+                types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["doc_id", "item_id", "common", "answer", "cosine"])
+
+            return each
+
+        out = out.union(map_arrow(rows, make, schema))
+    return out
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, all columns, whose whole text holds no benchmark item; null and empty texts stay."""
+    for find in finders(docs, benchmark, **options):
+
+        def make(find=find):
+            return lambda batch: batch.filter(pa.array([not find(t) for t in batch.column("text").to_pylist()], pa.bool_()))
+
+        docs = map_arrow(docs, make, docs.schema)
+    return docs
+
+
+def finders(docs: DataFrame, benchmark: DataFrame, *, slice_chars: int = 4_000_000, **options) -> list[Callable[[str | None], Found]]:
+    """Functions from a text to its matches, one for each slice of the benchmark.
+
+    Slices hold about ``slice_chars`` characters, so the model that goes to the tasks is bounded whatever the benchmark's size.
+    """
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"), answer.alias("answer")).where("length(text) > 0")
     chars = items.agg(F.coalesce(F.sum(F.length("text") + F.coalesce(F.length("answer"), F.lit(0))), F.lit(0)).alias("n")).first()["n"]
     slices = max(1, -(-chars // slice_chars))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(slices))
-    found = [_search(docs, items.where(part == i), rank, min_cosine, min_common, min_answer, min_words) for i in range(slices)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out
+    found = [_finder(docs, items.where(part == i), **options) for i in range(slices)]
+    return [find for find in found if find]
 
 
-def _search(docs: DataFrame, items: DataFrame, rank: int, min_cosine: float, min_common: float, min_answer: float, min_words: int) -> DataFrame:
-    schema = "doc_id long, item_id long, common double, answer double, cosine double"
-    texts = [(r.item_id, w, words_of(r.answer)) for r in items.orderBy("item_id", "text").collect() if len(w := words_of(r.text)) >= min_words]  # one slice
+def _finder(
+    docs: DataFrame, items: DataFrame, rank: int = 128, min_cosine: float = 0.5, min_common: float = 0.65, min_answer: float = 0.5, min_words: int = 8
+) -> Callable[[str | None], Found] | None:
+    rows = items.orderBy("item_id", "text").collect()  # one slice
+    texts = [(r.item_id, w, words_of(r.answer)) for r in rows if len(w := words_of(r.text)) >= min_words]
     if not texts:
-        return docs.sparkSession.createDataFrame([], schema)
+        return None
     vocabulary = {w: i for i, w in enumerate(sorted({w for _, words, _ in texts for w in words}))}
     counts, total = document_frequencies(docs, vocabulary)
     idf = np.log((1 + total) / (1 + counts)) + 0.1
@@ -203,21 +232,13 @@ def _search(docs: DataFrame, items: DataFrame, rank: int, min_cosine: float, min
                 best = (common, share, max(c for _, c in near))
         return best
 
-    def make():
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out: list[list] = [[] for _ in range(5)]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = words_of(text)
-                best: dict[int, tuple[float, float, float]] = {}
-                for item, near in windows(words).items():
-                    if (found := checked(words, item, near)) and found > best.get(texts[item][0], (-1.0,)):
-                        best[texts[item][0]] = found
-                for item_id, found in best.items():
-                    for column, value in zip(out, (doc_id, item_id, *found), strict=True):
-                        column.append(value)
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["doc_id", "item_id", "common", "answer", "cosine"])
-
-        return each
-
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), make, schema)
+    def find(text: str | None) -> Found:
+        words = words_of(text)
+        best: Found = {}
+        for item, near in windows(words).items():
+            found = checked(words, item, near)
+            if found and found > best.get(texts[item][0], (-1.0,)):
+                best[texts[item][0]] = found
+        return best
+
+    return find

@@ -191,3 +191,20 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return map_arrow(rows, make, "doc_id long, lang_pred string, score double, rejected boolean")
+
+
+def keep_known(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``predict`` does not reject."""
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = batch.column("text").to_pylist()
+            sure = [bool(t and model.languages and LETTER.search(t)) for t in texts]
+            keep = np.array(sure, bool)
+            if any(sure):
+                keep[keep] = model.scores([t for t, ok in zip(texts, sure, strict=True) if ok])[1] >= model.reject_below
+            return batch.filter(pa.array(keep))
+
+        return each
+
+    return map_arrow(docs, make, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmlmain, langid, licenses, packing, simhash, tokencount, topk
+from . import decontam, htmlmain, langid, licenses, packing, secrets, simhash, tokencount, topk, urlfilter
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(*urlfilter.captures_and_entries(table(spark, sf_dir, "pages"), table(spark, sf_dir, "events")))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -32,6 +36,11 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "place", F.length("secret").alias("length"), F.sha2("secret", 256).alias("digest"), "probability", "is_secret")
+
+
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -53,9 +62,11 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_url_filter": op2_url_filter,
         "op3_packing": op3_packing,
         "op4_licenses": op4_licenses,
         "op5_language": op5_language,
+        "op6_secrets": op6_secrets,
         "op7_tokens": op7_tokens,
         "op8_decontamination": op8_decontamination,
         "op9_main_text": op9_main_text,
@@ -64,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_licenses": licenses.ORACLE, "op10_top_k": topk.ORACLE}
+    return {"op2_url_filter": urlfilter.ORACLE, "op4_licenses": licenses.ORACLE, "op10_top_k": topk.ORACLE}

@@ -146,6 +146,19 @@ def components(
     return prints.join(every, "node").select("doc_id", *lane_names, "component_id")
 
 
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """``docs``, all columns, with one row of each component: that of its smallest doc_id.
+
+    Rows with a null doc_id are not named by any component and all stay. Of rows that share a doc_id one stays.
+    """
+    found = saved(components(docs, **options).select("doc_id", "component_id"))
+    first = found.where("doc_id = component_id").select("doc_id")
+    kept = docs.join(first.distinct(), "doc_id", "left_semi").select(*docs.columns)
+    if not first.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.union(docs.where("doc_id is null"))
+
+
 def _similar(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, words: int, least: float | None) -> DataFrame:
     """The pairs of nodes whose texts have that Jaccard similarity; each node is stood for by its first document."""
     if least is None:
