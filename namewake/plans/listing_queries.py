@@ -94,10 +94,10 @@ def b17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.listing_state(market.listings(spark, sf_dir), now()).groupBy("stream", "state").agg(F.count("*").alias("n"))
 
 
-@query("b19_malformed", r"SELECT page_id, h AS host FROM (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS h FROM pages) WHERE NOT regexp_full_match(h, '[a-z0-9-]{1,63}(\.[a-z0-9-]{1,63})+') OR regexp_matches(h, '(^|\.)-|-(\.|$)')")
+@query("b19_malformed", f"WITH {NAMES} SELECT event_id, CASE WHEN event_id % 9 = 0 THEN '-' ELSE '' END || label || CASE WHEN event_id % 5 = 0 THEN '..' ELSE '.' END || zone AS domain FROM names WHERE event_id % 9 = 0 OR event_id % 5 = 0")
 def b19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    host = F.lower(F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1))
-    return ops.malformed(market.table(spark, sf_dir, "pages").select("page_id", host.alias("host")), "host")
+    start, dots = F.when(F.col("event_id") % 9 == 0, "-").otherwise(""), F.when(F.col("event_id") % 5 == 0, "..").otherwise(".")
+    return ops.malformed(market.names(spark, sf_dir).select("event_id", F.concat(start, "label", dots, "zone").alias("domain")))
 
 
 @query("b20_known_values", L("SELECT DISTINCT stream FROM listings"))
@@ -116,7 +116,7 @@ def c6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("first_seen", F.col("first_seen").cast("string"))
 
 
-@query("c8_upgrade_targets", f"WITH {NAMES} SELECT label, t AS target FROM (SELECT DISTINCT label FROM names), (SELECT unnest(['com', 'ai', 'io']) AS t) WHERE NOT EXISTS (SELECT 1 FROM names n WHERE n.label = label AND n.zone = t AND false) AND (label, t) NOT IN (SELECT label, zone FROM names)")
+@query("c8_upgrade_targets", f"WITH {NAMES} SELECT label, t AS target FROM (SELECT DISTINCT label FROM names), (SELECT unnest(['com', 'ai', 'io']) AS t) WHERE (label, t) NOT IN (SELECT label, zone FROM names)")
 def c8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.upgrade_targets(market.names(spark, sf_dir), ["com", "ai", "io", "xyz"])
 

@@ -39,7 +39,7 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = F.when(F.col("event_id") % 4 == 0, (F.col("user_id") % 10).cast("string")).otherwise("")
     label = F.concat(F.lower(F.replace("p_name", F.lit(" "), glue)), tail)
     host = F.concat(F.lit("ns"), (F.col("event_id") % 3 + 1).cast("string"), F.lit("."), _pick(HOSTS, F.col("user_id")))
-    return joined.select("event_id", "ts", F.to_date("ts").alias("day"), "user_id", F.col("event_type").alias("kind"), "value", label.alias("label"), _pick(ZONES, F.col("event_id")).alias("zone"), host.alias("host"))
+    return joined.select("event_id", "ts", F.to_date("ts").alias("day"), "user_id", F.col("event_type").alias("kind"), "value", label.alias("label"), _pick(ZONES, F.col("event_id") + F.col("user_id")).alias("zone"), host.alias("host"))
 
 
 def _pick_sql(values: list[str], index: str) -> str:
@@ -49,7 +49,7 @@ def _pick_sql(values: list[str], index: str) -> str:
 NAMES = f"""names AS (
   SELECT event_id, ts, CAST(ts AS DATE) AS day, user_id, event_type AS kind, value,
     lower(replace(p_name, ' ', CASE WHEN event_id % 7 = 0 THEN '-' ELSE '' END)) || CASE WHEN event_id % 4 = 0 THEN CAST(user_id % 10 AS VARCHAR) ELSE '' END AS label,
-    {_pick_sql(ZONES, "event_id")} AS zone,
+    {_pick_sql(ZONES, "(event_id + user_id)")} AS zone,
     'ns' || CAST(event_id % 3 + 1 AS VARCHAR) || '.' || {_pick_sql(HOSTS, "user_id")} AS host
   FROM events JOIN part ON event_id % 200 = p_partkey
 )"""
