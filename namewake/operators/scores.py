@@ -105,11 +105,11 @@ def term_signal(df: DataFrame, zero_weight: Sequence[str], curated: Sequence[str
 
 
 def rank_opportunities(df: DataFrame, *, budget: float, least_quality: int = 250, substitutes: int = 10) -> DataFrame:
-    """Adds ``gate`` (the first that fails, or ``pass``) and ``score``: a blend of quality, age, archive and price, 0 if a gate fails."""
+    """Adds ``gate`` (the first that fails, or ``pass``) and ``score``: whole points of a blend of quality, age, archive and price, 0 if a gate fails."""
     gate = F.when(F.col("quality") < least_quality, "quality").when(F.col("price").isNull() | (F.col("price") > budget), "budget").when(F.col("zones_taken") >= substitutes, "substitutes").when(F.coalesce("archive", F.lit(0)) == 0, "evidence").otherwise("pass")
     share = lambda c, top: F.least(F.col(c) / top, F.lit(1.0))
     blend = 0.35 * share("quality", 600.0) + 0.25 * share("age_years", 30.0) + 0.15 * share("archive", 50.0) + 0.25 * (1 - F.col("price") / budget)
-    return df.withColumn("gate", gate).withColumn("score", F.when(F.col("gate") == "pass", F.round(100 * blend, 4)).otherwise(0.0))
+    return df.withColumn("gate", gate).withColumn("score", F.when(F.col("gate") == "pass", F.floor(100 * blend + 1e-6)).otherwise(0).cast("long"))
 
 
 def probe_priority(df: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ def r5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "r6_rank_opportunities",
     f"""WITH {LISTINGS}, {QUALITY}, g AS (SELECT *, CASE WHEN quality < 250 THEN 'quality' WHEN price IS NULL OR price > 40000 THEN 'budget' WHEN zones_taken >= 8 THEN 'substitutes' WHEN ar = 0 THEN 'evidence' ELSE 'pass' END AS gate FROM quality)
-SELECT listing_id, gate, CASE WHEN gate = 'pass' THEN round(100e0 * (35e-2 * least(quality / 6e2, 1e0) + 25e-2 * least(age_years / 3e1, 1e0) + 15e-2 * least(archive / 5e1, 1e0) + 25e-2 * (1 - price / 4e4)), 4) ELSE 0e0 END AS score FROM g""",
+SELECT listing_id, gate, CASE WHEN gate = 'pass' THEN CAST(floor(1e-6 + 100e0 * (35e-2 * least(quality / 6e2, 1e0) + 25e-2 * least(age_years / 3e1, 1e0) + 15e-2 * least(archive / 5e1, 1e0) + 25e-2 * (1 - price / 4e4))) AS BIGINT) ELSE 0 END AS score FROM g""",
 )
 def r6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.rank_opportunities(ops.domain_quality(market.listings(spark, sf_dir)), budget=40000.0, substitutes=8).select("listing_id", "gate", "score")
