@@ -1 +1,88 @@
-"""Queries."""
+"""Queries of streaming jobs and their batch twins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources import market
+from ..sources.market import NAMES, ZONES
+from ..streaming import events as ops
+from .registry import query
+
+W = f"WITH {NAMES}"
+
+
+def name_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sightings as a stream: the event stream joined to the static part table."""
+    events = ops.read_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    part = market.table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    label = F.lower(F.replace("p_name", F.lit(" "), F.lit("")))
+    zone = F.element_at(F.array(*[F.lit(z) for z in ZONES]), ((F.col("event_id") + F.col("user_id")) % 8 + 1).cast("int"))
+    joined = events.join(part, F.col("event_id") % 200 == F.col("p_partkey"))
+    return joined.select("event_id", "ts", F.col("event_type").alias("kind"), label.alias("label"), zone.alias("zone"))
+
+
+STREAM = "st AS (SELECT event_id, ts, day, kind, zone, replace(regexp_replace(label, '[0-9]', '', 'g'), '-', '') AS label FROM names)"
+
+
+@query("k10_window_counts", f"{W} SELECT event_type AS kind, epoch_us(date_trunc('day', ts)) AS start_us, count(*) AS n FROM events GROUP BY 1, 2")
+def k10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = ops.drain(ops.window_counts(name_stream(spark, sf_dir), "day", "kind"), "complete")
+    return counts.select("kind", F.unix_micros("start").alias("start_us"), "n")
+
+
+@query("k2_dedupe_stream", f"{W}, {STREAM} SELECT label, zone, count(*) AS n FROM (SELECT DISTINCT label, zone FROM st) GROUP BY 1, 2")
+def k2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream = name_stream(spark, sf_dir).withColumn("name", F.concat_ws(".", "label", "zone"))
+    return ops.drain(ops.dedupe_stream(stream, "name", keep="60 days")).groupBy("label", "zone").agg(F.count("*").alias("n"))
+
+
+@query(
+    "k1_launches",
+    f"""{W}, {STREAM}, f AS (SELECT label, zone, min(ts) AS first_at FROM st GROUP BY 1, 2), a AS (SELECT label, zone, max(day) AS added FROM st WHERE kind = 'signup' GROUP BY 1, 2)
+SELECT label, zone, epoch_us(first_at) AS first_us, CASE WHEN zone IN ('com', 'net') THEN coalesce(date_diff('day', added, CAST(first_at AS DATE)) BETWEEN 0 AND 14, false) ELSE first_at >= TIMESTAMP '2024-01-03' END AS launch FROM f LEFT JOIN a USING (label, zone)""",
+)
+def k1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = market.names(spark, sf_dir).where("kind = 'signup'")
+    recent = seen.select(F.replace(F.regexp_replace("label", "[0-9]", ""), F.lit("-"), F.lit("")).alias("label"), "zone", "day")
+    found = ops.drain(ops.launches(name_stream(spark, sf_dir), recent, zones_with_data=("com", "net"), warm_from="2024-01-03"))
+    return found.select("label", "zone", F.unix_micros("first_at").alias("first_us"), "launch")
+
+
+@query("k3_registrable", f"{W} SELECT event_id, label || '.' || zone AS registrable FROM names WHERE zone IN ('com', 'io', 'dev')")
+def k3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suffixes = spark.createDataFrame([("com",), ("io",), ("dev",)], "suffix string")
+    seen = market.names(spark, sf_dir)
+    name = F.concat(F.when(F.col("event_id") % 2 == 0, "*.").otherwise("www."), "label", F.lit("."), "zone")
+    return ops.registrable(seen.select("event_id", name.alias("name")), suffixes).select("event_id", "registrable")
+
+
+@query(
+    "k5_roster",
+    f"""{W}, e AS (SELECT label, ts, event_id, CASE kind WHEN 'error' THEN 'miss' WHEN 'view' THEN 'unknown' WHEN 'click' THEN 'miss' ELSE 'ok' END AS result FROM names), l AS (SELECT label, max({{'t': ts, 'i': event_id}}) FILTER (WHERE result = 'ok') AS ok FROM e GROUP BY 1)
+SELECT label, CAST(count(*) FILTER (WHERE result = 'miss' AND (ok IS NULL OR {{'t': ts, 'i': event_id}} > ok)) AS INTEGER) AS misses, CASE WHEN count(*) FILTER (WHERE result = 'miss' AND (ok IS NULL OR {{'t': ts, 'i': event_id}} > ok)) >= 3 THEN 'retired' ELSE 'active' END AS state FROM e JOIN l USING (label) GROUP BY 1""",
+)
+def k5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    result = F.when(F.col("kind").isin("error", "click"), "miss").when(F.col("kind") == "view", "unknown").otherwise("ok")
+    return ops.roster(market.names(spark, sf_dir).withColumn("result", result))
+
+
+@query("k6_candidate_state")
+def k6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.candidate_state(market.names(spark, sf_dir))
+
+
+@query("k8_error_share", f"{W} SELECT event_id, round(avg(CASE WHEN kind = 'error' THEN 1e0 ELSE 0e0 END) OVER (PARTITION BY zone ORDER BY ts, event_id ROWS BETWEEN 999 PRECEDING AND CURRENT ROW), 6) AS error_share FROM names")
+def k8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.error_share(market.names(spark, sf_dir)).select("event_id", "error_share")
+
+
+@query(
+    "k9_refine_day",
+    f"{W}, s AS (SELECT label, max(day) AS day FROM names WHERE kind = 'purchase' GROUP BY 1), l AS (SELECT label, day AS late_day FROM names WHERE kind = 'view') SELECT s.label, CAST(coalesce(min(late_day) FILTER (WHERE date_diff('day', late_day, day) BETWEEN 1 AND 3), day) AS VARCHAR) AS day FROM s LEFT JOIN l USING (label) GROUP BY s.label, day",
+)
+def k9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = market.names(spark, sf_dir)
+    stored = seen.where("kind = 'purchase'").groupBy("label").agg(F.max("day").alias("day"))
+    return ops.refine_day(stored, seen.where("kind = 'view'")).withColumn("day", F.col("day").cast("string"))
