@@ -73,8 +73,11 @@ class LanguageModel:
         def flush(until: int) -> None:
             nonlocal group, first
             if group:
-                starts = np.concatenate(([0], np.cumsum([len(g) for g in group])[:-1]))
-                for hashed, ok in subwords(b"".join(group), len(self.table)):
+                ends = np.cumsum([len(g) for g in group])
+                starts = np.concatenate(([0], ends[:-1]))
+                for size, (hashed, ok) in zip(SIZES, subwords(b"".join(group), len(self.table)), strict=False):
+                    for back in range(1, size):  # a run that reaches into the next text
+                        ok[ends[ends - back < len(ok)] - back] = False
                     values = self.table[hashed]
                     values[~ok] = 0
                     at = np.minimum(starts, len(ok) - 1)
@@ -145,8 +148,9 @@ def train(texts: list[str], langs: list[str], *, buckets: int = 1 << 15, dimensi
     temperature = min(loss, key=loss.get)
     p = softmax(logits / temperature)
     right = np.sort(p.max(axis=1)[p.argmax(axis=1) == truth])
-    reject = float(right[int(false_rejects * len(right))]) if len(right) else 0.0
-    return LanguageModel(names, table.astype(np.float32), bias.astype(np.float64), float(temperature), min(reject, 0.6))
+    low = float(right[int(false_rejects * len(right))]) if len(right) else 0.0
+    chance = 1 / len(names)  # rejected are scores nearer to chance than to what a right answer may have
+    return LanguageModel(names, table.astype(np.float32), bias.astype(np.float64), float(temperature), min((low + chance) / 2, low))
 
 
 def training_rows(labelled: DataFrame, per_language: int, seed: int = 11) -> DataFrame:

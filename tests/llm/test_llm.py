@@ -1,0 +1,408 @@
+"""The operators of namewake.llm against brute force, exact round trips and held-out accuracy, and their defined odd cases."""
+
+from __future__ import annotations
+
+import random
+import re
+import zlib
+
+import numpy as np
+import pandas as pd
+import pytest
+import xxhash
+from compare import rows
+from pyspark.sql import functions as F
+
+from namewake.llm import decontam, htmlmain, langid, licenses, packing, queries, secrets, simhash, tokencount, topk, urlfilter
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, fingerprint string, component_id long"
+
+
+@pytest.fixture(scope="module")
+def docs(sf):
+    return pd.read_parquet(f"{sf}/documents.parquet")
+
+
+def odd_docs(spark, extra=()):
+    """Nulls, empty and blank texts, repeated ids and rows, a very long text, columns whose names clash with results."""
+    long = " ".join(f"palabra{i % 977}" for i in range(30_000))
+    data = [(1, None), (2, ""), (3, "  \n "), (None, "the only one without a name"), (5, "same text here today ok"), (5, "same text here today ok"), (6, "Same TEXT here today ok"), (7, long), (8, "%%% 123 ..."), *extra]
+    return spark.createDataFrame([(i, t, None, None, None, "x", -1) for i, t in data], DOCS)
+
+
+def empty_docs(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, sf, duck, name):
+    found = queries.queries()[name](spark, sf).toPandas()
+    wanted = duck.execute(queries.oracle_sql()[name]).df()
+    for column in found.columns:
+        if str(found[column].dtype).startswith("datetime"):
+            found[column], wanted[column] = found[column].astype("datetime64[us]"), wanted[column].astype("datetime64[us]")
+    assert rows(found) == rows(wanted)
+
+
+# 1: SimHash
+
+
+def plain_fingerprint(text, words=4):
+    found = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    shingles = [b" ".join(found[i : i + words]) for i in range(len(found) - words + 1)] or ([b" ".join(found)] if found else [])
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def closure(ids, linked):
+    label = {i: i for i in range(len(ids))}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in linked:
+            low = min(label[a], label[b])
+            if label[a] != low or label[b] != low:
+                label[a] = label[b] = low
+                changed = True
+    groups = {}
+    for i, root in label.items():
+        groups.setdefault(root, []).append(ids[i])
+    return [min((x for x in groups[label[i]] if x is not None), default=None) for i in range(len(ids))]
+
+
+def test_simhash_brute_force(spark, sf, docs):
+    found = queries.queries()["op1_simhash"](spark, sf).toPandas().sort_values("doc_id")
+    prints = [plain_fingerprint(t) for t in docs.text]
+    linked = [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4]
+    order = docs.doc_id.argsort().values
+    assert found.fingerprint.tolist() == [f"{prints[i]:016x}" for i in order]
+    wanted = closure(docs.doc_id.tolist(), linked)
+    assert found.component_id.tolist() == [wanted[i] for i in order]
+
+
+@pytest.mark.parametrize("hot", [1, 16384])
+def test_simhash_chain_of_close_fingerprints(spark, monkeypatch, hot):
+    """Fingerprints planted bit by bit, by the pairwise and by the linear path."""
+    rng = random.Random(4)
+    base = [rng.getrandbits(64) for _ in range(6)]
+    values = [b for b in base]
+    for b in base[:4]:
+        for _ in range(25):
+            values.append(values[-1] ^ sum(1 << i for i in rng.sample(range(64), rng.randint(1, 5))) if rng.random() < 0.5 else b ^ sum(1 << i for i in rng.sample(range(64), rng.randint(1, 5))))
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    table = spark.createDataFrame(list(enumerate(signed)), "doc_id long, f0 long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, **_: table)
+    found = {r.doc_id: r.component_id for r in simhash.components(table.withColumn("text", F.lit("")), hot_block=hot).collect()}
+    linked = [(i, j) for i in range(len(values)) for j in range(i) if (values[i] ^ values[j]).bit_count() <= 4]
+    assert [found[i] for i in range(len(values))] == closure(list(range(len(values))), linked)
+
+
+def test_simhash_odd_rows(spark):
+    found = simhash.components(odd_docs(spark)).collect()
+    assert len(found) == 9
+    by_id = {r.doc_id: r for r in found}
+    assert by_id[1].f0 == by_id[2].f0 == by_id[3].f0 == 0
+    assert by_id[1].component_id == by_id[2].component_id == by_id[3].component_id == 1
+    assert by_id[6].component_id == 5 and by_id[None].component_id is None
+    assert simhash.components(empty_docs(spark)).count() == 0
+    kept = simhash.one_of_each(odd_docs(spark))
+    assert kept.columns == odd_docs(spark).columns
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 5, 7, 8]
+
+
+def test_simhash_stage_finds_similar_texts(spark):
+    """Five words, a similarity of 0.8: texts with planted edits against exact Jaccard."""
+    rng = random.Random(9)
+    data, words = [], [f"w{i}" for i in range(3000)]
+    for d in range(25):
+        text = [rng.choice(words) for _ in range(300)]
+        data.append(" ".join(text))
+        for edits in (1, 2, 4, 20, 60):
+            changed = list(text)
+            for i in rng.sample(range(300), edits):
+                changed[i] = rng.choice(words)
+            data.append(" ".join(changed))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in data]
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    wanted = closure(list(range(len(data))), linked)
+    table = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.components(table, words=5, lanes=3, blocks=18, agree=2, max_bits=48, min_jaccard=0.8).collect()}
+    apart = [i for i in range(len(data)) if found[i] != wanted[i]]
+    assert all(found[i] // 6 == i // 6 for i in found)  # never a foreign text
+    assert len(apart) <= 0.05 * len(data)
+
+
+# 2: URL filters
+
+
+def test_url_filter_by_hand(spark):
+    t = lambda h: f"2024-01-01 {h:02d}:00:00"
+    entries = [("example.org", "block", t(1)), ("a.example.org", "allow", t(3)), ("a.example.org", "block", t(5)), ("a.example.org", "allow", t(5)), ("a.example.org/x", "allow", t(8)), (None, "block", t(1)), ("q.org", None, t(1))]
+    captures = [(1, "http://a.example.org/y", t(0)), (2, "http://a.example.org/y", t(2)), (3, "https://u:p@A.example.org:80/y", t(3)), (4, "http://a.example.org/x/1?q", t(5)), (5, "http://a.example.org/x", t(9)), (6, None, t(2)), (7, "no host", t(2)), (8, "http://q.org/", None), (9, "http://b.example.org", t(20)), (9, "http://b.example.org", t(20)), (None, "http://other.net", t(2))]
+    e = spark.createDataFrame(entries, "pattern string, action string, listed_at string").withColumn("listed_at", F.col("listed_at").cast("timestamp_ntz"))
+    c = spark.createDataFrame(captures, "capture_id long, url string, fetched_at string").withColumn("fetched_at", F.col("fetched_at").cast("timestamp_ntz"))
+    got = sorted((r.capture_id or 0, r.verdict) for r in urlfilter.judge(c, e).collect())
+    assert got == [(0, "none"), (1, "none"), (2, "block"), (3, "allow"), (4, "block"), (5, "allow"), (6, "unknown"), (7, "unknown"), (8, "unknown"), (9, "block"), (9, "block")]
+    assert urlfilter.judge(c.limit(0), e).count() == 0
+    assert {r.verdict for r in urlfilter.judge(c, e.limit(0)).collect()} == {"none", "unknown"}
+
+
+# 3: packing
+
+
+def test_packing_round_trip(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    table = odd_docs(spark, [(20, "don't STOP <|endoftext|> T̈ İstanbul, café! a.b...c"), (21, "x y\x1cz ½²")])
+    pieces = packing.packed(table, tokenizer_path=path, length=64, with_ids=True).toPandas().sort_values(["sequence_id", "offset"])
+    place = (pieces.sequence_id * 64 + pieces.offset).tolist()
+    assert place == [0, *pieces.length.cumsum().tolist()[:-1]] and (pieces.offset + pieces.length <= 64).all()
+    wanted = sorted(str(tokenizer.encode(r.text or "", add_special_tokens=False).ids + [2]) for r in table.collect())
+    docs, found = {}, []
+    for r in pieces.itertuples():
+        assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+        docs.setdefault((r.doc_id, r.doc_tokens), []).append(r)
+    for (_, tokens), parts in docs.items():
+        ids = [i for p in sorted(parts, key=lambda p: (p.start, p.sequence_id)) for i in p.ids]
+        found += [str(ids)] if len(ids) == tokens else [str(ids[:tokens])] * (len(ids) // tokens)
+    assert sum(len(d) for d in docs.values()) == len(pieces)
+    assert pieces.length.sum() == sum(len(eval(w)) for w in wanted)
+    assert set(wanted) - set(found) <= {w for w in wanted if wanted.count(w) > 1}
+    assert packing.packed(empty_docs(spark), tokenizer_path=path).count() == 0
+
+
+def test_word_ids_equal_the_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, mine = Tokenizer.from_file(path), packing.WordIds(path, 50)
+    rng = random.Random(1)
+    parts = list("abTÉé'.,!;%1 \n\t") + ["́", " ", "'s", "<|endoftext|>", "日本", "😀", "İ", "ﬁ"]
+    for _ in range(1500):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
+        assert mine.ids(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+
+
+def test_hilbert_curve_is_continuous():
+    grid = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
+    keys = packing.hilbert_keys(grid, bits=3)
+    assert sorted(keys.tolist()) == list(range(512))
+    path = grid[np.argsort(keys)]
+    assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
+
+
+# 4: licenses
+
+
+def test_licenses_by_hand(spark):
+    texts = ["released UNDER the mit licence", "Copyright 2020 Someone\nReleased under the MIT License!", "prose\nLicensed under CC-BY-NC 4.0\nprose", "a\n\nLicensed under\nCC BY 4.0.\n\nb", "Released under the MIT License, mostly.", "", None, "..."]
+    table = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, license_id string")
+    got = sorted((r.doc_id, r.unit, r.position, r.license_id) for r in licenses.scan(table, licenses.known_digests(spark)).collect())
+    assert got == [(0, "document", 0, "MIT"), (1, "document", 0, "MIT"), (1, "line", 1, "MIT"), (2, "line", 1, "CC-BY-NC-4.0"), (3, "paragraph", 1, "CC-BY-4.0")]
+    assert licenses.scan(odd_docs(spark), licenses.known_digests(spark)).count() == 0
+    assert licenses.scan(empty_docs(spark), licenses.known_digests(spark)).count() == 0
+
+
+# 5: language
+
+
+def test_language_held_out_accuracy(spark, docs):
+    found = queries.queries()["op5_language"](spark, "/root/testdata/sf0.01").toPandas().set_index("doc_id")
+    truth = pd.read_parquet("/root/testdata/sf0.01/documents.parquet").set_index("doc_id")
+    held = found[found.held_out].index
+    assert (found.loc[held].lang_pred == truth.loc[held].lang).mean() > 0.97
+    assert all(found.held_out[i] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in found.index)
+    assert found.rejected.mean() < 0.02
+
+
+def test_language_odd_rows(spark):
+    model = langid.train(["the cat and the dog"] * 12 + ["le chat et le chien"] * 12, ["en"] * 12 + ["fr"] * 12)
+    got = {r.doc_id: r for r in langid.predict(odd_docs(spark, [(30, "the dog")]), model).collect()}
+    assert {i for i, r in got.items() if r.lang_pred == "und"} == {1, 2, 3, 8}
+    assert got[30].lang_pred == "en" and all(0 <= r.score <= 1 for r in got.values())
+    assert langid.predict(odd_docs(spark), langid.fit(empty_docs(spark))).where("lang_pred <> 'und'").count() == 0
+    assert langid.predict(empty_docs(spark), model).count() == 0
+    kept = langid.keep_known(odd_docs(spark), model)
+    assert kept.columns == odd_docs(spark).columns and not {1, 2, 3, 8} & {r.doc_id for r in kept.collect()}
+
+
+def test_language_scores_do_not_depend_on_batches():
+    model = langid.train(["the cat and the dog"] * 12 + ["le chat et le chien"] * 12, ["en"] * 12 + ["fr"] * 12)
+    texts = ["a", "the dog", "le", "", "chien " * 5]
+    together = model.logits(texts)
+    assert np.allclose(together, np.vstack([model.logits([t]) for t in texts]))
+
+
+# 6: secrets
+
+
+def test_secrets_against_planted_values(spark):
+    docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = secrets.scan(table).where("is_secret").toPandas()
+    planted = sorted((i, m[1]) for i, t in zip(docs.doc_id, docs.text) for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t))
+    assert sorted(zip(found.doc_id, found.secret)) == planted
+    clean = {r.doc_id: r.text for r in secrets.redact(table).collect()}
+    assert not any(s in clean[i] for i, s in planted)
+    for i, text in zip(docs.doc_id, docs.text):
+        for j, s in planted:
+            text = text.replace(s, "[REDACTED]") if i == j else text
+        assert clean[i] == text
+
+
+def test_secrets_odd_rows(spark):
+    table = odd_docs(spark, [(40, 'api_key = "Zx81kQ0vTn5Lr2Wb9Yc4"'), (40, 'api_key = "Zx81kQ0vTn5Lr2Wb9Yc4"'), (41, "4929123412341234")])
+    found = secrets.scan(table).collect()
+    assert sorted((r.doc_id, r.is_secret) for r in found) == [(40, True), (40, True), (41, False)]
+    assert secrets.scan(empty_docs(spark)).count() == 0
+    assert secrets.redact(table).count() == table.count() and secrets.redact(empty_docs(spark)).count() == 0
+
+
+# 7: tokens
+
+
+def test_token_counts_equal_the_library(spark, sf, docs):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    found = queries.queries()["op7_tokens"](spark, sf).toPandas().set_index("doc_id")
+    for i, text in zip(docs.doc_id, docs.text):
+        assert found.n_tokens[i] == len(model.encode(text)) and found.n_bytes[i] == len(text.encode())
+    merger = tokencount.PairMerger(public_tokenizers.path("piece_bpe_32k.model"), 30)
+    rng = random.Random(2)
+    for _ in range(1500):
+        text = "".join(rng.choice("ab thé▁\n\t\r\x00　ﬁ①日😀 <s>%") for _ in range(rng.randint(0, 40)))
+        assert merger.count(text) == len(model.encode(text)), repr(text)
+
+
+def test_token_counts_odd_rows(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    got = {r.doc_id: r for r in tokencount.token_counts(odd_docs(spark), model_path=path).collect()}
+    assert (got[1].n_bytes, got[1].n_tokens) == (got[2].n_bytes, got[2].n_tokens) == (0, 0)
+    assert got[7].over_limit and not got[6].over_limit
+    assert tokencount.token_counts(empty_docs(spark), model_path=path).count() == 0
+
+
+# 8: decontamination
+
+
+def plain_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], (last + 1 if x == y else max(row[j + 1], row[j]))
+    return row[-1]
+
+
+def test_common_subsequence():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(1, 12))] for _ in range(2))
+        assert decontam.common_length(a, b) == plain_lcs(a, b)
+
+
+def test_decontamination_finds_passages_and_paraphrases(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, items = pd.read_parquet(f"{sf}/documents.parquet"), pd.read_parquet(f"{sf}/benchmark.parquet")
+    found = queries.queries()["op8_decontamination"](spark, sf).toPandas()
+    joined = {i: " ".join(decontam.words_of(t)) for i, t in zip(items.item_id, items.text)}
+    truth = {(d, i) for d, t in zip(docs.doc_id, docs.text) for i, q in joined.items() if q in " ".join(decontam.words_of(t))}
+    assert set(zip(found.doc_id, found.item_id)) == truth
+    rng, planted = random.Random(5), []
+    for n, (i, t) in enumerate(zip(items.item_id, items.text)):
+        words = t.split()
+        words = [w.upper() for w in words if rng.random() > 0.12]  # other case, some words gone
+        planted.append((100_000 + n, docs.text[n] + "\n" + " ".join(words) + "\n" + docs.text[n + 50], i))
+    table = spark.createDataFrame([p[:2] for p in planted], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.matches(table, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
+    wanted = {(d, i) for d, _, i in planted}
+    assert len(got & wanted) >= 0.9 * len(wanted)
+    sliced = decontam.matches(table, spark.read.parquet(f"{sf}/benchmark.parquet"), slice_chars=2000)
+    assert len({(r.doc_id, r.item_id) for r in sliced.collect()} & wanted) >= 0.9 * len(wanted)
+
+
+def test_decontamination_odd_rows(spark):
+    schema = "item_id long, text string, answer string"
+    text = "seven quiet rivers crossed a wide green valley before noon"
+    items = spark.createDataFrame([(1, text, "valley"), (1, text, None), (2, None, None), (3, "", None), (4, "too short", None), (None, text, "absentword")], schema)
+    table = odd_docs(spark, [(50, f"before {text} after"), (50, f"before {text} after"), (None, text)])
+    got = sorted((r.doc_id or 0, r.item_id or 0) for r in decontam.matches(table, items).collect())
+    assert got == [(0, 1), (50, 1), (50, 1)]
+    assert decontam.matches(empty_docs(spark), items).count() == 0 and decontam.matches(table, items.limit(0)).count() == 0
+    kept = decontam.without_leaks(table, items)
+    assert kept.columns == table.columns and kept.count() == table.count() - 3
+
+
+# 9: main text
+
+
+def test_main_text_against_the_articles(spark, sf):
+    import html
+
+    pages = pd.read_parquet(f"{sf}/pages.parquet")
+    found = queries.queries()["op9_main_text"](spark, sf).toPandas().set_index("page_id")
+    for i, page in zip(pages.page_id, pages.html):
+        article = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", article)]
+        assert found.text[i] == "\n".join(b for b in blocks if b) and found.n_chars[i] == len(found.text[i])
+
+
+def test_main_text_parts():
+    page = """<!DOCTYPE html><body class="has-sidebar"><header><p>site</p></header><nav>menu</nav><div class="cookie-notice">c</div><main><h1>T &amp; t</h1>
+      <p>a<br>b <b>c</b><p>d&nbsp;e<ul><li>x<li>y</ul><aside>no</aside><form>f</form><script>var t="</p>";</script><style>p{}</style><section id="comments"><p>c1</section></main><footer>f</footer>"""
+    assert htmlmain.main_text(page) == "T & t\na b c\nd e\nx\ny"
+    assert htmlmain.main_text("") == "" and htmlmain.main_text("<p>1 < 2 & <b>so</b> <!-- open") == "1 < 2 & so"
+
+
+def test_simple_tree_matching():
+    a = ["r", [["p", []], ["div", [["p", []], ["b", []]]], ["p", []]]]
+    b = ["r", [["div", [["b", []]]], ["p", []]]]
+    assert htmlmain.matched(a, b) == (3, [(1, 0), (2, 1)])
+    merged = ["r", [["p", []]]]
+    htmlmain.absorb(merged, a)
+    assert merged == a and htmlmain.places(a, b) == [0, 2, 4, 5]
+
+
+def test_main_text_template_of_a_host(spark):
+    pages = [(i, f"http://h.example/{i}", f"<body><div class='x'>Always here</div><div class='y'><p>story {i} one</p><p>two {i}</p></div><div class='z'>Same end</div></body>") for i in range(12)]
+    pages += [(100, None, "<p>alone</p>"), (101, "http://h.example/101", None), (102, "http://h.example/102", ""), (3, "http://h.example/3", pages[3][2])]
+    table = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, text string")
+    for limit in (50_000, 0):
+        got = sorted((r.page_id, r.text, r.n_chars) for r in htmlmain.extract(table, max_templates=limit).collect())
+        wanted = [(i, f"story {i} one\ntwo {i}") for i in range(12)] + [(100, "alone"), (101, ""), (102, ""), (3, "story 3 one\ntwo 3")]
+        assert got == sorted((i, t, len(t)) for i, t in wanted)
+    assert htmlmain.extract(table.limit(0)).count() == 0
+
+
+# 10: top k
+
+
+def test_top_k_brute_force_with_ties(spark):
+    rng = np.random.default_rng(1)
+    vectors = np.round(rng.normal(size=(700, 6)), 1)
+    vectors[50:90] = vectors[10]
+    table = pd.DataFrame({"vec_id": range(700), "embedding": list(vectors)})
+    data = [(int(i), [float(x) for x in v]) for i, v in zip(table.vec_id, table.embedding)]
+    data += [(1000, None), (1100, [1.0, None, 2.0, 0.0, 0.0, 0.0]), (1200, [float("nan")] * 6), (1300, []), (1400, [1.0, 2.0]), (None, [1.0] * 6)]
+    frame = spark.createDataFrame([(*d, 7) for d in data], "vec_id long, embedding array<double>, score int")
+    found = topk.top_k(frame, F.col("vec_id") % 100 == 0, shard_rows=90, block_queries=3).toPandas()
+    whole = np.floor(1024 * vectors).astype(int)
+    for q in range(0, 700, 100):
+        scores = sorted((-int(whole[q] @ whole[i]), i) for i in range(700) if i != q)[:10]
+        got = found[found.query_id == q].sort_values("rank")
+        assert list(zip(-got.score, got.vec_id)) == scores and got["rank"].tolist() == list(range(1, 11))
+    assert set(found.query_id) == set(range(0, 700, 100))
+    assert topk.top_k(frame.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_pipeline(spark, sf, docs):
+    import corpus_pipeline
+
+    pieces = corpus_pipeline.run(spark, sf).toPandas()
+    assert pieces.doc_id.nunique() <= len(docs) and pieces.doc_id.nunique() > 0.7 * len(docs)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, spark.read.parquet(f"{sf}/documents.parquet").limit(0), sf).count() == 0, name
