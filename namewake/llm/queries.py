@@ -17,7 +17,8 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge(*urlfilter.captures_and_entries(table(spark, sf_dir, "pages"), table(spark, sf_dir, "events")))
+    judged = urlfilter.judge(*urlfilter.captures_and_entries(table(spark, sf_dir, "pages"), table(spark, sf_dir, "events")))
+    return judged.select("capture_id", "url", F.unix_micros(F.col("fetched_at").cast("timestamp")).alias("fetched_us"), "verdict", F.coalesce("pattern", F.lit("")).alias("pattern"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

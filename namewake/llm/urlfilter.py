@@ -120,7 +120,7 @@ WITH p AS (
   SELECT capture_id, url, fetched_at, max({{'weight': weight, 'pattern': pattern, 'action': action}}) AS best
   FROM w JOIN v USING (pattern) WHERE fetched_at >= valid_from AND (valid_to IS NULL OR fetched_at < valid_to) GROUP BY 1, 2, 3
 )
-SELECT c.capture_id, c.url, c.fetched_at,
-  CASE WHEN c.url IS NULL OR c.host = '' OR c.fetched_at IS NULL THEN 'unknown' ELSE coalesce(b.best.action, 'none') END AS verdict, b.best.pattern AS pattern
+SELECT c.capture_id, c.url, epoch_us(c.fetched_at) AS fetched_us,
+  CASE WHEN c.url IS NULL OR c.host = '' OR c.fetched_at IS NULL THEN 'unknown' ELSE coalesce(b.best.action, 'none') END AS verdict, coalesce(b.best.pattern, '') AS pattern
 FROM c LEFT JOIN b ON b.capture_id = c.capture_id AND b.url = c.url AND b.fetched_at = c.fetched_at
 """
