@@ -153,12 +153,18 @@ def train(texts: list[str], langs: list[str], *, buckets: int = 1 << 15, dimensi
     return LanguageModel(names, table.astype(np.float32), bias.astype(np.float64), float(temperature), min((low + chance) / 2, low))
 
 
-def training_rows(labelled: DataFrame, per_language: int, seed: int = 11) -> DataFrame:
-    """About ``per_language`` rows of each language (doc_id, text, lang), chosen by a hash; a language with fewer gives all."""
+def training_rows(labelled: DataFrame, per_language: int, most_languages: int = 1000, seed: int = 11) -> DataFrame:
+    """About ``per_language`` rows of each language (doc_id, text, lang), chosen by a hash; a language with fewer gives all.
+
+    The languages are counted first, so that texts are filtered where they are read and never dealt by language.
+    """
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     place = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30).cast("long")) / float(1 << 30)
-    return usable.join(sizes, "lang").where(place < per_language / F.col("n")).select("doc_id", "text", "lang")
+    shares = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], per_language / r["n"])]) if sizes else F.create_map(F.lit(""), F.lit(0.0))
+    return usable.where(place < F.try_element_at(shares, F.col("lang"))).select("doc_id", "text", "lang")
 
 
 def fit(labelled: DataFrame, *, per_language: int = 500, **options) -> LanguageModel:
