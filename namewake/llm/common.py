@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+ROWS = 512
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A whole input table, read by Spark from whatever store holds it."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -40,12 +43,16 @@ def hamming(a: str, b: str, lanes: int) -> Column:
 
 
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` with a function that is built once in each task, so that models load once."""
+    """``mapInArrow`` with a function that is built once in each task, so that models load once.
+
+    It gets ``ROWS`` rows at a time, which bounds what a task holds as Python objects.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for batch in batches:
-            if batch.num_rows and (out := each(batch)) is not None:
-                yield out
+            for at in range(0, batch.num_rows, ROWS):
+                if (out := each(batch.slice(at, ROWS))) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
