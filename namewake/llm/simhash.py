@@ -129,7 +129,8 @@ def components(
     first = saved(_similar(first, docs, distinct, words, min_jaccard))
     labels = connected_components(first)
 
-    named = grouped.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # of a block of two the only pair is the pivot's
+    named = grouped.where("size > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     small = named if lanes > 1 else named.where(F.col("size") <= hot_block)
     left, right = (small.select("key", "node", "label", *lane_names).alias(x) for x in ("l", "r"))
     met = (F.col("l.key") == F.col("r.key")) & (F.col("l.label") < F.col("r.label")) & (hamming("l", "r", lanes) <= max_bits)

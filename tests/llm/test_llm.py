@@ -127,7 +127,7 @@ def test_simhash_stage_finds_similar_texts(spark):
     linked = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     wanted = closure(list(range(len(data))), linked)
     table = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")
-    found = {r.doc_id: r.component_id for r in simhash.components(table, words=5, lanes=3, blocks=18, agree=2, max_bits=48, min_jaccard=0.8).collect()}
+    found = {r.doc_id: r.component_id for r in simhash.components(table, words=5, lanes=3, blocks=18, agree=2, max_bits=42, min_jaccard=0.8).collect()}
     apart = [i for i in range(len(data)) if found[i] != wanted[i]]
     assert all(found[i] // 6 == i // 6 for i in found)  # never a foreign text
     assert len(apart) <= 0.05 * len(data)
