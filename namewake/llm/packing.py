@@ -9,7 +9,7 @@ of any length or number of copies are dealt evenly: equal keys are ordered by a
 
 from __future__ import annotations
 
-import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -21,13 +21,24 @@ from pyspark.sql.window import Window
 from .common import map_arrow, saved
 
 BUCKETS, DIMENSIONS, BITS = 256, 4, 10
-WORDS = re.compile(r"[^ \t\r\n]+")
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it prints, else the next one from U+0100 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in prints]
+    letters = {b: chr(b) for b in prints} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+    return [letters[b] for b in range(256)]
 
 
 class WordIds(dict):
-    """Word -> its ids as little-endian unsigned 32-bit integers; a cache that computes what it lacks.
+    """Word (UTF-8) -> its ids as little-endian unsigned 32-bit integers; a cache that computes what it lacks.
 
-    The tokenizer never joins text over a space, tab or line end, so a text's ids are those of its words.
+    The tokenizer never joins text over ASCII white space, so a text's ids are those of its words; it lower-cases, so
+    ASCII case is dropped first where no combining mark could make that differ; and a mark of punctuation at the end
+    of a word is a token of its own. A word of lower-case Latin letters passes normalising and splitting
+    unchanged, so it goes straight to the library's merges. When ``keep`` words are held they become the older half,
+    from which those still in use come back.
     """
 
     def __init__(self, path: str, keep: int) -> None:
@@ -35,16 +46,39 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
         self.keep = keep
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        self[word] = packed = np.array(ids, dtype="<u4").tobytes()
+        self.older: dict[bytes, bytes] = {}
+        self.direct = all(self.merged(w.encode()) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in ("the", "straße", "élanción", "x"))
+
+    def merged(self, word: bytes) -> list[int]:
+        text = word.decode() if word.isascii() else "".join([self.letters[b] for b in word])
+        return [t.id for t in self.model.tokenize(text)]
+
+    def is_plain(self, word: bytes) -> bool:
+        if word.isascii():
+            return word.isalpha() and word.islower()
+        text = word.decode()
+        return text.isalpha() and max(text) < "\u0250" and text == text.lower() and unicodedata.is_normalized("NFC", text)
+
+    def __missing__(self, word: bytes) -> bytes:
+        packed = self.older.get(word)
+        if packed is None:
+            if word[-1:] in b",.;:!?" and word[-2:-1].isalpha():
+                return self[word[:-1]] + self[word[-1:]]
+            ids = self.merged(word) if self.direct and self.is_plain(word) else self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+            packed = np.array(ids, dtype="<u4").tobytes()
+        self[word] = packed
         return packed
 
     def ids(self, text: str) -> bytes:
-        packed = b"".join(map(self.__getitem__, WORDS.findall(text)))
+        raw = text.encode()
+        if b"\xcc" not in raw and b"\xcd" not in raw:  # first bytes of combining marks
+            raw = raw.lower()
+        packed = b"".join(map(self.__getitem__, raw.split()))
         if len(self) > self.keep:
+            self.older = dict(self)
             self.clear()
         return packed
 
@@ -123,7 +157,7 @@ def _wide(stored: bytes) -> np.ndarray:
     return np.frombuffer(stored, "<u2" if stored[0] == 2 else "<u4", offset=1).astype("<u4")
 
 
-def packed(docs: DataFrame, *, tokenizer_path: str, length: int = 4096, end_id: int = 2, keep: int = 400_000, with_ids: bool = False) -> DataFrame:
+def packed(docs: DataFrame, *, tokenizer_path: str, length: int = 4096, end_id: int = 2, keep: int = 1_000_000, with_ids: bool = False) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) of whole ``docs`` (doc_id, text).
 
     Every id lies in exactly one piece; sequences are numbered from 0 without gaps and only the last can be short.
