@@ -9,6 +9,10 @@ with one pivot (the most copied fingerprint), which ties a crowd of near copies
 members; only fingerprints in different components are then compared with each other. Blocks of more than
 ``hot_block`` members take a linear path instead: two fingerprints are within four bits exactly if some value
 is within two bits of both, so each member is joined on the values around it.
+
+Similar texts may differ in any number of SimHash bits. Where a Jaccard similarity is asked for, ``bands`` searches by
+MinHash instead: a permutation's least shingle is the same in two texts with the probability of their similarity, however
+short they are, so the chance that some band agrees whole is known for each similarity. The lanes are then one bit of each minimum.
 """
 
 from __future__ import annotations
@@ -68,6 +72,41 @@ def fingerprints(docs: DataFrame, *, words: int = 4, lanes: int = 1, seed: int =
     return map_arrow(rows, make, "doc_id long, " + ", ".join(f"f{i} long" for i in range(lanes)))
 
 
+def minima(hashes: list[int], n: int, seed: int) -> np.ndarray:
+    """The least of the hashes under each of ``n`` permutations; no hashes: the largest number each time."""
+    rng = np.random.default_rng(seed)
+    factors, shifts = rng.integers(0, 1 << 64, (2, n), np.uint64)
+    least, values = np.full(n, (1 << 64) - 1, np.uint64), np.array(hashes, dtype=np.uint64)
+    factors |= np.uint64(1)
+    for at in range(0, len(values), 2048):
+        part = values[at : at + 2048, None] * factors
+        part += shifts
+        np.minimum(least, part.min(axis=0), out=least)
+    return least
+
+
+def sketches(docs: DataFrame, *, words: int, lanes: int, bands: int, seed: int = 42) -> DataFrame:
+    """(doc_id, f0, f1 ..., keys): one bit of each of 64 minima a lane, and a key for each of ``bands`` runs of them."""
+    n = 64 * lanes
+    rows = n // bands
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            bits, keys = [], []
+            for text in batch.column(1).to_pylist():
+                least = minima(shingle_hashes(text, words, seed), n, seed)
+                bits.append(np.packbits(((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)).astype(np.uint8), bitorder="little").view("<i8"))
+                keys.append([xxhash.xxh64_intdigest(least[b * rows : (b + 1) * rows].tobytes(), b) for b in range(bands)])
+            columns = [pa.array([int(b[i]) for b in bits], pa.int64()) for i in range(lanes)]
+            keys = pa.array(np.array(keys, np.uint64).view(np.int64).tolist(), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([batch.column(0), *columns, keys], names=["doc_id", *(f"f{i}" for i in range(lanes)), "keys"])
+
+        return each
+
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return map_arrow(texts, make, "doc_id long, " + ", ".join(f"f{i} long" for i in range(lanes)) + ", keys array<long>")
+
+
 def block_keys(lanes: int, blocks: int, agree: int) -> Column:
     """An array of longs, one for each choice of ``agree`` blocks: its number and the bits of the blocks."""
     each = blocks // lanes
@@ -101,25 +140,30 @@ def hot_links(hot: DataFrame, lanes: int, max_bits: int) -> DataFrame:
 
 
 def components(
-    docs: DataFrame, *, words: int = 4, max_bits: int = 4, blocks: int = 7, agree: int = 3, lanes: int = 1, seed: int = 42, min_jaccard: float | None = None, hot_block: int = 16384
+    docs: DataFrame, *, words: int = 4, max_bits: int = 4, blocks: int = 7, agree: int = 3, lanes: int = 1, seed: int = 42, min_jaccard: float | None = None, hot_block: int = 16384, bands: int | None = None
 ) -> DataFrame:
     """(doc_id, f0 ..., component_id) for every row of ``docs`` (doc_id, text).
 
     ``component_id`` is the smallest doc_id among the rows that can be reached over links. With
     ``min_jaccard`` a link must also have that Jaccard similarity of its word shingles; the blocks are then a
     search with a recall below 1, since similar texts may differ in any number of bits. Without it the links are
-    exactly those of at most ``max_bits`` bits.
+    exactly those of at most ``max_bits`` bits. With ``bands`` as well the search is by MinHash, of ``64 * lanes // bands``
+    minima a band (``blocks`` and ``agree`` are not used).
 
     A null, empty or blank text has fingerprint 0 and is linked like any other. Rows with a null doc_id get a
     fingerprint and never name a component (null only if no other row is in it). Rows with the same doc_id stay
     separate rows. An empty table gives no rows. Columns besides doc_id and text are not read.
     """
     lane_names = [f"f{i}" for i in range(lanes)]
-    prints = saved(fingerprints(docs, words=words, lanes=lanes, seed=seed))
+    if bands is not None and min_jaccard is None:
+        raise ValueError("bands are a search for a Jaccard similarity")
+    prints = saved(fingerprints(docs, words=words, lanes=lanes, seed=seed) if bands is None else sketches(docs, words=words, lanes=lanes, bands=bands, seed=seed))
     node = F.col("f0") if lanes == 1 else F.xxhash64(*lane_names)
     prints = prints.withColumn("node", node)
-    distinct = saved(prints.groupBy("node", *lane_names).agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
-    keyed = distinct.select("node", "copies", *lane_names, F.explode(block_keys(lanes, blocks, agree)).alias("key"))
+    keys = block_keys(lanes, blocks, agree) if bands is None else F.col("keys")
+    least_keys = [] if bands is None else [F.min("keys").alias("keys")]
+    distinct = saved(prints.groupBy("node", *lane_names).agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), *least_keys))
+    keyed = distinct.select("node", "copies", *lane_names, F.explode(keys).alias("key"))
     group = Window.partitionBy("key")
     ranked = keyed.withColumn("size", F.count("*").over(group)).withColumn("best", F.max(F.struct("copies", "node", *lane_names)).over(group))
     grouped = saved(ranked.where("size > 1"))

@@ -133,6 +133,31 @@ def test_simhash_stage_finds_similar_texts(spark):
     assert len(apart) <= 0.05 * len(data)
 
 
+def test_near_duplicates_at_the_threshold(spark, sf):
+    """Pairs of a similarity from 0.8 to 0.85, long and short, and pairs below 0.8, through the pipeline's stage."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(5000)]
+    shingles = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    data, near = [], []
+    while len(near) < 400:
+        text = [rng.choice(words) for _ in range(300 if len(near) % 2 else 16)]
+        other = list(text)
+        for i in rng.sample(range(300), rng.choice((5, 6, 7, 9))) if len(near) % 2 else ():
+            other[i] = rng.choice(words)
+        other += [rng.choice(words) for _ in range(0 if len(near) % 2 else rng.choice((3, 4)))]
+        similarity = len(shingles(text) & shingles(other)) / len(shingles(text) | shingles(other))
+        if similarity <= 0.85:
+            near.append(similarity >= 0.8)
+            data += [" ".join(text), " ".join(other)]
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(list(enumerate(data)), "doc_id long, text string"), sf).collect()}
+    found = [2 * i + 1 not in kept for i in range(len(near))]
+    assert all(2 * i in kept for i in range(len(near)))  # the first of each pair
+    assert not any(f for f, n in zip(found, near) if not n)
+    assert sum(found) >= 0.95 * sum(near)
+
+
 # 2: URL filters
 
 
