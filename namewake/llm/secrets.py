@@ -1,6 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest. Native functions and Spark ML only.
 
-A candidate is a long run of key characters with a digit in it. Its features are its length, its character transitions
+A candidate is a long run of key characters with a digit in it, a value of a format whose prefix names the issuer, or any
+value of six characters or more that is assigned to, or stands in quotes after, a credential's name. Its features are its length, its character transitions
 (classes that alternate, and how usual its character pairs are in the corpus's words), how much of it is made of
 dictionary words, its path, and the words next to it. The forest learns from labelled findings; where nobody has labelled
 any, findings that a plain rule can tell for sure are the labels.
@@ -20,13 +21,22 @@ from pyspark.sql import functions as F
 from .common import saved
 
 # The look-behind keeps a search from starting again inside a run, the look-ahead asks for a digit.
-CANDIDATE = r"(?<![A-Za-z0-9_+/.~-])(?=[A-Za-z_+/.~-]*[0-9])[A-Za-z0-9_+/.~-]{15,}[A-Za-z0-9_+/~-]={0,2}"
+RUN = r"(?<![A-Za-z0-9_+/.~-])(?=[A-Za-z_+/.~-]*[0-9])[A-Za-z0-9_+/.~-]{15,}[A-Za-z0-9_+/~-]={0,2}"
+# Formats whose prefix names the issuer.
+FORMATS = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*"
+# Names of credentials with what may follow in the same name, and values after them: a short look-behind comes first, as the long one costs more.
+NAME = r"(?i:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)s?(?:[_A-Z0-9-][\w-]{0,16})?"
+SIGN = r"[\"'`\]]{0,2}[ \t]{0,4}(?:=>|:=|==?|:)[ \t]{0,4}"
+QUOTED = [rf"(?<={q})(?<={NAME}(?:{SIGN}|[ \t]{{1,4}}){q})(?=\S)[^{q}\r\n]{{6,512}}(?={q})" for q in "\"'`"]
+BARE = rf"(?<=[=:>][ \t]{{0,4}})(?<={NAME}{SIGN})(?![=\s])(?:[^\s\"'`&,;<>(){{}}\[\]]|&(?!\w+=)){{5,512}}[^\s\"'`&,;.<>(){{}}\[\]]"
+CANDIDATE = "|".join([*QUOTED, BARE, RUN, rf"(?<![A-Za-z0-9_+/.~-])(?:{FORMATS})(?![A-Za-z0-9_])"])
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789"
 WIDTH = len(ALPHABET) + 1
-# Words near a credential, words of placeholders, and formats whose prefix names the issuer.
-CREDENTIAL = r"(?i)(token|secret|passw(or)?d|pwd|api_?-?key|access_?-?key|auth|bearer|credential|private_?-?key)[\"':=]*$"
+# Words near a credential, words of placeholders, and names that stand for a value kept elsewhere.
+CREDENTIAL = NAME + r"[\"':=]*$"
 PLACEHOLDER = r"(?i)(example|sample|dummy|placeholder|changeme|your[_-]|xxxx|test[_-]?key|0{8}|1234567890)"
-ISSUED = r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^sk_live_[A-Za-z0-9]{16,}$|^AIza[A-Za-z0-9_-]{35}$|^eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\."
+ISSUED = rf"^(?:{FORMATS})(?<!=)={{0,2}}$"
+REFERENCE = r"^[$%<{]|\$\{|\{\{|\(|://|(?i)\benv\b"
 TEST_PATH = r"(?i)(^|[^a-z])(tests?|examples?|samples?|mocks?|fixtures?|docs?)([^a-z]|$)"
 FEATURES = ["length", "digits", "uppers", "symbols", "distinct", "switches", "hex_only", "transitions", "dictionary", "test_path", "credential_before", "assigned", "quoted", "placeholder", "neighbours_plain"]
 
@@ -120,11 +130,15 @@ def features(found: DataFrame, words: DataFrame, costs: list[float]) -> DataFram
 
 
 def sure_labels(found: DataFrame) -> DataFrame:
-    """``label`` 1 for issued formats and for quoted values assigned to a credential's name; 0 for plain numbers, words,
-    placeholders and values in running text; null where the rule can't tell."""
-    mixed = (F.col("digits") > 0.1) & (F.col("digits") < 0.95) & (F.col("distinct") > 0.2)
-    yes = F.col("secret").rlike(ISSUED) | ((F.col("credential_before") == 1) & (F.col("assigned") == 1) & (F.col("quoted") == 1) & mixed)
-    no = (F.col("digits") >= 0.95) | (F.col("dictionary") >= 0.6) | ((F.col("neighbours_plain") == 2) & (F.col("credential_before") == 0) & (F.col("quoted") == 0))
+    """``label`` 1 for issued formats and for quoted values assigned to a credential's name that no single word or sentence would be;
+    0 for plain numbers, words, placeholders and values in running text; null where the rule can't tell."""
+    one = ~F.col("secret").rlike(r"\s") & ((F.col("digits") > 0) | F.col("secret").rlike(r"[A-Za-z][!@#$%^&*?+~|]+\w|([a-z][A-Z].*){2}") | ((F.col("length") >= 16) & (F.col("dictionary") == 0)))
+    several = F.col("secret").rlike(r"^[a-z]{3,}([ _.-][a-z]{3,}){2,}$")
+    named = (F.col("credential_before") == 1) & (F.col("assigned") == 1) & (F.col("quoted") == 1)
+    yes = F.col("secret").rlike(ISSUED) | (named & (one | several) & (F.col("digits") < 0.95) & (F.col("distinct") > 0.2) & ~F.col("secret").rlike(REFERENCE))
+    word = F.col("secret").rlike(r"^[A-Za-z_.]{1,15}$") & (F.col("quoted") == 0)
+    prose = F.col("secret").rlike(r"\s") & (F.col("assigned") == 0)
+    no = word | prose | F.col("secret").rlike(r"\$\{|\{\{|^<.*>$") | ((F.col("digits") >= 0.95) & ~named) | (F.col("dictionary") >= 0.6) | ((F.col("neighbours_plain") == 2) & (F.col("credential_before") == 0) & (F.col("quoted") == 0))
     return found.withColumn("label", F.when(F.col("placeholder") == 1, 0.0).when(yes, 1.0).when(no, 0.0))
 
 
@@ -157,16 +171,20 @@ def scan(docs: DataFrame, *, labelled: DataFrame | None = None, threshold: float
 
     ``place`` numbers a text's candidates from 0. ``labelled`` are findings with the FEATURES, ``row`` and a
     ``label``; without it ``sure_labels`` of these documents are learned. If they are all of one kind there is no forest and
-    every candidate has that kind.
+    every candidate has that kind. What ``sure_labels`` calls a secret is one, however few of its like the forest has seen; what it
+    calls none is none unless a long run is in it.
 
     A null or empty text has no candidates; a null source is no path. Rows with a null or repeated doc_id are scanned each. A
     value that stands several times is reported each time. An empty table gives no rows. Other columns are not read.
     """
     words = saved(corpus_words(docs))
     found = saved(features(saved(candidates(docs)), words, transition_costs(words)))
-    model = train(sure_labels(found) if labelled is None else labelled)
-    scored = model.apply(found)
-    return scored.select("doc_id", "place", "secret", "probability", (F.col("probability") >= threshold).alias("is_secret"))
+    if labelled is None:
+        found = sure_labels(found)
+    scored = train(found if labelled is None else labelled).apply(found)
+    learned = F.col("probability") >= threshold
+    sure = F.when(F.col("label") == 1, True).when((F.col("label") == 0) & ~F.col("secret").rlike(RUN), False).otherwise(learned)
+    return scored.select("doc_id", "place", "secret", "probability", (sure if labelled is None else learned).alias("is_secret"))
 
 
 def redact(docs: DataFrame, *, mark: str = "[REDACTED]") -> DataFrame:
