@@ -1,19 +1,22 @@
 """Benchmark decontamination: latent semantic retrieval of passages, then subsequence and answer checks.
 
-Benchmark items become TF-IDF rows, with document frequencies counted over the whole corpus. A distributed randomised
-SVD (subspace iteration on the Gram operator, whose products are summed over Spark partitions) gives a latent basis. Every
-window of every document is projected on it and compared by cosine with all items. A document's windows near an item are
-then checked word by word: the longest common subsequence must cover most of the item within a stretch of
+Benchmark items and the corpus's passages near them become TF-IDF rows, with document frequencies counted over the whole
+corpus. A distributed randomised SVD (subspace iteration on the Gram operator, whose products are summed over Spark
+partitions) gives a latent basis. The windows of a document are projected on it and compared by cosine with the items. Windows near
+an item are then checked word by word: the longest common subsequence must cover most of the item within a stretch of
 about its length, and the item's answer words - given, or its rarest - must be there.
 
-Words outside the benchmark's vocabulary have no row in the basis, so the work on them ends with one lookup.
+A document without enough answer words of an item can't pass the last check for it, so its windows are not projected for that item: that
+bound is exact. Words outside the benchmark's vocabulary have no row in the basis, so the work on them ends with one lookup.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable
+import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, saved
 
 WORD = re.compile(r"[^\W_]+")
 CELL = 16  # words; a window is two neighbouring cells
@@ -45,12 +48,14 @@ def common_length(a: list[str], b: list[str]) -> int:
 
 
 def best_stretch(item: list[str], words: list[str]) -> tuple[float, list[str]]:
-    """The largest share of ``item`` that is a common subsequence with a stretch of ``words`` half as long again."""
-    size = len(item) + len(item) // 2 + 2
+    """The largest share of ``item`` that is a common subsequence with a stretch of ``words`` half as long again, and the first such stretch."""
+    size, known = len(item) + len(item) // 2 + 2, set(item)
     best, at = 0, 0
-    for start in range(0, max(1, len(words) - len(item) // 2), max(1, len(item) // 4)):
-        if (found := common_length(item, words[start : start + size])) > best:
+    for start, word in enumerate(words):
+        if word in known and (found := common_length(item, words[start : start + size])) > best:
             best, at = found, start
+            if best == len(item):
+                break
     return best / len(item), words[at : at + size]
 
 
@@ -82,22 +87,23 @@ def latent_basis(rows: DataFrame, terms: int, rank: int, *, extra: int = 16, rou
 
 
 def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
-    """For each benchmark word, the number of documents with it; and the number of documents."""
+    """For each term, the number of documents with one of its words; and the number of documents."""
+    terms = max(vocabulary.values(), default=-1) + 1
 
     def run(batches):
-        counts, n = np.zeros(len(vocabulary), np.int64), 0
+        counts, n = np.zeros(terms, np.int64), 0
         known = frozenset(vocabulary)
         for batch in batches:
             n += batch.num_rows
             for text in batch.column(0).to_pylist():
                 found = known.intersection(words_of(text))
-                counts[[vocabulary[w] for w in found]] += 1
+                counts[list({vocabulary[w] for w in found})] += 1
         index = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *index], pa.int32()), pa.array([n, *counts[index]], pa.int64())], names=["term", "n"])
 
     sums = docs.select(F.col("text").cast("string")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    counts, total = np.zeros(len(vocabulary), np.int64), 0
-    for r in sums.collect():  # a row for each benchmark word at most
+    counts, total = np.zeros(terms, np.int64), 0
+    for r in sums.collect():  # a row for each term at most
         if r.term < 0:
             total = r.n
         else:
@@ -108,11 +114,127 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[n
 Found = dict[int, tuple[float, float, float]]
 
 
+@dataclass(frozen=True)
+class Space:
+    """What all items share: the vocabulary's terms, their weights and the latent basis (terms x rank)."""
+
+    vocabulary: dict[str, int]
+    idf: np.ndarray
+    basis: np.ndarray
+
+    def row(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The unit TF-IDF row (terms, weights) of the words in the vocabulary."""
+        terms, times = np.unique([self.vocabulary[w] for w in words if w in self.vocabulary], return_counts=True)
+        weights = (1 + np.log(times)) * self.idf[terms.astype(np.int64)]
+        return terms.astype(np.int64), weights / np.linalg.norm(weights)
+
+
+class Finder:
+    """A slice of the benchmark's items, and the search for them in a text. What it finds of an item depends on no other item."""
+
+    def __init__(self, rows: list, space: Space, min_cosine: float, min_common: float, min_answer: float, min_words: int) -> None:
+        self.space, self.min_cosine, self.min_common, self.min_answer = space, min_cosine, min_common, min_answer
+        self.items = [(r.item_id, w, words_of(r.answer)) for r in rows if len(w := words_of(r.text)) >= min_words]
+        weight = lambda w: space.idf[space.vocabulary[w]]
+        self.answers = [set(a) or {w for _, w in sorted((-weight(w), w) for w in set(words))[: max(3, len(set(words)) // 3)]} for _, words, a in self.items]
+        self.needed = [math.ceil(min_answer * len(a) - 1e-9) for a in self.answers]
+        self.asked: dict[str, list[int]] = {}
+        for i, answer in enumerate(self.answers):
+            for w in answer:
+                self.asked.setdefault(w, []).append(i)
+        self.asked_words = frozenset(self.asked)
+        self.free = [i for i, n in enumerate(self.needed) if n <= 0]
+
+    def project(self) -> None:
+        rows = [self.space.row(words) for _, words, _ in self.items]
+        targets = np.stack([w @ self.space.basis[t] for t, w in rows]) if rows else np.zeros((0, self.space.basis.shape[1]))
+        self.targets = (targets / np.maximum(np.linalg.norm(targets, axis=1, keepdims=True), 1e-12)).T.astype(np.float32)
+        self.term_rows = (self.space.basis * self.space.idf[:, None]).astype(np.float32)
+
+    def possible(self, words: list[str]) -> list[int]:
+        """The items of which enough answer words stand somewhere in the text; no other can pass the answer check."""
+        seen: dict[int, int] = {}
+        for w in self.asked_words.intersection(words):
+            for i in self.asked[w]:
+                seen[i] = seen.get(i, 0) + 1
+        return sorted({i for i, n in seen.items() if n >= self.needed[i]}.union(self.free))
+
+    def passages(self, words: list[str]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """For each possible item the window with most of its answer words, as a TF-IDF row, if half of those needed are in it."""
+        out = []
+        for i in self.possible(words):
+            cells: dict[int, set[str]] = {}
+            for at, w in enumerate(words):
+                if w in self.answers[i]:
+                    cells.setdefault(at // CELL, set()).add(w)
+            held, low = max(((len(cells.get(c, set()) | cells.get(c + 1, set())), -c) for c in {*cells, *(c - 1 for c in cells)}), default=(0, 0))
+            if held and 2 * held >= self.needed[i]:
+                terms, weights = self.space.row(words[max(0, -low * CELL) : (2 - low) * CELL])
+                if len(terms):
+                    out.append((i, terms, weights))
+        return out
+
+    def windows(self, words: list[str], wanted: list[int]) -> dict[int, list[tuple[int, float]]]:
+        """Item number -> its windows (cell, cosine) above the least cosine."""
+        ids = np.fromiter(map(self.space.vocabulary.get, words, repeat(-1)), np.int32, len(words))
+        at = np.flatnonzero(ids >= 0)
+        if not len(at):
+            return {}
+        found: dict[int, list[tuple[int, float]]] = {}
+        cells, targets = at // CELL, self.targets[:, wanted]
+        for low in range(0, int(cells[-1]) + 1, 2048):  # cells at a time, so that long texts take bounded memory
+            a, b = np.searchsorted(cells, (low, low + 2049))
+            if a == b:
+                continue
+            own = cells[a:b]
+            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            sums = np.zeros((2050, self.term_rows.shape[1]), np.float32)
+            sums[own[starts] - low] = np.add.reduceat(self.term_rows[ids[at[a:b]]], starts, axis=0)
+            pairs = sums[:2049] + sums[1:]
+            used = np.flatnonzero(pairs.any(axis=1))
+            pairs = pairs[used]
+            cosines = (pairs @ targets) / np.maximum(np.linalg.norm(pairs, axis=1, keepdims=True), 1e-12)
+            for w, item in zip(*np.nonzero(cosines >= self.min_cosine), strict=True):
+                found.setdefault(wanted[item], []).append((low + int(used[w]), float(cosines[w, item])))
+        return found
+
+    def checked(self, words: list[str], item: int, near: list[tuple[int, float]]) -> tuple[float, float, float] | None:
+        wanted = self.items[item][1]
+        spans: list[list[int]] = []
+        for cell, _ in sorted(near):
+            low, high = max(0, cell * CELL - len(wanted)), (cell + 2) * CELL + len(wanted)
+            if spans and low <= spans[-1][1]:
+                spans[-1][1] = high
+            else:
+                spans.append([low, high])
+        best = None
+        for low, high in spans:
+            stretch = words[low:high]
+            there = set(stretch)
+            if sum(w in there for w in wanted) < self.min_common * len(wanted):
+                continue  # no common subsequence is longer than the item's words that are there
+            common, held = best_stretch(wanted, stretch)
+            share = len(self.answers[item].intersection(held)) / len(self.answers[item])
+            if common >= self.min_common and share >= self.min_answer and (best is None or (common, share) > best[:2]):
+                best = (common, share, max(c for _, c in near))
+        return best
+
+    def find(self, text: str | None) -> Found:
+        words = words_of(text)
+        best: Found = {}
+        if possible := self.possible(words):
+            for item, near in self.windows(words, possible).items():
+                found = self.checked(words, item, near)
+                if found and found > best.get(self.items[item][0], (-1.0,)):
+                    best[self.items[item][0]] = found
+        return best
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """(doc_id, item_id, common, answer, cosine): the documents that hold a benchmark item, whole texts, one row a pair.
 
     ``benchmark`` has item_id and text, and may have ``answer``. ``common`` is the share of the item's words found as
-    a common subsequence, ``answer`` the share of its answer words there, ``cosine`` the best window's. Options: see ``finders``.
+    a common subsequence, ``answer`` the share of its answer words there, ``cosine`` the best window's. Options: see ``search``.
 
     Null or empty texts on either side never match, nor do items of under ``min_words`` words. Rows with a null doc_id are
     reported with it. Repeated documents are each reported; repeated items are each reported under their own item_id, and
@@ -120,15 +242,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     rows. Columns besides those named are not read.
     """
     schema = "doc_id long, item_id long, common double, answer double, cosine double"
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = docs.sparkSession.createDataFrame([], schema)
-    for find in finders(docs, benchmark, **options):
+    for finder, near in search(docs, benchmark, **options):
 
-        def make(find=find):
+        def make(finder=finder):
             def each(batch: pa.RecordBatch) -> pa.RecordBatch:
                 out: list[list] = [[] for _ in range(5)]
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    for item_id, found in find(text).items():
+                    for item_id, found in finder.find(text).items():
                         for column, value in zip(out, (doc_id, item_id, *found), strict=True):
                             column.append(value)
                 types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
@@ -136,109 +257,91 @@ def matches(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
             return each
 
-        out = out.union(map_arrow(rows, make, schema))
+        out = out.union(saved(map_arrow(near, make, schema)))
     return out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns, whose whole text holds no benchmark item; null and empty texts stay."""
-    for find in finders(docs, benchmark, **options):
+    for finder, _ in search(docs, benchmark, **options):
 
-        def make(find=find):
-            return lambda batch: batch.filter(pa.array([not find(t) for t in batch.column("text").to_pylist()], pa.bool_()))
+        def make(finder=finder):
+            return lambda batch: batch.filter(pa.array([not finder.find(t) for t in batch.column("text").to_pylist()], pa.bool_()))
 
         docs = map_arrow(docs, make, docs.schema)
     return docs
 
 
-def finders(docs: DataFrame, benchmark: DataFrame, *, slice_chars: int = 4_000_000, **options) -> list[Callable[[str | None], Found]]:
-    """Functions from a text to its matches, one for each slice of the benchmark.
-
-    Slices hold about ``slice_chars`` characters, so the model that goes to the tasks is bounded whatever the benchmark's size.
+def search(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    rank: int = 128,
+    min_cosine: float = 0.5,
+    min_common: float = 0.65,
+    min_answer: float = 0.5,
+    min_words: int = 8,
+    terms: int = 1 << 16,
+    slice_chars: int = 4_000_000,
+    seed: int = 5,
+) -> Iterator[tuple[Finder, DataFrame]]:
+    """For each slice of the benchmark, its finder and the (doc_id, text) of the documents in which it can find anything.
+
+    There is one vocabulary, hashed to ``terms``, one set of document frequencies and one basis for the whole benchmark. A slice, of
+    about ``slice_chars`` characters, only bounds how many items a task holds; items don't influence each other, so the slices' size changes no result.
+
+    The basis is of the items' TF-IDF rows and of the corpus's passages near them: in each document with enough answer words of an item, the
+    window with most of them. An item's passages together weigh as much as the item, however often it is copied.
     """
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"), answer.alias("answer")).where("length(text) > 0")
     chars = items.agg(F.coalesce(F.sum(F.length("text") + F.coalesce(F.length("answer"), F.lit(0))), F.lit(0)).alias("n")).first()["n"]
     slices = max(1, -(-chars // slice_chars))
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(slices))
-    found = [_finder(docs, items.where(part == i), **options) for i in range(slices)]
-    return [find for find in found if find]
-
-
-def _finder(
-    docs: DataFrame, items: DataFrame, rank: int = 128, min_cosine: float = 0.5, min_common: float = 0.65, min_answer: float = 0.5, min_words: int = 8
-) -> Callable[[str | None], Found] | None:
-    rows = items.orderBy("item_id", "text").collect()  # one slice
-    texts = [(r.item_id, w, words_of(r.answer)) for r in rows if len(w := words_of(r.text)) >= min_words]
-    if not texts:
-        return None
-    vocabulary = {w: i for i, w in enumerate(sorted({w for _, words, _ in texts for w in words}))}
+    part = F.pmod(F.xxhash64("item_id"), F.lit(slices))
+    spark = docs.sparkSession
+
+    def item_words(rows: Iterator) -> Iterator[list[str]]:
+        return (w for r in rows if len(w := words_of(r.text)) >= min_words)
+
+    known = sorted({w for words in item_words(items.select("text").toLocalIterator()) for w in words})  # distinct words of the benchmark
+    if not known:
+        return
+    places = {h: i for i, h in enumerate(sorted({zlib.crc32(w.encode()) % terms for w in known}))}
+    vocabulary = {w: places[zlib.crc32(w.encode()) % terms] for w in known}
     counts, total = document_frequencies(docs, vocabulary)
-    idf = np.log((1 + total) / (1 + counts)) + 0.1
-
-    sparse = []
-    for _, words, _ in texts:
-        terms, times = np.unique([vocabulary[w] for w in words], return_counts=True)
-        weights = (1 + np.log(times)) * idf[terms]
-        sparse.append((terms.tolist(), (weights / np.linalg.norm(weights)).tolist()))
-    rows = docs.sparkSession.createDataFrame(sparse, "terms array<int>, weights array<double>").repartition(max(1, math.ceil(len(sparse) / 2000)))
-    basis = latent_basis(rows, len(vocabulary), min(rank, len(texts)))
-    projected = np.stack([np.array(w) @ basis[t] for t, w in sparse])
-    projected /= np.maximum(np.linalg.norm(projected, axis=1, keepdims=True), 1e-12)
-    term_rows, targets = (basis * idf[:, None]).astype(np.float32), projected.T.astype(np.float32)
-    answers = [set(a) or {w for _, w in sorted(((-idf[vocabulary[w]], w) for w in set(words)))[: max(3, len(set(words)) // 3)]} for _, words, a in texts]
-
-    def windows(words: list[str]) -> dict[int, list[tuple[int, float]]]:
-        """Item number -> its windows (cell, cosine) above the least cosine."""
-        ids = np.fromiter(map(vocabulary.get, words, repeat(-1)), np.int32, len(words))
-        at = np.flatnonzero(ids >= 0)
-        if not len(at):
-            return {}
-        found: dict[int, list[tuple[int, float]]] = {}
-        cells = at // CELL
-        for low in range(0, int(cells[-1]) + 1, 2048):  # cells at a time, so that long texts take bounded memory
-            a, b = np.searchsorted(cells, (low, low + 2049))
-            if a == b:
-                continue
-            own = cells[a:b]
-            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            sums = np.zeros((2050, term_rows.shape[1]), np.float32)
-            sums[own[starts] - low] = np.add.reduceat(term_rows[ids[at[a:b]]], starts, axis=0)
-            pairs = sums[:2049] + sums[1:]
-            used = np.flatnonzero(pairs.any(axis=1))
-            pairs = pairs[used]
-            cosines = (pairs @ targets) / np.maximum(np.linalg.norm(pairs, axis=1, keepdims=True), 1e-12)
-            for w, item in zip(*np.nonzero(cosines >= min_cosine), strict=True):
-                found.setdefault(int(item), []).append((low + int(used[w]), float(cosines[w, item])))
-        return found
+    space = Space(vocabulary, np.log((1 + total) / (1 + counts)) + 0.1, np.zeros((len(places), 0)))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
-    def checked(words: list[str], item: int, near: list[tuple[int, float]]) -> tuple[float, float, float] | None:
-        wanted = texts[item][1]
-        spans: list[list[int]] = []
-        for cell, _ in sorted(near):
-            low, high = max(0, cell * CELL - len(wanted)), (cell + 2) * CELL + len(wanted)
-            if spans and low <= spans[-1][1]:
-                spans[-1][1] = high
-            else:
-                spans.append([low, high])
-        known, best = set(wanted), None
-        for low, high in spans:
-            stretch = words[low:high]
-            if len(known.intersection(stretch)) < min_common * len(known) * 0.8:
-                continue
-            common, held = best_stretch(wanted, stretch)
-            share = len(answers[item].intersection(held)) / len(answers[item])
-            if common >= min_common and share >= min_answer and (best is None or (common, share) > best[:2]):
-                best = (common, share, max(c for _, c in near))
-        return best
+    def finder(i: int, space: Space) -> Finder:
+        return Finder(items.where(part == i).orderBy("item_id", "text", "answer").collect(), space, min_cosine, min_common, min_answer, min_words)  # one slice
 
-    def find(text: str | None) -> Found:
-        words = words_of(text)
-        best: Found = {}
-        for item, near in windows(words).items():
-            found = checked(words, item, near)
-            if found and found > best.get(texts[item][0], (-1.0,)):
-                best[texts[item][0]] = found
-        return best
+    near, passages = [], spark.createDataFrame([], "item long, terms array<int>, weights array<double>")
+    for i in range(slices):
+        one = finder(i, space)
+
+        def possible(one=one):
+            return lambda batch: batch.filter(pa.array([bool(one.possible(words_of(t))) for t in batch.column(1).to_pylist()], pa.bool_()))
+
+        near.append(saved(map_arrow(texts, possible, texts.schema)))
+
+        def rows(one=one, i=i):
+            def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+                found = [p for t in batch.column(1).to_pylist() for p in one.passages(words_of(t))]
+                columns = [pa.array([slices * n + i for n, _, _ in found], pa.int64()), pa.array([t for _, t, _ in found], pa.list_(pa.int32())), pa.array([w for _, _, w in found], pa.list_(pa.float64()))]
+                return pa.RecordBatch.from_arrays(columns, names=["item", "terms", "weights"])
+
+            return each
 
-    return find
+        own = [(t.tolist(), w.tolist()) for t, w in (space.row(words) for _, words, _ in one.items)]
+        passages = passages.union(map_arrow(near[-1], rows, passages.schema))
+        passages = passages.union(spark.createDataFrame([(-1, *r) for r in own], passages.schema))
+    passages = saved(passages)
+    copies = passages.groupBy("item").agg(F.count("*").alias("n"))
+    scaled = passages.join(copies, "item").select("terms", F.when(F.col("item") < 0, F.col("weights")).otherwise(F.transform("weights", lambda w: w / F.sqrt("n"))).alias("weights"))
+    size = scaled.count()
+    scaled = saved(scaled.repartition(min(64, math.ceil(size / 2000))))
+    space = Space(vocabulary, space.idf, latent_basis(scaled, len(places), min(rank, size), seed=seed))
+    for i in range(slices):
+        one = finder(i, space)
+        one.project()
+        yield one, near[i]
