@@ -5,8 +5,8 @@ A fingerprint is cut into blocks. Two fingerprints that differ in at most ``max_
 blocks. A row for each choice of ``agree`` blocks makes that an equality join on keys long enough to be selective.
 
 Copies cost nothing: only distinct fingerprints are blocked. Within a block the members are first compared
-with one pivot (the most copied fingerprint), which ties a crowd of near copies together by as many rows as it has
-members; only fingerprints in different components are then compared with each other. Blocks of more than
+with one pivot (the one whose blocks are largest), which ties a crowd of near copies together by as many rows as it has
+members; then the members outside a block's main component are compared with the rest. Blocks of more than
 ``hot_block`` members take a linear path instead: two fingerprints are within four bits exactly if some value
 is within two bits of both, so each member is joined on the values around it.
 
@@ -24,7 +24,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import hamming, map_arrow, saved
 from .components import connected_components
@@ -58,18 +57,17 @@ def fingerprint(hashes: list[int]) -> int:
 
 
 def fingerprints(docs: DataFrame, *, words: int = 4, lanes: int = 1, seed: int = 42) -> DataFrame:
-    """(doc_id, f0, f1 ...): ``lanes`` fingerprints of each text, lane i hashed with ``seed + i``."""
+    """(doc_id, digest, f0, f1 ...): ``lanes`` fingerprints of each text of (doc_id, text, digest), lane i hashed with ``seed + i``."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column(1).to_pylist()
             columns = [pa.array([fingerprint(shingle_hashes(t, words, seed + i)) for t in texts], pa.int64()) for i in range(lanes)]
-            return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *(f"f{i}" for i in range(lanes))])
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["doc_id", "digest", *_lanes(lanes)])
 
         return each
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return map_arrow(rows, make, "doc_id long, " + ", ".join(f"f{i} long" for i in range(lanes)))
+    return map_arrow(docs.select("doc_id", "text", "digest"), make, "doc_id long, digest long, " + ", ".join(f"{f} long" for f in _lanes(lanes)))
 
 
 def minima(hashes: list[int], n: int, seed: int) -> np.ndarray:
@@ -86,7 +84,7 @@ def minima(hashes: list[int], n: int, seed: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, *, words: int, lanes: int, bands: int, seed: int = 42) -> DataFrame:
-    """(doc_id, f0, f1 ..., keys): one bit of each of 64 minima a lane, and a key for each of ``bands`` runs of them."""
+    """(doc_id, digest, f0, f1 ..., keys): one bit of each of 64 minima a lane, and a key for each of ``bands`` runs of them."""
     n = 64 * lanes
     rows = n // bands
 
@@ -99,12 +97,11 @@ def sketches(docs: DataFrame, *, words: int, lanes: int, bands: int, seed: int =
                 keys.append([xxhash.xxh64_intdigest(least[b * rows : (b + 1) * rows].tobytes(), b) for b in range(bands)])
             columns = [pa.array([int(b[i]) for b in bits], pa.int64()) for i in range(lanes)]
             keys = pa.array(np.array(keys, np.uint64).view(np.int64).tolist(), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([batch.column(0), *columns, keys], names=["doc_id", *(f"f{i}" for i in range(lanes)), "keys"])
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns, keys], names=["doc_id", "digest", *_lanes(lanes), "keys"])
 
         return each
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return map_arrow(texts, make, "doc_id long, " + ", ".join(f"f{i} long" for i in range(lanes)) + ", keys array<long>")
+    return map_arrow(docs.select("doc_id", "text", "digest"), make, "doc_id long, digest long, " + ", ".join(f"{f} long" for f in _lanes(lanes)) + ", keys array<long>")
 
 
 def block_keys(lanes: int, blocks: int, agree: int) -> Column:
@@ -139,8 +136,48 @@ def hot_links(hot: DataFrame, lanes: int, max_bits: int) -> DataFrame:
     return met.select("a", F.explode("all").alias("b")).where("a <> b").distinct()
 
 
+def _busy(keyed: DataFrame) -> DataFrame:
+    """(node, key, size): the rows of blocks with more than one member. Sizes are counted before anything meets in one task."""
+    sizes = saved(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    return saved(keyed.join(sizes, "key").select("node", "key", "size"))
+
+
+def _star(grouped: DataFrame, nodes: DataFrame, lanes: int, max_bits: int) -> DataFrame:
+    """(a, b): each member of a block with the block's most central member, where they are close enough.
+
+    The most central is the one whose blocks are largest: an original is in more of its copies' blocks than any of the copies.
+    """
+    weights = grouped.groupBy("node").agg(F.sum("size").alias("weight"))
+    members = saved(grouped.join(weights.join(nodes, "node"), "node").select("key", "node", "weight", *_lanes(lanes)))
+    pivots = saved(members.groupBy("key").agg(F.max(F.struct("weight", "node", *_lanes(lanes))).alias("best")))
+    star = members.alias("star").join(pivots, "key").where("star.node <> best.node")
+    return star.where(hamming("star", "best", lanes) <= max_bits).select(F.col("best.node").alias("a"), F.col("star.node").alias("b")).distinct()
+
+
+def _apart(grouped: DataFrame, nodes: DataFrame, labels: DataFrame, lanes: int) -> DataFrame:
+    """Members, with their labels, of the blocks that still hold several, and each such block's ``main`` label: the one with most members in all blocks."""
+    named = saved(grouped.where("size > 2").join(nodes, "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))  # of a block of two the only pair is the pivot's
+    most = named.groupBy("label").agg(F.count("*").alias("n"))
+    blocks = named.groupBy("key", "label").agg(F.count("*").alias("n")).drop("n").join(most, "label")
+    several = saved(blocks.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("most")).where("labels > 1").select("key", F.col("most.label").alias("main")))
+    return saved(named.join(several, "key").select("key", "node", "size", "label", "main", *_lanes(lanes)))
+
+
+def _across(members: DataFrame, lanes: int, max_bits: int, also: Column | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b): the close members of one block with different labels. Members of a block's main label are not compared with each other."""
+    columns = ["key", "node", "label", *_lanes(lanes), *extra]
+    left, right = members.where("label <> main").select("main", *columns).alias("l"), members.select(*columns).alias("r")
+    met = (F.col("l.key") == F.col("r.key")) & ((F.col("r.label") == F.col("l.main")) | (F.col("l.label") < F.col("r.label"))) & (hamming("l", "r", lanes) <= max_bits)
+    pairs = left.join(right, met if also is None else met & also)
+    return pairs.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
+
+
+def _lanes(lanes: int) -> list[str]:
+    return [f"f{i}" for i in range(lanes)]
+
+
 def components(
-    docs: DataFrame, *, words: int = 4, max_bits: int = 4, blocks: int = 7, agree: int = 3, lanes: int = 1, seed: int = 42, min_jaccard: float | None = None, hot_block: int = 16384, bands: int | None = None
+    docs: DataFrame, *, words: int = 4, max_bits: int = 4, blocks: int = 7, agree: int = 3, lanes: int = 1, seed: int = 42, min_jaccard: float | None = None, hot_block: int | None = None, bands: int | None = None
 ) -> DataFrame:
     """(doc_id, f0 ..., component_id) for every row of ``docs`` (doc_id, text).
 
@@ -148,83 +185,104 @@ def components(
     ``min_jaccard`` a link must also have that Jaccard similarity of its word shingles; the blocks are then a
     search with a recall below 1, since similar texts may differ in any number of bits. Without it the links are
     exactly those of at most ``max_bits`` bits. With ``bands`` as well the search is by MinHash, of ``64 * lanes // bands``
-    minima a band (``blocks`` and ``agree`` are not used).
+    minima a band (``blocks`` and ``agree`` are not used). Blocks of more than ``hot_block`` members (16384, or 64 for
+    similarities) are searched by another path, with the same links.
 
     A null, empty or blank text has fingerprint 0 and is linked like any other. Rows with a null doc_id get a
     fingerprint and never name a component (null only if no other row is in it). Rows with the same doc_id stay
     separate rows. An empty table gives no rows. Columns besides doc_id and text are not read.
     """
-    lane_names = [f"f{i}" for i in range(lanes)]
+    found = _grouped(docs, words, max_bits, blocks, agree, lanes, seed, min_jaccard, hot_block, bands)
+    return found.select("doc_id", *_lanes(lanes), F.col("component.doc_id").alias("component_id"))
+
+
+def _grouped(docs: DataFrame, words: int, max_bits: int, blocks: int, agree: int, lanes: int, seed: int, min_jaccard: float | None, hot_block: int | None, bands: int | None) -> DataFrame:
+    """(doc_id, digest, f0 ..., component): a row of ``docs`` is known by its doc_id and its text's digest; ``component`` is the least such pair, null ids last."""
     if bands is not None and min_jaccard is None:
         raise ValueError("bands are a search for a Jaccard similarity")
-    prints = saved(fingerprints(docs, words=words, lanes=lanes, seed=seed) if bands is None else sketches(docs, words=words, lanes=lanes, bands=bands, seed=seed))
-    node = F.col("f0") if lanes == 1 else F.xxhash64(*lane_names)
-    prints = prints.withColumn("node", node)
-    keys = block_keys(lanes, blocks, agree) if bands is None else F.col("keys")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("digest", F.xxhash64("text"))
+    prints = saved(fingerprints(rows, words=words, lanes=lanes, seed=seed) if bands is None else sketches(rows, words=words, lanes=lanes, bands=bands, seed=seed))
+    prints = prints.withColumn("node", F.col("f0") if lanes == 1 else F.xxhash64(*_lanes(lanes)))
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
     least_keys = [] if bands is None else [F.min("keys").alias("keys")]
-    distinct = saved(prints.groupBy("node", *lane_names).agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), *least_keys))
-    keyed = distinct.select("node", "copies", *lane_names, F.explode(keys).alias("key"))
-    group = Window.partitionBy("key")
-    ranked = keyed.withColumn("size", F.count("*").over(group)).withColumn("best", F.max(F.struct("copies", "node", *lane_names)).over(group))
-    grouped = saved(ranked.where("size > 1"))
-
-    star = grouped.withColumn("pivot", F.col("best.node")).where("node <> pivot")
-    first = star.alias("star").where(hamming("star", "best", lanes) <= max_bits).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    first = saved(_similar(first, docs, distinct, words, min_jaccard))
-    labels = connected_components(first)
+    distinct = saved(prints.groupBy("node", *_lanes(lanes)).agg(F.min(row).alias("first"), *least_keys))
+    nodes = distinct.select("node", *_lanes(lanes))
+    keys = block_keys(lanes, blocks, agree) if bands is None else F.col("keys")
+    grouped = _busy(distinct.select("node", F.explode(keys).alias("key")))
+    sets = None if min_jaccard is None else shingle_sets(rows, distinct.join(grouped.select("node").distinct(), "node", "left_semi"), words)
 
-    # of a block of two the only pair is the pivot's
-    named = grouped.where("size > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    small = named if lanes > 1 else named.where(F.col("size") <= hot_block)
-    left, right = (small.select("key", "node", "label", *lane_names).alias(x) for x in ("l", "r"))
-    met = (F.col("l.key") == F.col("r.key")) & (F.col("l.label") < F.col("r.label")) & (hamming("l", "r", lanes) <= max_bits)
-    second = left.join(right, met).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
-    if lanes == 1:
-        hot = named.where(F.col("size") > hot_block).select("node", "f0").distinct()
-        second = second.union(hot_links(hot, lanes, max_bits))
-    second = saved(_similar(second, docs, distinct, words, min_jaccard))
+    first = _similar(saved(_star(grouped, nodes, lanes, max_bits)), sets, min_jaccard)
+    labels = connected_components(first)
+    members = _apart(grouped, nodes, labels, lanes)
+    hot = F.col("size") > (hot_block or (16384 if min_jaccard is None else 64))
+    second = _across(members.where(~hot), lanes, max_bits)
+    if min_jaccard is not None:
+        second = second.union(_crowd_links(members.where(hot), sets, lanes, max_bits, min_jaccard))
+    elif lanes == 1:
+        second = second.union(hot_links(members.where(hot).select("node", "f0").distinct(), lanes, max_bits))
+    else:
+        second = second.union(_across(members.where(hot), lanes, max_bits))
+    second = _similar(saved(second.distinct()), sets, min_jaccard)
     labels = connected_components(first.union(second)) if not second.isEmpty() else labels
 
-    least = labels.join(distinct.select("node", "first"), "node").groupBy("label").agg(F.min("first").alias("component_id"))
-    reached = labels.join(least, "label").select("node", "component_id")
-    every = distinct.select("node", "first").join(reached, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
-    return prints.join(every, "node").select("doc_id", *lane_names, "component_id")
+    least = labels.join(distinct.select("node", "first"), "node").groupBy("label").agg(F.min("first").alias("component"))
+    reached = labels.join(least, "label").select("node", "component")
+    every = distinct.select("node", "first").join(reached, "node", "left").select("node", F.coalesce("component", "first").alias("component"))
+    return prints.join(every, "node").select("doc_id", "digest", *_lanes(lanes), "component")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs``, all columns, with one row of each component: that of its smallest doc_id.
+    """``docs``, all columns, with one row of each component: that of its smallest doc_id, and of its smallest digest where texts share one.
 
-    Rows with a null doc_id are not named by any component and all stay. Of rows that share a doc_id one stays.
+    A row with a null doc_id stays only if its component has no other row that is named. Texts that are no near-duplicates
+    all stay, though they share a doc_id. Of wholly repeated rows one stays. An empty table gives no rows. Options: see ``components``.
     """
-    found = saved(components(docs, **options).select("doc_id", "component_id"))
-    first = found.where("doc_id = component_id").select("doc_id")
-    kept = docs.join(first.distinct(), "doc_id", "left_semi").select(*docs.columns)
-    if not first.groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id is null"))
+    options = {"words": 4, "max_bits": 4, "blocks": 7, "agree": 3, "lanes": 1, "seed": 42, "min_jaccard": None, "hot_block": None, "bands": None} | options
+    first = saved(_grouped(docs, **options).where("doc_id <=> component.doc_id and digest = component.digest").select("doc_id", "digest"))
+    same = F.col("doc.doc_id").cast("long").eqNullSafe(F.col("first.doc_id")) & (F.xxhash64(F.col("doc.text").cast("string")) == F.col("first.digest"))
+    kept = docs.alias("doc").join(first.distinct().alias("first"), same, "left_semi")
+    return kept if first.groupBy("doc_id", "digest").count().where("count > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, words: int, least: float | None) -> DataFrame:
-    """The pairs of nodes whose texts have that Jaccard similarity; each node is stood for by its first document."""
-    if least is None:
-        return pairs
-    pairs = saved(pairs)
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    ids = wanted.join(distinct.select("node", F.col("first").alias("doc_id")), "node")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id").dropDuplicates(["node"]).select("node", "text")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left_text")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("right_text")), "b")
+def shingle_sets(rows: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, shingles): the distinct shingle hashes of the first document of each of the ``nodes``."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keep, last, known = [], None, frozenset()
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if x != last:
-                    last, known = x, frozenset(shingle_hashes(x, words, 0))
-                other = set(shingle_hashes(y, words, 0))
-                shared = len(known & other)
-                keep.append(shared >= least * (len(known) + len(other) - shared))
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+            found = [np.unique(np.array(shingle_hashes(t, words, 0), np.uint64)).view(np.int64) for t in batch.column(1).to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
 
         return each
 
-    return map_arrow(both.select("a", "b", "left_text", "right_text"), make, "a long, b long")
+    wanted = nodes.select("node", F.col("first.doc_id").alias("id"), F.col("first.digest").alias("of"))
+    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")))
+    return saved(map_arrow(texts.select("node", "text"), make, "node long, shingles array<long>").dropDuplicates(["node"]))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame | None, least: float | None) -> DataFrame:
+    """The pairs of nodes whose shingle sets have that Jaccard similarity."""
+    if least is None:
+        return pairs
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return saved(both.where(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+
+
+def _crowd_links(members: DataFrame, sets: DataFrame, lanes: int, max_bits: int, least: float, classes: int = 32) -> DataFrame:
+    """Candidate pairs of different labels in very large blocks, without those that can't be similar.
+
+    Only shingles of several nodes can be shared by such a pair. Each node's are counted in ``classes`` by hash; the
+    sum of the lesser counts is no less than what two nodes share, so a pair whose sum is too small is no link. In a crowd
+    of copies that differ from their original in places of their own this leaves few pairs but links.
+    """
+    crowd = members.select("node").distinct()
+    each = saved(crowd.join(sets, "node").select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")))
+    own = each.groupBy("shingle").agg(F.count("*").alias("nodes"), F.min("node").alias("node")).where("nodes = 1")
+    signed = each.select("node", "n", "shingle", F.lit(1).alias("sign")).union(own.select("node", F.lit(0), "shingle", F.lit(-1)))
+    place = F.pmod(F.col("shingle"), F.lit(classes))
+    counts = [F.coalesce(F.sum(F.when(place == i, F.col("sign"))), F.lit(0)).cast("int") for i in range(classes)]
+    counted = signed.groupBy("node").agg(F.max("n").alias("n"), F.array(*counts).alias("counts"))
+    able = saved(counted.where(F.aggregate("counts", F.lit(0), lambda t, x: t + x) >= F.lit(least) * F.col("n")))
+    bound = F.aggregate(F.zip_with("l.counts", "r.counts", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+    also = bound * (1 + least) >= least * (F.col("l.n") + F.col("r.n"))
+    return _across(members.join(able, "node"), lanes, max_bits, also, ("n", "counts"))
