@@ -3,7 +3,8 @@
 Every page is parsed to a tree of block elements; runs of siblings with the same tag and class are one node, so pages of
 one design have nearly the same tree. Per host the distinct trees are aligned by simple tree matching and merged into a
 wrapper. A wrapper node whose text is the same on every page is template; nodes whose text varies are content. What a page
-says about itself is used as well: navigation, forms, adverts, comments and the like are named by tag, role or class.
+says about itself is used as well: navigation, forms, adverts, comments and the like are named by tag, role or class, weighed
+against the text that they hold.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, saved
 
-MARKUP = re.compile(r"""<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attributes2>[^>]*)>""", re.S)
+# A quote opens a value only after an equals sign; a tag whose quote never closes ends at the first ``>``.
+ATTRIBUTES = r"""(?:=\s*+"[^"]*+"|=\s*+'[^']*+'|[^>])*+"""
+MARKUP = re.compile(rf"""<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>{ATTRIBUTES})>|<[!?/][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
@@ -37,49 +40,62 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 UNWANTED = frozenset(
     "ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer form gdpr login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination pager popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup sitemap social sponsor sponsored sponsors subscribe subscription toolbar".split()
 )
+WANTED = frozenset("article articles body content entry main post posts story text".split())
 NOT_AN_ARTICLE = frozenset("ad ads advert advertisement comment comments promo promoted related reply replies sponsored teaser".split())
 SELF_CLOSING = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "tbody": "thead tbody tr td th", "tfoot": "thead tbody tr td th"}
 SCOPES = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "tr table", "th": "tr table", "tbody": "table", "tfoot": "table"}
 
 
 class Node:
-    __slots__ = ("tag", "key", "kept", "inside", "children", "slot")
+    """An element: ``hidden`` is out in any case, ``doubt`` is 0 for none, 1 for a doubtful name beside a wanted one, 2 for what its tag or name says is no article."""
 
-    def __init__(self, tag: str, key: str, kept: bool, inside: bool) -> None:
-        self.tag, self.key, self.kept, self.inside, self.children, self.slot = tag, key, kept, inside, [], -1
+    __slots__ = ("tag", "key", "up", "hidden", "doubt", "mass", "kept", "inside", "children", "slot")
 
+    def __init__(self, tag: str, key: str, up: Node | None, hidden: bool, doubt: int) -> None:
+        self.tag, self.key, self.up, self.hidden, self.doubt = tag, key, up, hidden, doubt
+        self.mass, self.kept, self.inside, self.children, self.slot = 0, True, False, [], -1
 
-def _names(attributes: str) -> tuple[str, frozenset[str], bool]:
-    """Of a tag: its class as written, the words in its class and id, and whether it is hidden or has such a role."""
-    css, parts, away = "", set(), False
+
+def _names(attributes: str) -> tuple[str, frozenset[str], bool, bool]:
+    """Of a tag: its class as written, the words in its class and id, whether its role is no article's, and whether it is hidden."""
+    css, parts, role, hidden = "", set(), False, False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), html.unescape(value.strip("\"'"))
         if name in ("class", "id"):
             css = value if name == "class" else css
             parts.update(p.lower() for p in NAME_PARTS.findall(value))
         elif name == "role":
-            away |= value.lower() in ROLES
+            role |= value.lower() in ROLES
         elif name == "style":
-            away |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
+            hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
         elif name == "aria-hidden":
-            away |= value.lower() == "true"
+            hidden |= value.lower() == "true"
         else:
-            away = True
-    return css, frozenset(parts), away
+            hidden = True
+    return css, frozenset(parts), role, hidden
 
 
 def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
     """The tree of block elements, and the blocks of text in page order with their elements."""
-    root = Node("", "", True, False)
-    stack, blocks, text = [root], [], []
-    at, length = 0, len(page)
+    root = Node("", "", None, False, 0)
+    nodes, stack, blocks, text = [root], [root], [], []
+    at, length, in_link, plain = 0, len(page), False, 0
+
+    def add(part: str) -> None:
+        nonlocal plain
+        text.append(part)
+        if not in_link:
+            plain += len(part.strip())
 
     def flush() -> None:
+        nonlocal plain
         if text:
             joined = " ".join("".join(text).split())
             text.clear()
             if joined:
                 blocks.append((stack[-1], joined))
+                stack[-1].mass += plain
+        plain = 0
 
     def close(*tags: str, until: str = "") -> None:
         stop = until.split()
@@ -91,26 +107,24 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
             if stack[i].tag in stop:
                 return
 
-    for m in MARKUP.finditer(page):
-        if m.start() < at:
-            continue  # inside what was skipped
+    while m := MARKUP.search(page, at):
         if m.start() > at:
-            text.append(html.unescape(page[at : m.start()]))
+            add(html.unescape(page[at : m.start()]))
         at = m.end()
-        tag = m["tag"] or m["tag2"]
-        if tag is None:
+        if m["tag"] is None:
             if m[0].startswith("<![CDATA["):
-                text.append(m[0][9:-3])
+                add(m[0][9:-3])
             continue
-        tag, ends = tag.lower(), m["end"] or m["end2"]
-        attributes = m["attributes"] or m["attributes2"] or ""
+        tag, ends, attributes = m["tag"].lower(), m["end"], m["attributes"]
         if tag in RAW:
             if not ends and not attributes.endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else length
+                at = end.end() if end else length  # the search goes on behind it: nothing in it is markup
             continue
         if tag == "br":
             text.append(" ")
+        if tag == "a":
+            in_link = not ends
         if tag in VOID and tag != "hr" or tag not in BLOCKS and tag not in DROPPED:
             if tag in ("img", "input"):
                 text.append(" ")
@@ -128,35 +142,80 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
         if tag == "hr":
             continue
         up = stack[-1]
-        css, parts, away = _names(attributes) if attributes else ("", frozenset(), False)
+        css, parts, role, hidden = _names(attributes) if attributes else ("", frozenset(), False, False)
         if tag in ("html", "body", "main"):
-            kept = True
-        elif tag == "article":
-            kept = not (away or parts & NOT_AN_ARTICLE)
-        elif tag == "header":
-            kept = up.inside and not away
+            doubt = 0
+        elif role or tag in DROPPED or tag == "header" and not any(n.tag in ("article", "main") for n in stack):
+            doubt = 2
         else:
-            kept = tag not in DROPPED and not away and not parts & UNWANTED
-        node = Node(tag, f"{tag}.{css}" if css else tag, up.kept and kept, up.inside or tag in ("article", "main"))
+            bad = parts & (NOT_AN_ARTICLE if tag == "article" else frozenset() if tag == "header" else UNWANTED)
+            doubt = (1 if parts & WANTED else 2) if bad else 0
+        node = Node(tag, f"{tag}.{css}" if css else tag, up, hidden, doubt)
         up.children.append(node)
+        nodes.append(node)
         stack.append(node)
     if at < length:
-        text.append(html.unescape(page[at:]))
+        add(html.unescape(page[at:]))
     flush()
+    _judge(nodes, blocks)
     return root, blocks
 
 
-def collapse(root: Node) -> list:
-    """The tree as nested [key, children], runs of like siblings merged; numbers the nodes in order (``slot``)."""
+def _judge(nodes: list[Node], blocks: list[tuple[Node, str]]) -> None:
+    """Decide which nodes are kept. What a name or a tag says is weighed against the text outside links that a node holds.
+
+    A doubtful name beside a wanted one (``social-post``) counts only for a node with under a fifth of the page's text. A form
+    that holds four fifths of the page, with no article or main outside it, is the page's frame. If everything would go, the doubted nodes that hold at least half stay.
+    """
+    for node in reversed(nodes[1:]):  # children come after their parents
+        node.up.mass += node.mass
+    total = nodes[0].mass
+
+    anchors = [n for n in nodes if n.tag in ("article", "main") and n.mass]
+
+    def framed(form: Node) -> bool:
+        return 5 * form.mass >= 4 * total and all(_under(n, form) or _under(form, n) for n in anchors)
+
+    def decide(least: float) -> None:
+        for node in nodes[1:]:
+            if node.doubt == 1:
+                out = 5 * node.mass < total
+            else:
+                out = node.doubt == 2 and node.mass < least * total and not (node.tag == "form" and framed(node))
+            node.kept = node.up.kept and not node.hidden and not out
+            node.inside = node.up.inside or node.tag in ("article", "main")
+
+    decide(2.0)
+    if total and not any(n.kept for n, _ in blocks):
+        decide(0.5)
+
+
+def _under(node: Node | None, top: Node) -> bool:
+    while node is not None and node is not top:
+        node = node.up
+    return node is top
+
+
+def collapse(root: Node, depth: int = 60) -> list:
+    """The tree as nested [key, children], runs of like siblings merged; numbers the nodes in order (``slot``).
+
+    What lies below ``depth`` levels is part of its ancestor there, which bounds the work on pages of any nesting."""
     count = 0
 
-    def merged(group: list[Node]) -> list:
+    def merged(group: list[Node], level: int) -> list:
         nonlocal count
         slot = count
         count += 1
         children: list[list[Node]] = []
         for node in group:
             node.slot = slot
+            if level >= depth:
+                below = list(node.children)
+                while below:
+                    one = below.pop()
+                    one.slot = slot
+                    below += one.children
+                continue
             mine: list[list[Node]] = []
             for child in node.children:
                 if mine and mine[-1][0].key == child.key:
@@ -164,9 +223,9 @@ def collapse(root: Node) -> list:
                 else:
                     mine.append([child])
             children = _zip_runs(children, mine)
-        return [group[0].key, [merged(g) for g in children]]
+        return [group[0].key, [merged(g, level + 1) for g in children]]
 
-    return merged([root])
+    return merged([root], 0)
 
 
 def _zip_runs(old: list[list[Node]], new: list[list[Node]]) -> list[list[Node]]:
@@ -185,11 +244,16 @@ def _zip_runs(old: list[list[Node]], new: list[list[Node]]) -> list[list[Node]]:
     return out
 
 
-def matched(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching of two nodes with equal keys: size of the best match, and the pairs of children in it."""
+def matched(a: list, b: list, known: dict | None = None) -> tuple[int, list[tuple[int, int]]]:
+    """Simple tree matching of two nodes with equal keys: size of the best match, and the pairs of children in it.
+
+    ``known`` keeps the results for pairs of nodes during one alignment, so that each pair is matched once."""
+    known = {} if known is None else known
+    if (id(a), id(b)) in known:
+        return known[id(a), id(b)]
     x, y = a[1], b[1]
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    gain = [[(1 + matched(p, q)[0] if p[0] == q[0] else 0) for q in y] for p in x]
+    gain = [[(1 + matched(p, q, known)[0] if p[0] == q[0] else 0) for q in y] for p in x]
     for i in range(len(x)):
         for j in range(len(y)):
             best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + gain[i][j] if gain[i][j] else 0)
@@ -202,17 +266,19 @@ def matched(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
             i -= 1
         else:
             j -= 1
-    return best[len(x)][len(y)], pairs[::-1]
+    known[id(a), id(b)] = best[len(x)][len(y)], pairs[::-1]
+    return known[id(a), id(b)]
 
 
-def absorb(wrapper: list, tree: list) -> None:
+def absorb(wrapper: list, tree: list, known: dict | None = None) -> None:
     """Align ``tree`` with ``wrapper`` and add to the wrapper what it lacks, in order."""
-    pairs = matched(wrapper, tree)[1]
+    known = {} if known is None else known
+    pairs = matched(wrapper, tree, known)[1]
     partner = {j: i for i, j in pairs}
     children, i = list(wrapper[1]), 0
     for j, child in enumerate(tree[1]):
         if j in partner:
-            absorb(wrapper[1][partner[j]], child)
+            absorb(wrapper[1][partner[j]], child, known)
             i = next(k for k, c in enumerate(children) if c is wrapper[1][partner[j]]) + 1
         else:
             children.insert(i, json.loads(json.dumps(child)))
@@ -223,6 +289,7 @@ def absorb(wrapper: list, tree: list) -> None:
 def places(wrapper: list, tree: list) -> list[int]:
     """For each node of ``tree`` in order, the number of the wrapper's node that it aligns with, or -1."""
     numbers: dict[int, int] = {}
+    known: dict = {}
 
     def number(node: list) -> None:
         numbers[id(node)] = len(numbers)
@@ -231,7 +298,7 @@ def places(wrapper: list, tree: list) -> list[int]:
 
     def walk(a: list | None, b: list) -> list[int]:
         out = [numbers[id(a)] if a is not None else -1]
-        partner = {j: i for i, j in matched(a, b)[1]} if a is not None else {}
+        partner = {j: i for i, j in matched(a, b, known)[1]} if a is not None else {}
         for j, child in enumerate(b[1]):
             out += walk(a[1][partner[j]] if j in partner else None, child)
         return out
@@ -271,10 +338,11 @@ def main_text(page: str, templates: dict[str, frozenset[int]] | None = None, tem
     return "\n".join(t for _, t in kept)
 
 
-def wrappers(slots: DataFrame, align: int = 16) -> DataFrame:
+def wrappers(slots: DataFrame, align: int = 64) -> DataFrame:
     """(host, skeleton, places): each distinct skeleton of a host aligned with the host's wrapper.
 
-    Skeletons, not pages, are gathered by host. Shards of a host build partial wrappers, which one more pass merges.
+    Skeletons, not pages, are gathered by host, about ``align`` at a time: batches of a host become partial wrappers, batches of
+    these are merged again, until one is left. No task holds more than some ``align`` trees of a host, however many it has.
     """
     distinct = slots.groupBy("host", "skeleton").agg(F.count("*").alias("n"))
 
@@ -286,8 +354,12 @@ def wrappers(slots: DataFrame, align: int = 16) -> DataFrame:
         return pd.DataFrame({"host": [group["host"].iloc[0]], "skeleton": [json.dumps(wrapper, separators=(",", ":"))], "n": [int(group["n"].sum())]})
 
     shape = "host string, skeleton string, n long"
-    partial = distinct.withColumn("shard", F.pmod(F.xxhash64("skeleton"), F.lit(align))).groupBy("host", "shard").applyInPandas(build, shape)
-    whole = partial.groupBy("host").applyInPandas(build, shape).select("host", F.col("skeleton").alias("wrapper"))
+    partial = saved(distinct)
+    while not (many := partial.groupBy("host").agg(F.count("*").alias("trees")).where("trees > 1")).isEmpty():
+        sized = partial.join(many, "host", "left")
+        shard = F.pmod(F.xxhash64("skeleton"), F.ceil(F.coalesce("trees", F.lit(1)) / align).cast("int"))
+        partial = saved(sized.withColumn("shard", shard).groupBy("host", "shard").applyInPandas(build, shape))
+    whole = partial.select("host", F.col("skeleton").alias("wrapper"))
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -454,6 +454,76 @@ def test_main_text_parts():
     assert htmlmain.main_text("") == "" and htmlmain.main_text("<p>1 < 2 & <b>so</b> <!-- open") == "1 < 2 & so"
 
 
+@pytest.mark.parametrize(
+    "page,wanted",
+    [
+        ("<script>// don't a<b isn't</script><main><p>Hello one</p><p>two</p></main>", "Hello one\ntwo"),
+        ('<script>var x="<!--";</script><main><p>Hello one</p></main>', "Hello one"),
+        ("<p>if a <b don't then</p><p>Next isn't here</p>", "if a\nNext isn't here"),
+        ('<div class="post social-post"><p>A long enough story of the day</p></div><div class="sidebar"><p>no</p></div>', "A long enough story of the day"),
+        ('<div id="cookie-policy-article"><p>All about our jars of biscuits</p></div><nav><a>x</a></nav>', "All about our jars of biscuits"),
+        ('<div class="footer-wrapper-main-content"><p>The story</p><footer>c</footer></div>', "The story"),
+        ('<form id="f" method="post"><nav><a>menu</a></nav><div><p>The whole page is in a form.</p></div></form>', "The whole page is in a form."),
+        ('<main><p>Story here.</p><form><label>Your name please</label></form></main>', "Story here."),
+        ('<article><p>Short.</p></article><section id="comments"><p>A very long reader comment that goes on and on and on</p></section>', "Short."),
+        ("<div>" * 3000 + "<p>deep</p>" + "</div>" * 3000, "deep"),
+        ("<div>" * 900 + "<p>open", "open"),
+        ('<p title="a > b">one</p><a href=x"y>two</a><p>three</p>', "one\ntwo\nthree"),
+        ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"),
+    ],
+)
+def test_main_text_cases(page, wanted):
+    assert htmlmain.main_text(page) == wanted
+    htmlmain.page_slots(page)
+
+
+def test_alignment_of_deep_and_wide_trees_is_quick():
+    import json
+    import time
+
+    began = time.perf_counter()
+    deep = json.loads(htmlmain.page_slots("<div>" * 900 + "x")[0])
+    wide = json.loads(htmlmain.page_slots("<h2>a</h2><p>b</p>" * 300)[0])
+    for tree in (deep, wide):
+        merged = json.loads(json.dumps(tree))
+        htmlmain.absorb(merged, tree)
+        assert merged == tree and len(htmlmain.places(merged, tree)) > 50
+    assert time.perf_counter() - began < 5
+
+
+def test_wrappers_decide_without_helpful_markup(spark):
+    """Two hosts whose pages have no article, no telling classes and optional blocks: what the hosts repeat goes, and nothing else."""
+    rng = random.Random(8)
+    words = [f"word{i}" for i in range(500)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    menu, legal, offer = say(30), say(40), say(25)
+    pages, wanted = [], {}
+    for i in range(120):
+        story = [say(rng.randint(5, 60)) for _ in range(rng.randint(1, 5))]
+        body = "".join(f"<p>{p}</p>" for p in story)
+        extra = f"<div class='q7'><p>{offer}</p></div>" if rng.random() < 0.5 else ""
+        if i % 2:
+            html = f"<body><div class='a1'><div>{menu}</div></div>{extra}<div class='b2'>{body}</div><div class='c3'><p>{legal}</p></div></body>"
+        else:
+            html = f"<body><div class='t'><table><tr><td>{menu}</td></tr></table></div><div class='u'>{extra}<div>{body}</div></div><div class='v'>{legal}</div></body>"
+        pages.append((i, f"https://{'odd' if i % 2 else 'even'}.example/{i}", html))
+        wanted[i] = "\n".join(story)
+    found = {r.page_id: r.text for r in htmlmain.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert found == wanted
+    assert sum(htmlmain.main_text(h) != wanted[i] for i, _, h in pages) == len(pages)  # without the wrappers all are wrong
+
+
+def test_wrappers_of_a_host_with_many_skeletons(spark):
+    pages = [(f"<div class='k{i}'><p>x{i}</p></div><div class='end'>Same</div>",) for i in range(150)]
+    slots = [("h", *htmlmain.page_slots(p)) for (p,) in pages]
+    frame = spark.createDataFrame(slots, "host string, skeleton string, slots array<int>, digests array<long>")
+    for align in (7, 1000):
+        placed = htmlmain.wrappers(frame, align).collect()
+        assert len(placed) == 150
+        ends = {r.places[-1] for r in placed}
+        assert len(ends) == 1  # every page's last block is one node of the wrapper
+
+
 def test_simple_tree_matching():
     a = ["r", [["p", []], ["div", [["p", []], ["b", []]]], ["p", []]]]
     b = ["r", [["div", [["b", []]]], ["p", []]]]
