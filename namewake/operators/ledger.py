@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ranking import saved
+from .ranking import global_rank, saved
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -37,6 +37,23 @@ def load_day(table: str, df: DataFrame, *, day: str = "day") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(table)
 
 
+def receive(spark: SparkSession, table: str, receipts: str, df: DataFrame, keys: Sequence[str], day: str = "day") -> DataFrame:
+    """(day, n, digest, verdict): takes in the days of ``df`` that have no receipt yet (``new``); a day whose rows have the digest of its
+    receipt is skipped (``same``), one with another digest is refused (``refused``) and leaves the table as it is.
+
+    Rows are written before their receipts, so a job that dies between takes the day in again and replaces it.
+    """
+    got = receipt(df, keys, day)
+    spark.createDataFrame([], got.schema).write.mode("append").parquet(receipts)  # makes sure of a table
+    known = saved(spark.read.schema(got.schema).parquet(receipts)).select(day, F.col("digest").alias("known"))
+    verdict = F.when(F.col("known").isNull(), "new").when(F.col("known") == F.col("digest"), "same").otherwise("refused")
+    told = saved(got.join(known, day, "left").withColumn("verdict", verdict).drop("known"))
+    fresh = told.where("verdict = 'new'").select(day, "n", "digest")
+    load_day(table, df.join(fresh.select(day), day, "left_semi"), day=day)
+    fresh.write.mode("append").parquet(receipts)
+    return told
+
+
 def receipt(df: DataFrame, keys: Sequence[str], day: str = "day") -> DataFrame:
     """(day, n, digest): a digest of a day's rows that does not depend on their order; equal rows count each."""
     row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys]), 256)
@@ -110,10 +127,12 @@ def cluster_outcomes(members: DataFrame) -> DataFrame:
     return members.groupBy("cluster").agg(F.count("*").alias("members"), F.count("listed_on").alias("listed"), F.count("sold_on").alias("sold"), F.greatest(F.max("listed_on"), F.max("sold_on")).alias("latest"))
 
 
-def term_sales(terms: DataFrame, sales: DataFrame, tokens: Column) -> DataFrame:
-    """(term, n, total) over sales whose label holds the term as a token."""
-    each = sales.select("listing_id", "price", F.explode(F.array_distinct(tokens)).alias("term"))
-    return each.join(terms.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("total"))
+def term_sales(terms: DataFrame, sales: DataFrame, segments: DataFrame) -> DataFrame:
+    """(term, side, n, total) over sales (listing_id, label, price, side) whose label's ``segments`` (label, pieces) hold the term.
+
+    Labels are cut once each, however often they are sold."""
+    held = segments.select("label", F.explode(F.array_distinct("pieces")).alias("term")).join(terms.select("term").distinct(), "term")
+    return sales.join(held, "label").groupBy("term", "side").agg(F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("total"))
 
 
 def merge_zone_trends(zone_rows: DataFrame, feed_rows: DataFrame) -> DataFrame:
@@ -170,15 +189,16 @@ def taken_index(receipts: DataFrame, checks: DataFrame) -> DataFrame:
 
 
 def sort_listings(df: DataFrame, field: str, descending: bool, tie: str = "listing_id") -> DataFrame:
-    """A total order, nulls last either way."""
-    return df.orderBy(F.desc_nulls_last(field) if descending else F.asc_nulls_last(field), tie)
+    """Adds ``place`` in a total order, nulls last either way."""
+    return global_rank(df, [F.desc_nulls_last(field) if descending else F.asc_nulls_last(field), F.asc(tie)], "place")
 
 
 def feed_order(df: DataFrame, classes: Sequence[str]) -> DataFrame:
-    """Adds match, class and name ranks and sorts by them, then length and name."""
+    """Adds class and name ranks, and ``place`` by them, then by length, name and class."""
     kind = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("class"))
     name = F.when(F.col("label").rlike("^[a-z]+$"), 0).when(~F.contains("label", F.lit("-")), 1).otherwise(2)
-    return df.withColumns({"class_rank": F.when(kind == 0, len(classes) + 1).otherwise(kind), "name_rank": name}).orderBy("class_rank", "name_rank", F.length("label"), "label")
+    ranked = df.withColumns({"class_rank": F.when(kind == 0, len(classes) + 1).otherwise(kind), "name_rank": name})
+    return global_rank(ranked, [F.asc("class_rank"), F.asc("name_rank"), F.length("label").asc(), F.asc("label"), F.asc("class")], "place")
 
 
 def pending_queue(df: DataFrame, labelled: DataFrame, key: str, limit: int) -> DataFrame:
@@ -235,7 +255,7 @@ def literal_search(docs: DataFrame, q: str, columns: Mapping[str, str], around:
     special = r"\.^$*+?{}[]|()"
     words = ["".join("\\" + c if c in special else c for c in w) for w in q.lower().split()]
     last = words[-1] + (r"\w*" if len(words[-1]) >= 5 else "")  # a long last word may be the start of one
-    pattern = r"(?i)\b" + r"[\W_]+".join([*words[:-1], last]) + r"\b"
+    pattern = r"(?i)(?<![A-Za-z0-9_])" + r"[\W_]+".join([*words[:-1], last]) + r"(?![A-Za-z0-9_])"
     match, excerpt = F.lit(None).cast("string"), F.lit("")
     for name, column in reversed(columns.items()):
         hit = F.col(column).rlike(pattern)
@@ -267,7 +287,14 @@ def derived_rows(df: DataFrame) -> DataFrame:
 
 
 def ingest_days(spark: SparkSession, source: str, schema: str, target: str, progress: str) -> None:
-    """Take in files of a folder that have not been taken yet; each batch replaces the whole days that it touches."""
+    """Take in files of a folder that have not been taken yet, under ``day=.../batch=...``.
+
+    A day may come in any number of batches; a batch that is run again replaces only what it wrote itself.
+    """
+
+    def take(df: DataFrame, batch: int) -> None:
+        rows = df.withColumn("batch", F.lit(batch))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(target)
+
     stream = spark.readStream.schema(schema).parquet(source)
-    query = stream.writeStream.option("checkpointLocation", progress).trigger(availableNow=True).foreachBatch(lambda df, _: load_day(target, df)).start()
-    query.awaitTermination()
+    stream.writeStream.option("checkpointLocation", progress).trigger(availableNow=True).foreachBatch(take).start().awaitTermination()

@@ -230,13 +230,13 @@ def refresh_saved(saved: DataFrame, listings: DataFrame, now: Column) -> DataFra
     return out.select("domain", F.coalesce("now.stream", "stream").alias("stream"), F.when(F.col("now").isNotNull(), F.col("now.price")).otherwise(F.col("price")).alias("price"), F.when(F.col("now").isNotNull(), F.col("now.ends_at")).otherwise(F.col("ends_at")).alias("ends_at"), F.col("now").isNotNull().alias("is_current"))
 
 
-def stats(df: DataFrame, now: Column, windows: Sequence[int] = (1, 7, 14, 30, 60, 90)) -> DataFrame:
-    """(stream, metric, n) in one pass: active rows, and rows that end within each window of days."""
+def stats(df: DataFrame, now: Column, windows: Sequence[int] = (1, 7, 14, 30, 60, 90), *, complete: bool = True) -> DataFrame:
+    """(stream, zone, metric, n) in one pass: active rows, rows that have ended (0 unless coverage is ``complete``), and rows that end within each window of days."""
     ahead = (F.col("ends_at") > now) & (F.col("stream") != "dropped")
-    counts = [F.count_if((F.col("stream") != "dropped") & (F.col("ends_at").isNull() | (F.col("ends_at") > now))).alias("active")]
+    counts = [F.count_if((F.col("stream") != "dropped") & (F.col("ends_at").isNull() | (F.col("ends_at") > now))).alias("active"), (F.count_if(F.col("ends_at") <= now) if complete else F.lit(0)).cast("long").alias("expired")]
     counts += [F.count_if(ahead & (F.col("ends_at") <= now + F.expr(f"INTERVAL {d} DAYS"))).alias(f"expiring_{d}d") for d in windows]
-    wide = df.groupBy("stream").agg(*counts)
-    return wide.unpivot(["stream"], [c for c in wide.columns if c != "stream"], "metric", "n")
+    wide = df.groupBy("stream", "zone").agg(*counts)
+    return wide.unpivot(["stream", "zone"], [c for c in wide.columns if c not in ("stream", "zone")], "metric", "n")
 
 
 def breakdowns(df: DataFrame, dims: Sequence[str], top: int = 20) -> DataFrame:
@@ -292,7 +292,8 @@ def fair_order(df: DataFrame, shares: Mapping[str, int], limit: int) -> DataFram
     once = latest_per_key(df.where(F.col("stream").isin(*shares) & F.col("ends_at").isNotNull()), ["domain"], ["ends_at", "listing_id"])
     place = F.row_number().over(Window.partitionBy("stream").orderBy("ends_at", "listing_id"))
     share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("stream")]
-    return once.withColumn("time", place / share).orderBy("time", "stream").limit(limit)
+    first = once.withColumn("place", place).where(F.col("place") <= limit)  # no stream gives more, so each task keeps only so many
+    return first.withColumn("time", F.col("place") / share).drop("place").orderBy("time", "stream").limit(limit)
 
 
 def diverse_examples(df: DataFrame, group: str, signature: str, order: Sequence[Column | str], n: int = 12) -> DataFrame:

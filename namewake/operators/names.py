@@ -179,11 +179,23 @@ def sweep_clusters(kits: DataFrame, *, least: int = 3, span: int = 21) -> DataFr
     return rows.groupBy("token").agg(F.max("days").alias("days")).where(F.col("days") >= least)
 
 
-def sales_comps(df: DataFrame, by: str) -> DataFrame:
-    """(by, n, p25, median, p75) of prices, reports of one domain, price and venue once."""
-    once = df.where("price is not null").groupBy(by, "domain", "price", "stream").agg(F.count("*").alias("reports"))
+def sales_comps(df: DataFrame, by: Sequence[str], *, since: Column | None = None, theme: str | None = None, band: tuple[float, float] | None = None, examples: int = 8) -> DataFrame:
+    """(by, n, p25, median, p75, examples) of prices of sales (domain, label, price, venue, day): reports of one domain, price and venue once.
+
+    ``since`` leaves out older reports, ``theme`` (a pattern) other labels, ``band`` other prices. Quartiles are exact, interpolated between neighbours; the
+    examples are the dearest sales, of equal prices by domain.
+    """
+    rows = df.where("price is not null")
+    rows = rows.where(F.col("day") >= since) if since is not None else rows
+    rows = rows.where(F.col("label").rlike(theme)) if theme else rows
+    rows = rows.where(F.col("price").between(*band)) if band else rows
+    once = rows.groupBy(*by, "domain", "price", "venue").agg(F.count("*").alias("reports"))
     q = lambda p: F.round(F.percentile("price", F.lit(p)), 4)
-    return once.groupBy(by).agg(F.count("*").alias("n"), q(0.25).alias("p25"), q(0.5).alias("median"), q(0.75).alias("p75"))
+    quartiles = once.groupBy(*by).agg(F.count("*").alias("n"), q(0.25).alias("p25"), q(0.5).alias("median"), q(0.75).alias("p75"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("price"), "domain", "venue"))
+    best = once.withColumn("place", place).where(F.col("place") <= examples)
+    named = best.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "domain"))), lambda e: e["domain"]), ",").alias("examples"))
+    return quartiles.join(named, list(by))
 
 
 def upsert(target: DataFrame, source: DataFrame, key: str, rules: Mapping[str, str]) -> DataFrame:

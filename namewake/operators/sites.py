@@ -61,17 +61,18 @@ def classify_sites(obs: DataFrame) -> DataFrame:
 
 
 def collapse_kits(obs: DataFrame, *, template: int = 5, title: int = 8) -> DataFrame:
-    """Adds kit, kit_size and basis to (day, site, title, skeleton): one title and skeleton on ``template`` sites of a day, else one real
-    title on ``title`` sites. Null where neither holds."""
-    by_template = obs.groupBy("day", "title", "skeleton").agg(F.count_distinct("site").alias("n_template"))
-    by_title = obs.groupBy("day", "title").agg(F.count_distinct("site").alias("n_title"))
-    real = F.length(F.regexp_replace("title", r"[^\p{L}\p{N}]+", "")) >= 4
-    rows = obs.join(by_template, ["day", "title", "skeleton"], "left").join(by_title, ["day", "title"], "left")
+    """Adds kit, kit_size and basis to (day, site, host, title, skeleton): one title and skeleton on ``template`` sites of a day, else one real
+    title on ``title`` sites. Titles are compared as ``template_title``. Null where neither holds."""
+    obs = obs.withColumn("_t", template_title(F.col("title"), F.col("host")))
+    by_template = obs.groupBy("day", "_t", "skeleton").agg(F.count_distinct("site").alias("n_template"))
+    by_title = obs.groupBy("day", "_t").agg(F.count_distinct("site").alias("n_title"))
+    real = F.length(F.regexp_replace("_t", r"[^\p{L}\p{N}]+", "")) >= 4
+    rows = obs.join(by_template, ["day", "_t", "skeleton"], "left").join(by_title, ["day", "_t"], "left")
     basis = F.when(F.col("n_template") >= template, "template").when(real & (F.col("n_title") >= title), "title")
     rows = rows.withColumn("basis", basis)
-    key = F.when(F.col("basis") == "template", F.concat_ws("|", F.lit("template"), "title", "skeleton")).when(F.col("basis") == "title", F.concat_ws("|", F.lit("title"), "title"))
+    key = F.when(F.col("basis") == "template", F.concat_ws("|", F.lit("template"), "_t", "skeleton")).when(F.col("basis") == "title", F.concat_ws("|", F.lit("title"), "_t"))
     size = F.when(F.col("basis") == "template", F.col("n_template")).when(F.col("basis") == "title", F.col("n_title"))
-    return rows.withColumn("kit", F.substring(F.sha1(key), 1, 12)).withColumn("kit_size", size).drop("n_template", "n_title")
+    return rows.withColumn("kit", F.substring(F.sha1(key), 1, 12)).withColumn("kit_size", size).drop("n_template", "n_title", "_t")
 
 
 def publishable(obs: DataFrame, repeats: int = 8) -> DataFrame:

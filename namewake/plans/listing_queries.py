@@ -174,7 +174,7 @@ def c19(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "d11_stats",
-    L("SELECT stream, metric, n FROM (SELECT stream, count(*) FILTER (WHERE stream <> 'dropped' AND (ends_at IS NULL OR ends_at > TIMESTAMP '" + NOW + "')) AS active, " + ", ".join(f"count(*) FILTER (WHERE stream <> 'dropped' AND ends_at > TIMESTAMP '{NOW}' AND ends_at <= TIMESTAMP '{NOW}' + INTERVAL {d} DAY) AS expiring_{d}d" for d in (1, 7, 14, 30, 60, 90)) + " FROM listings GROUP BY 1) UNPIVOT (n FOR metric IN (active, expiring_1d, expiring_7d, expiring_14d, expiring_30d, expiring_60d, expiring_90d))"),
+    L("SELECT stream, zone, metric, n FROM (SELECT stream, zone, count(*) FILTER (WHERE ends_at <= TIMESTAMP '" + NOW + "') AS expired, count(*) FILTER (WHERE stream <> 'dropped' AND (ends_at IS NULL OR ends_at > TIMESTAMP '" + NOW + "')) AS active, " + ", ".join(f"count(*) FILTER (WHERE stream <> 'dropped' AND ends_at > TIMESTAMP '{NOW}' AND ends_at <= TIMESTAMP '{NOW}' + INTERVAL {d} DAY) AS expiring_{d}d" for d in (1, 7, 14, 30, 60, 90)) + " FROM listings GROUP BY 1, 2) UNPIVOT (n FOR metric IN (active, expired, expiring_1d, expiring_7d, expiring_14d, expiring_30d, expiring_60d, expiring_90d))"),
 )
 def d11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.stats(market.listings(spark, sf_dir), now())

@@ -163,10 +163,14 @@ def t28_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "d18_sales_comps",
-    f"WITH {LISTINGS}, o AS (SELECT DISTINCT zone, domain, price, stream FROM listings WHERE price IS NOT NULL AND stream = 'auction') SELECT zone, count(*) AS n, round(quantile_cont(price, 0.25), 4) AS p25, round(quantile_cont(price, 0.5), 4) AS median, round(quantile_cont(price, 0.75), 4) AS p75 FROM o GROUP BY 1",
+    f"""WITH {LISTINGS}, o AS (SELECT DISTINCT CASE WHEN stream = 'auction' THEN 'auction' ELSE 'enduser' END AS side, CAST(length(regexp_replace(label, '[^0-9]', '', 'g')) > 0 AS INTEGER) AS numbered, zone, domain, price, stream FROM listings WHERE price IS NOT NULL AND ends_at >= TIMESTAMP '1993-01-01' AND regexp_matches(label, '^[a-z]') AND price BETWEEN 1000 AND 60000),
+e AS (SELECT side, numbered, zone, string_agg(domain, ',' ORDER BY p) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY side, numbered, zone ORDER BY price DESC, domain, stream) AS p FROM o) WHERE p <= 8 GROUP BY 1, 2, 3)
+SELECT side, numbered, zone, n, p25, median, p75, examples FROM (SELECT side, numbered, zone, count(*) AS n, round(quantile_cont(price, 0.25), 4) AS p25, round(quantile_cont(price, 0.5), 4) AS median, round(quantile_cont(price, 0.75), 4) AS p75 FROM o GROUP BY 1, 2, 3) JOIN e USING (side, numbered, zone)""",
 )
 def d18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.sales_comps(market.listings(spark, sf_dir).where("stream = 'auction'"), "zone")
+    side = F.when(F.col("stream") == "auction", "auction").otherwise("enduser")
+    sales = market.listings(spark, sf_dir).withColumns({"side": side, "numbered": F.col("label").rlike("[0-9]").cast("int"), "venue": F.col("stream"), "day": F.col("ends_at")})
+    return ops.sales_comps(sales, ["side", "numbered", "zone"], since=F.lit("1993-01-01").cast("timestamp_ntz"), theme="^[a-z]", band=(1000.0, 60000.0))
 
 
 @query(

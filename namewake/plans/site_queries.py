@@ -35,23 +35,23 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://([^/?#:]*)", 1))
     n = F.col("page_id")
-    return pages.select(
+    return ops.page_features(pages).select("page_id", "title", "skeleton").join(pages, "page_id").select(
         "page_id",
         (n % 7).alias("day"),
         host.alias("host"),
         F.when(n % 11 != 0, F.when(n % 13 == 0, 404).otherwise(200)).alias("status"),
         F.when(n % 17 == 0, "elsewhere.example").otherwise(host).alias("final_host"),
-        F.substring(ops._text(ops._tag(F.col("html"), "title")), 1, 3).alias("title"),
+        "title",
         ops._text(F.col("html")).alias("text"),
-        (n % 3).cast("string").alias("skeleton"),
+        "skeleton",
     )
 
 
-OBS = f"{PAGES}, o AS (SELECT page_id, page_id % 7 AS day, host, CASE WHEN page_id % 11 <> 0 THEN CASE WHEN page_id % 13 = 0 THEN 404 ELSE 200 END END AS status, CASE WHEN page_id % 17 = 0 THEN 'elsewhere.example' ELSE host END AS final_host, substr(title, 1, 3) AS title, text, CAST(page_id % 3 AS VARCHAR) AS skeleton FROM f)"
+OBS = f"{PAGES}, o AS (SELECT page_id, page_id % 7 AS day, host, CASE WHEN page_id % 11 <> 0 THEN CASE WHEN page_id % 13 = 0 THEN 404 ELSE 200 END END AS status, CASE WHEN page_id % 17 = 0 THEN 'elsewhere.example' ELSE host END AS final_host, title, text, sha1(array_to_string(list_filter(tags, lambda t, i: i = 1 OR tags[i - 1] <> t), ' ')) AS skeleton FROM f JOIN (SELECT page_id, regexp_extract_all(lower(html), '<([a-z][a-z0-9]*)', 1) AS tags FROM pages) USING (page_id))"
 CLASS = f"c AS (SELECT *, CASE WHEN status IS NULL OR status >= 400 THEN 'error' WHEN final_host <> host THEN 'redirect_offsite' WHEN regexp_matches(title || ' ' || text, '{ops.FOR_SALE}') THEN 'for_sale' WHEN regexp_matches(title || ' ' || text, '{ops.PARKED}') THEN 'parked' WHEN regexp_matches(title || ' ' || text, '{ops.PLACEHOLDER}') OR regexp_matches(title, '{ops.GENERIC_TITLE}') AND length(text) < 200 THEN 'placeholder' ELSE 'built' END AS class FROM o)"
-KITS = f"""{OBS}, {CLASS}, t1 AS (SELECT day, title, skeleton, count(DISTINCT page_id) AS a FROM c GROUP BY 1, 2, 3), t2 AS (SELECT day, title, count(DISTINCT page_id) AS b FROM c GROUP BY 1, 2),
-k AS (SELECT c.*, CASE WHEN a >= 5 THEN 'template' WHEN length(regexp_replace(title, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) >= 4 AND b >= 8 THEN 'title' END AS basis, a, b FROM c JOIN t1 USING (day, title, skeleton) JOIN t2 USING (day, title)),
-kits AS (SELECT *, CASE basis WHEN 'template' THEN a WHEN 'title' THEN b END AS kit_size, substr(sha1_hex, 1, 12) AS kit FROM (SELECT *, CASE basis WHEN 'template' THEN sha1('template|' || title || '|' || skeleton) WHEN 'title' THEN sha1('title|' || title) END AS sha1_hex FROM k))"""
+KITS = f"""{OBS}, {CLASS}, ct AS (SELECT *, trim(regexp_replace(regexp_replace(replace(lower(title), lower(host), '{{name}}'), '[0-9]+', '#', 'g'), '\\s+', ' ', 'g'), ' ') AS tt FROM c), t1 AS (SELECT day, tt, skeleton, count(DISTINCT page_id) AS a FROM ct GROUP BY 1, 2, 3), t2 AS (SELECT day, tt, count(DISTINCT page_id) AS b FROM ct GROUP BY 1, 2),
+k AS (SELECT ct.*, CASE WHEN a >= 5 THEN 'template' WHEN length(regexp_replace(tt, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) >= 4 AND b >= 8 THEN 'title' END AS basis, a, b FROM ct JOIN t1 USING (day, tt, skeleton) JOIN t2 USING (day, tt)),
+kits AS (SELECT *, CASE basis WHEN 'template' THEN a WHEN 'title' THEN b END AS kit_size, substr(sha1_hex, 1, 12) AS kit FROM (SELECT *, CASE basis WHEN 'template' THEN sha1('template|' || tt || '|' || skeleton) WHEN 'title' THEN sha1('title|' || tt) END AS sha1_hex FROM k))"""
 
 
 @query("r8_classify_sites", f"WITH {OBS}, {CLASS} SELECT page_id, class FROM c")

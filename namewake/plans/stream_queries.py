@@ -19,7 +19,8 @@ def name_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = market.table(spark, sf_dir, "part").select("p_partkey", "p_name")
     label = F.lower(F.replace("p_name", F.lit(" "), F.lit("")))
     zone = F.element_at(F.array(*[F.lit(z) for z in ZONES]), ((F.col("event_id") + F.col("user_id")) % 8 + 1).cast("int"))
-    joined = events.join(part, F.col("event_id") % 200 == F.col("p_partkey"))
+    parts = part.agg(F.max("p_partkey") + 1).first()[0]  # one number
+    joined = events.join(part, F.col("event_id") % parts == F.col("p_partkey"))
     return joined.select("event_id", "ts", F.col("event_type").alias("kind"), label.alias("label"), zone.alias("zone"))
 
 

@@ -86,16 +86,19 @@ def t13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.pattern_evidence(market.names(spark, sf_dir), "bolt", date("2024-01-25"))
 
 
-THEMED = "th AS (SELECT *, substr(label, 1, 3) AS theme, regexp_replace(label, '[0-9-]', '', 'g') AS root FROM names)"
+THEMED = "tw AS (SELECT label, list_filter(pieces, lambda p: p <> '?') AS w FROM segments), th AS (SELECT names.*, w[1] || ' ' || w[2] AS theme, w[1] AS root FROM names JOIN tw USING (label) WHERE len(w) >= 2)"
 
 
 def themed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return market.names(spark, sf_dir).withColumns({"theme": F.substring("label", 1, 3), "root": F.regexp_replace("label", "[0-9-]", "")})
+    """Sightings of labels of two known words or more; the theme is the first two, the root the first."""
+    words = segments(spark, sf_dir).select("label", F.filter("pieces", lambda p: p != "?").alias("w")).where("size(w) >= 2")
+    pairs = words.select("label", F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1))).alias("theme"), F.get("w", F.lit(0)).alias("root"))
+    return market.names(spark, sf_dir).join(pairs, "label")
 
 
 @query(
     "t17_theme_convergence",
-    f"""{W}, {THEMED}, a AS (SELECT theme, count(DISTINCT label) AS labels, count(DISTINCT root) AS roots, count(DISTINCT zone) AS zones, count(*) AS n FROM th WHERE day > DATE '2024-01-23' GROUP BY 1 HAVING count(DISTINCT label) >= 5), b AS (SELECT theme, count(*) AS was FROM th WHERE day <= DATE '2024-01-23' GROUP BY 1),
+    f"""{WR}, {THEMED}, a AS (SELECT theme, count(DISTINCT label) AS labels, count(DISTINCT root) AS roots, count(DISTINCT zone) AS zones, count(*) AS n FROM th WHERE day > DATE '2024-01-23' GROUP BY 1 HAVING count(DISTINCT label) >= 5), b AS (SELECT theme, count(*) AS was FROM th WHERE day <= DATE '2024-01-23' GROUP BY 1),
 r AS (SELECT *, (n / (SELECT count(*) FROM th WHERE day > DATE '2024-01-23')) / (was / (SELECT count(*) FROM th WHERE day <= DATE '2024-01-23')) AS ratio FROM a LEFT JOIN b USING (theme))
 SELECT theme, labels, roots, zones, round(log2(labels + 1) * log2(roots + 1) * log2(zones + 1), 6) AS score, CASE WHEN was IS NULL THEN 'new' WHEN ratio >= 1.3e0 THEN 'rising' WHEN ratio <= 0.6e0 THEN 'fading' ELSE 'stable' END AS bucket FROM r""",
 )
@@ -104,10 +107,10 @@ def t17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.theme_convergence(rows.where("day > DATE '2024-01-23'"), rows.where("day <= DATE '2024-01-23'"), "theme")
 
 
-@query("t20_theme_targets", f"{W}, {THEMED} SELECT theme, label, zone FROM (SELECT DISTINCT theme, label, zone FROM th WHERE theme IN ('old', 'red', 'hot')) QUALIFY row_number() OVER (PARTITION BY theme ORDER BY zone = 'com' DESC, label, zone) <= 30")
+@query("t20_theme_targets", f"{WR}, {THEMED} SELECT theme, label, zone FROM (SELECT DISTINCT theme, label, zone FROM th WHERE theme IN ('small ring', 'blue bolt', 'small gizmo')) QUALIFY row_number() OVER (PARTITION BY theme ORDER BY zone = 'com' DESC, label, zone) <= 30")
 def t20(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = themed(spark, sf_dir)
-    return ops.theme_targets(rows, rows.where("theme IN ('old', 'red', 'hot')"), 30, "com")
+    return ops.theme_targets(rows, rows.where("theme IN ('small ring', 'blue bolt', 'small gizmo')"), 30, "com")
 
 
 def seen_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,12 +134,12 @@ def t26(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("t27_keyword_clusters")
 def t27(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.keyword_clusters(seen_terms(spark, sf_dir).where("zone = 'com' AND day < DATE '2024-01-15'"))
+    return ops.keyword_clusters(seen_terms(spark, sf_dir))
 
 
 @query(
     "d17_candidate_stats",
-    f"""{W}, {THEMED}, h AS (SELECT theme, label, day, kind = 'purchase' AS built, CASE WHEN event_id % 12 = 0 THEN '' ELSE host END AS host FROM th), b AS (SELECT day, host FROM h GROUP BY 1, 2 HAVING count(DISTINCT label) >= 10)
+    f"""{WR}, {THEMED}, h AS (SELECT theme, label, day, kind = 'purchase' AS built, CASE WHEN event_id % 12 = 0 THEN '' ELSE host END AS host FROM th), b AS (SELECT day, host FROM h GROUP BY 1, 2 HAVING count(DISTINCT label) >= 10)
 SELECT theme, count(DISTINCT label) AS names, count(DISTINCT CASE WHEN b.day IS NOT NULL THEN CAST(h.day AS VARCHAR) || '|' || h.host ELSE h.host || '|' || label END) FILTER (WHERE h.host <> '') AS buyers, count(DISTINCT label) FILTER (WHERE built) AS built, count(*) FILTER (WHERE h.host = '') AS without_destination FROM h LEFT JOIN b ON b.day = h.day AND b.host = h.host GROUP BY 1""",
 )
 def d17(spark: SparkSession, sf_dir: str) -> DataFrame:

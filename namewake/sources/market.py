@@ -1,7 +1,8 @@
 """Market tables derived by Spark from the supplied ones, and the same derivations as SQL.
 
 ``names`` are sightings of labels in zones (events named after parts), with the name servers seen; ``listings`` are
-offers (line items named after parts). Both grow with the tables they come from.
+offers (line items named after parts). Both grow with the tables they come from, and so do their distinct labels: parts have few names,
+but every fifth part's labels end in a number of its own.
 """
 
 from __future__ import annotations
@@ -34,9 +35,11 @@ def _pick(values: list[str], index) -> F.Column:
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, ts, day, user_id, kind, value, label, zone, host)."""
     events, part = table(spark, sf_dir, "events"), table(spark, sf_dir, "part")
-    joined = events.join(part.select("p_partkey", "p_name"), F.col("event_id") % 200 == F.col("p_partkey"))
+    turn = events.withColumn("turn", F.col("event_id") % part.select(F.max("p_partkey") + 1).scalar())
+    joined = turn.join(part.select("p_partkey", "p_name"), F.col("turn") == F.col("p_partkey"))
     glue = F.when(F.col("event_id") % 7 == 0, "-").otherwise("")
-    tail = F.when(F.col("event_id") % 4 == 0, (F.col("user_id") % 10).cast("string")).otherwise("")
+    own = F.when(F.col("p_partkey") % 5 == 0, F.floor(F.col("p_partkey") / 40).cast("string")).otherwise("")
+    tail = F.when(F.col("event_id") % 4 == 0, (F.col("user_id") % 10).cast("string")).otherwise(own)
     label = F.concat(F.lower(F.replace("p_name", F.lit(" "), glue)), tail)
     host = F.concat(F.lit("ns"), (F.col("event_id") % 3 + 1).cast("string"), F.lit("."), _pick(HOSTS, F.col("user_id")))
     return joined.select("event_id", "ts", F.to_date("ts").alias("day"), "user_id", F.col("event_type").alias("kind"), "value", label.alias("label"), _pick(ZONES, F.col("event_id") + F.col("user_id")).alias("zone"), host.alias("host"))
@@ -48,10 +51,10 @@ def _pick_sql(values: list[str], index: str) -> str:
 
 NAMES = f"""names AS (
   SELECT event_id, ts, CAST(ts AS DATE) AS day, user_id, event_type AS kind, value,
-    lower(replace(p_name, ' ', CASE WHEN event_id % 7 = 0 THEN '-' ELSE '' END)) || CASE WHEN event_id % 4 = 0 THEN CAST(user_id % 10 AS VARCHAR) ELSE '' END AS label,
+    lower(replace(p_name, ' ', CASE WHEN event_id % 7 = 0 THEN '-' ELSE '' END)) || CASE WHEN event_id % 4 = 0 THEN CAST(user_id % 10 AS VARCHAR) WHEN p_partkey % 5 = 0 THEN CAST(p_partkey // 40 AS VARCHAR) ELSE '' END AS label,
     {_pick_sql(ZONES, "(event_id + user_id)")} AS zone,
     'ns' || CAST(event_id % 3 + 1 AS VARCHAR) || '.' || {_pick_sql(HOSTS, "user_id")} AS host
-  FROM events JOIN part ON event_id % 200 = p_partkey
+  FROM (SELECT *, event_id % (SELECT max(p_partkey) + 1 FROM part) AS turn FROM events) JOIN part ON turn = p_partkey
 )"""
 
 

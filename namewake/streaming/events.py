@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.ranking import saved
+from ..operators.ranking import global_rank, saved
 
 
 def read_stream(spark: SparkSession, sf_dir: str, name: str, files: int = 1) -> DataFrame:
@@ -84,22 +84,31 @@ def launches(stream: DataFrame, recent: DataFrame, *, key: str = "label", zones_
 
 def roster(events: DataFrame, *, key: str = "label", retire_after: int = 3) -> DataFrame:
     """(key, misses, state): the miss streak at the end of a stream of results (ok, miss, unknown); names retire after some misses in
-    a row, only fresh evidence revives them, unknown changes nothing. The batch twin: an ordered fold by key."""
-    ordered = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "result"))).alias("all"))
-
-    def step(misses, e):
-        return F.when(e["result"] == "ok", 0).when(e["result"] == "miss", misses + 1).otherwise(misses)
-
-    misses = F.aggregate("all", F.lit(0), step)
-    return ordered.select(key, misses.alias("misses")).withColumn("state", F.when(F.col("misses") >= retire_after, "retired").otherwise("active"))
+    a row, only fresh evidence revives them, unknown changes nothing. The batch twin: misses after a key's last ok, by two aggregations that combine
+    before the shuffle, so that no key's history is gathered."""
+    place = F.struct("ts", "event_id")
+    last = saved(events.groupBy(key).agg(F.max(F.when(F.col("result") == "ok", place)).alias("ok")))
+    missed = (F.col("result") == "miss") & (F.col("ok").isNull() | (place > F.col("ok")))
+    counts = events.join(last, key).groupBy(key).agg(F.count_if(missed).cast("int").alias("misses"))
+    return counts.withColumn("state", F.when(F.col("misses") >= retire_after, "retired").otherwise("active"))
 
 
 def error_share(events: DataFrame, rows: int = 1000, by: str = "zone") -> DataFrame:
-    """Each event with the share of errors among the last ``rows`` of its group, itself included."""
+    """Each event with the share of errors among the last ``rows`` of its group, itself included.
+
+    Events are numbered in order over all ranges; stretches of that order are windows of their own, each with the ``rows`` before it as well, so that
+    a group with most of the events is many tasks' work.
+    """
     from pyspark.sql.window import Window
 
-    frame = Window.partitionBy(by).orderBy("ts", "event_id").rowsBetween(-(rows - 1), 0)
-    return events.withColumn("error_share", F.round(F.avg((F.col("kind") == "error").cast("double")).over(frame), 6))
+    stretch = 16 * rows
+    placed = global_rank(events, [F.asc(by), F.asc("ts"), F.asc("event_id")], "_place")
+    own = F.floor(F.col("_place") / stretch)
+    tail = F.when(F.col("_place") % stretch > stretch - rows, F.array(own, own + 1)).otherwise(F.array(own))
+    spread = placed.withColumn("_own", own).withColumn("_part", F.explode(tail))
+    frame = Window.partitionBy("_part", by).orderBy("_place").rowsBetween(-(rows - 1), 0)
+    shared = spread.withColumn("error_share", F.round(F.avg((F.col("kind") == "error").cast("double")).over(frame), 6))
+    return shared.where(F.col("_part") == F.col("_own")).drop("_place", "_own", "_part")
 
 
 def refine_day(stored: DataFrame, late: DataFrame, *, key: str = "label", gap: int = 3) -> DataFrame:
