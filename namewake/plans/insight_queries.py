@@ -65,7 +65,7 @@ def t21_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.candidate_tape(rows).withColumn("day", F.col("day").cast("string"))
 
 
-TERMS = f"""k AS (SELECT n.user_id, n.zone, n.day, n.kind, s.label, list_distinct(list_filter(pieces, lambda p: p <> '?')) AS w FROM names n JOIN segments s USING (label)), t AS (SELECT user_id, zone, day, kind, unnest(w) AS term, w FROM k UNION ALL SELECT user_id, zone, day, kind, array_to_string(w, ' '), w FROM k WHERE len(w) = 2),
+TERMS = f"""k AS (SELECT n.user_id, n.zone, n.day, n.kind, s.label, list_filter(pieces, lambda p: p <> '?') AS w FROM names n JOIN segments s USING (label)), t AS (SELECT user_id, zone, day, kind, unnest(w) AS term, w FROM k UNION ALL SELECT user_id, zone, day, kind, array_to_string(w, ' '), w FROM k WHERE len(w) = 2),
 f AS (SELECT term, count(DISTINCT user_id) AS operators, 1e6 * count(*) / (SELECT count(*) FROM names) AS per_million, count(DISTINCT day) / (SELECT count(DISTINCT day) FROM names) AS presence, count(DISTINCT kind) AS roles, count(DISTINCT array_to_string(w, ' ')) AS partners, count(DISTINCT zone) AS zones, count(*) FILTER (WHERE zone IN ('ai', 'io')) / count(*) AS frontier_share FROM t GROUP BY 1),
 c AS (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) * 100 AS rank FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS word FROM part) GROUP BY 1 QUALIFY row_number() OVER (ORDER BY count(*) DESC, word) <= 10),
 lx AS (SELECT term, exp(sum(ln(CASE WHEN rank IS NULL THEN 1e0 ELSE least(1e0, 0.02 + pow(rank / 10000, 1.5)) END))) AS product, count(*) AS n FROM (SELECT term, unnest(string_split(term, ' ')) AS word FROM f) LEFT JOIN c USING (word) GROUP BY 1)"""
@@ -78,7 +78,7 @@ SELECT term, round(novelty, 6) AS novelty, CASE WHEN operators < 2 THEN 0e0 ELSE
 )
 def t25(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = market.names(spark, sf_dir)
-    held = segments(spark, sf_dir).select("label", F.array_distinct(F.filter("pieces", lambda p: p != "?")).alias("w"))
+    held = segments(spark, sf_dir).select("label", F.filter("pieces", lambda p: p != "?").alias("w"))
     both = F.when(F.size("w") == 2, F.concat("w", F.array(F.array_join("w", " ")))).otherwise(F.col("w"))
     each = seen.join(held, "label").select("user_id", "zone", "day", "kind", "w", F.explode(both).alias("term"))
     totals = seen.agg(F.count("*").alias("all"), F.count_distinct("day").alias("days"))
