@@ -4,8 +4,8 @@ A list is a log of dated entries: a pattern is listed with an action, and the ne
 next. Entries become validity intervals. A capture asks for its host, every parent domain and its first path segment; an
 as-of join finds the interval of each that covers the fetch time, and the most specific pattern decides.
 
-The join is by pattern and time bucket: only the buckets that captures ask for are filled, each with the intervals that
-reach into it, so a busy host is spread over its buckets and nothing grows with captures times entries.
+The join is by pattern and time bucket, so a busy host is spread over its buckets; within a bucket captures and intervals are put
+in one order of time and each capture takes the interval before it, so nothing grows with captures times entries.
 """
 
 from __future__ import annotations
@@ -35,15 +35,22 @@ def patterns_of(url: Column) -> Column:
     return F.when(segment == "", suffixes).otherwise(F.concat(suffixes, path))
 
 
-def intervals(entries: DataFrame) -> DataFrame:
-    """(pattern, action, valid_from, valid_to) from dated entries (pattern, action, listed_at); the last interval is open (null).
+def intervals(entries: DataFrame, asked: DataFrame, bucket: Column) -> DataFrame:
+    """(pattern, bucket, action, valid_from): the intervals of dated entries (pattern, action, listed_at) that reach into each asked (pattern, bucket).
 
-    Of entries for one pattern at one time, ``block`` wins. Entries with a null anywhere are ignored.
+    An interval holds from ``valid_from`` - null for one that began before the bucket - until the next one's. Of entries for one pattern at
+    one time, ``block`` wins. Entries with a null anywhere are ignored.
+
+    The entries of a bucket are first reduced to the last one; only these, one a bucket, are put in order to find what each bucket begins with, so
+    the entries of a busy pattern never meet in one task.
     """
     known = entries.select("pattern", "action", "listed_at").dropna()
-    once = known.groupBy("pattern", "listed_at").agg(F.max("action").alias("action"))  # "block" sorts after "allow"
-    order = Window.partitionBy("pattern").orderBy("listed_at")
-    return once.select("pattern", "action", F.col("listed_at").alias("valid_from"), F.lead("listed_at").over(order).alias("valid_to"))
+    once = known.groupBy("pattern", "listed_at").agg(F.max("action").alias("action")).withColumn("bucket", bucket)  # "block" sorts after "allow"
+    last = once.groupBy("pattern", "bucket").agg(F.max_by("action", "listed_at").alias("last"))
+    spine = last.join(asked, ["pattern", "bucket"], "full")
+    before = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    begun = spine.withColumn("action", F.last("last", ignorenulls=True).over(before)).where("action is not null").select("pattern", "bucket", "action", F.lit(None).cast(entries.schema["listed_at"].dataType).alias("valid_from"))
+    return begun.unionByName(once.withColumnRenamed("listed_at", "valid_from"))
 
 
 def judge(captures: DataFrame, entries: DataFrame, *, bucket_seconds: int = 3600) -> DataFrame:
@@ -57,18 +64,16 @@ def judge(captures: DataFrame, entries: DataFrame, *, bucket_seconds: int = 3600
     """
     asked = captures.select("capture_id", F.col("url").cast("string").alias("url"), F.col("fetched_at")).groupBy("capture_id", "url", "fetched_at").agg(F.count("*").alias("copies"))
     asked = asked.withColumn("known", F.col("fetched_at").isNotNull() & (F.coalesce(host_of(F.col("url")), F.lit("")) != ""))
-    bucket = F.floor(F.unix_micros(F.col("fetched_at").cast("timestamp")) / F.lit(bucket_seconds * 1_000_000)).cast("long")
-    wanted = asked.where("known").select("capture_id", "url", "fetched_at", bucket.alias("bucket"), F.explode(patterns_of(F.col("url"))).alias("p")).select("*", "p.*").drop("p")
-
-    valid = intervals(entries)
-    start = F.timestamp_micros(F.col("bucket") * bucket_seconds * 1_000_000).cast(captures.schema["fetched_at"].dataType)
-    end = F.timestamp_micros((F.col("bucket") + 1) * bucket_seconds * 1_000_000).cast(captures.schema["fetched_at"].dataType)
-    slots = wanted.select("pattern", "bucket").distinct()
-    reach = (F.col("valid_from") < end) & (F.col("valid_to").isNull() | (F.col("valid_to") > start))
-    filled = slots.join(valid, "pattern").where(reach)
-
-    active = (F.col("fetched_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
-    hits = wanted.join(filled, ["pattern", "bucket"]).where(active)
+    bucket = lambda at: F.floor(F.unix_micros(F.col(at).cast("timestamp")) / F.lit(bucket_seconds * 1_000_000)).cast("long")
+    wanted = asked.where("known").select("capture_id", "url", "fetched_at", bucket("fetched_at").alias("bucket"), F.explode(patterns_of(F.col("url"))).alias("p")).select("*", "p.*").drop("p")
+
+    valid = intervals(entries, wanted.select("pattern", "bucket").distinct(), bucket("listed_at"))
+    # as-of join: captures and intervals of a pattern and bucket in one order of time, an interval before the captures of its first moment
+    question = F.struct("capture_id", "url", "fetched_at", "weight").alias("question")
+    line = wanted.select("pattern", "bucket", F.col("fetched_at").alias("at"), F.lit(None).cast("string").alias("action"), question)
+    line = line.unionByName(valid.select("pattern", "bucket", F.col("valid_from").alias("at"), "action"), allowMissingColumns=True)
+    until = Window.partitionBy("pattern", "bucket").orderBy(F.col("at").asc_nulls_first(), F.col("question").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    hits = line.withColumn("action", F.last("action", ignorenulls=True).over(until)).where("question is not null AND action is not null").select("question.*", "pattern", "action")
     best = hits.groupBy("capture_id", "url", "fetched_at").agg(F.max(F.struct("weight", "pattern", "action")).alias("best"))
     a, b = asked.alias("a"), best.alias("b")
     same = F.col("a.capture_id").eqNullSafe(F.col("b.capture_id")) & (F.col("a.url") == F.col("b.url")) & (F.col("a.fetched_at") == F.col("b.fetched_at"))
