@@ -54,17 +54,10 @@ def candidates(docs: DataFrame) -> DataFrame:
     )
     zipped = F.arrays_zip(F.col("secrets").alias("secret"), F.col("cuts").alias("left"), F.slice("cuts", 2, F.greatest(F.size("cuts") - 1, F.lit(1))).alias("right"))
     each = rows.select("doc_id", "source", F.posexplode(zipped).alias("place", "c")).where("c.secret is not null")
-    left, right = F.right(F.col("c.left"), F.lit(120)), F.left(F.col("c.right"), F.lit(120))
-    return each.select(
-        "doc_id",
-        "source",
-        "place",
-        F.col("c.secret").alias("secret"),
-        F.regexp_extract(left, r"(\S+)\s+\S*$", 1).alias("before"),
-        F.regexp_extract(left, r"(\S+)\s+\S+\s+\S*$", 1).alias("before2"),
-        F.regexp_extract(right, r"^\S*\s+(\S+)", 1).alias("after"),
-        F.concat(F.regexp_extract(left, r"(\S*)$", 1), F.lit("\u2026"), F.regexp_extract(right, r"^(\S*)", 1)).alias("tight"),
-    )
+    apart = each.select("doc_id", "source", "place", F.col("c.secret").alias("secret"), F.split("c.left", r"\s+").alias("left"), F.split("c.right", r"\s+", 3).alias("right"))
+    word = lambda side, at: F.coalesce(F.get(side, at), F.lit(""))
+    back = lambda n: word("left", F.size("left") - n)
+    return apart.select("doc_id", "source", "place", "secret", back(2).alias("before"), back(3).alias("before2"), word("right", F.lit(1)).alias("after"), F.concat(back(1), F.lit("\u2026"), word("right", F.lit(0))).alias("tight"))
 
 
 def corpus_words(docs: DataFrame, least: int = 5) -> DataFrame:
@@ -129,6 +122,14 @@ def features(found: DataFrame, words: DataFrame, costs: list[float]) -> DataFram
     return out.join(covered, "row", "left").withColumn("dictionary", F.least(F.coalesce("dictionary", F.lit(0.0)), F.lit(1.0)))
 
 
+def labelled_findings(docs: DataFrame, findings: DataFrame) -> DataFrame:
+    """Rows for ``train`` and ``scan`` from findings (doc_id, secret, label) that somebody has judged in ``docs``; what is no candidate is left out."""
+    words = saved(corpus_words(docs))
+    found = features(saved(candidates(docs)), words, transition_costs(words))
+    judged = findings.groupBy("doc_id", "secret").agg(F.max(F.col("label").cast("double")).alias("label"))
+    return found.join(judged, ["doc_id", "secret"])
+
+
 def sure_labels(found: DataFrame) -> DataFrame:
     """``label`` 1 for issued formats and for quoted values assigned to a credential's name that no single word or sentence would be;
     0 for plain numbers, words, placeholders and values in running text; null where the rule can't tell."""
