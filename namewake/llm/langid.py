@@ -168,8 +168,8 @@ def training_rows(labelled: DataFrame, per_language: int, most_languages: int =
 
 
 def fit(labelled: DataFrame, *, per_language: int = 500, **options) -> LanguageModel:
-    """Train on a bounded sample of ``labelled`` (doc_id, text, lang): about ``per_language`` whole texts of each language."""
-    rows = sorted((r for r in training_rows(labelled, per_language).collect() if LETTER.search(r.text)), key=lambda r: (r.doc_id is None, r.doc_id, r.text))
+    """Train on a bounded sample of ``labelled`` (doc_id, text, lang): about ``per_language`` whole texts of each language, one row of each text."""
+    rows = sorted((r for r in training_rows(labelled, per_language).dropDuplicates(["doc_id", "text", "lang"]).collect() if LETTER.search(r.text)), key=lambda r: (r.doc_id is None, r.doc_id, r.text))
     return train([r.text for r in rows], [r.lang for r in rows], **options)
 
 

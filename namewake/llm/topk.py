@@ -29,8 +29,8 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & F.coalesce(finite, F.lit(False))
 
 
-def threshold_search(lists: np.ndarray, values: np.ndarray, vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int | None, k: int) -> list[tuple[int, int]]:
-    """The k best (id, score) of a shard, ties to the smaller id.
+def threshold_search(lists: np.ndarray, values: np.ndarray, vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int | None, k: int) -> tuple[list[tuple[int, int]], int]:
+    """The k best (id, score) of a shard, ties to the smaller id, and how many rows were scored for them.
 
     ``lists[j]`` holds row numbers by falling component j and ``values[j]`` these components. Rows with the query's own
     id take no part. A row tied with the kth score still counts, so the walk stops only when the bound is below it.
@@ -39,7 +39,7 @@ def threshold_search(lists: np.ndarray, values: np.ndarray, vectors: np.ndarray,
     active = np.flatnonzero(query)
     if not len(active):
         order = np.argsort(ids, kind="stable")
-        return [(int(i), 0) for i in ids[order] if i != own][:k]
+        return [(int(i), 0) for i in ids[order] if i != own][:k], 0
     up = query[active] < 0
     seen = np.zeros(n, bool)
     best: list[tuple[int, int]] = []
@@ -61,7 +61,7 @@ def threshold_search(lists: np.ndarray, values: np.ndarray, vectors: np.ndarray,
             edge = np.where(up, values[active, n - 1 - depth], values[active, depth])
             if int((edge * query[active]).sum()) < -best[-1][0]:
                 break
-    return [(i, -s) for s, i in best]
+    return [(i, -s) for s, i in best], int(seen.sum())
 
 
 def top_k(vectors: DataFrame, queries: Column, *, k: int = 10, shard_rows: int = 8192, block_queries: int = 512, scale: int = 1024) -> DataFrame:
@@ -104,7 +104,7 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = 10, shard_rows: int =
                 values = np.take_along_axis(found.T, lists, axis=1)
                 found = found.astype(kind)
                 for own, query in zip(query_ids.tolist(), wanted.astype(kind), strict=True):
-                    for other, score in threshold_search(lists, values, found, ids, query, own, k):
+                    for other, score in threshold_search(lists, values, found, ids, query, own, k)[0]:
                         for column, value in zip(out, (own, other, score), strict=True):
                             column.append(value)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["query_id", "vec_id", "score"])

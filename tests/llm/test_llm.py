@@ -200,6 +200,8 @@ def test_url_filter_by_hand(spark):
     got = sorted((r.capture_id or 0, r.verdict) for r in urlfilter.judge(c, e).collect())
     assert got == [(0, "none"), (1, "none"), (2, "block"), (3, "allow"), (4, "block"), (5, "allow"), (6, "unknown"), (7, "unknown"), (8, "unknown"), (9, "block"), (9, "block")]
     assert urlfilter.judge(c.limit(0), e).count() == 0
+    wide = c.withColumn("url", F.concat("url", F.lit("?" + "q" * 50_000))).withColumn("pattern", F.lit("clash"))
+    assert sorted((r.capture_id or 0, r.verdict) for r in urlfilter.judge(wide, e.withColumn("verdict", F.lit(1)), bucket_seconds=60).collect()) == got
     assert {r.verdict for r in urlfilter.judge(c, e.limit(0)).collect()} == {"none", "unknown"}
 
 
@@ -261,6 +263,27 @@ def test_licenses_by_hand(spark):
     assert licenses.scan(empty_docs(spark), licenses.known_digests(spark)).count() == 0
 
 
+def test_licenses_whole_texts_wraps_and_comments(spark):
+    import textwrap
+
+    mit = next(t for n, _, t in licenses.TEXTS if n == "MIT")
+    isc = next(t for n, _, t in licenses.TEXTS if n == "ISC")
+    bsd = next(t for n, _, t in licenses.TEXTS if n == "BSD-3-Clause")
+    fill = lambda t, width, lead="": "\n".join(textwrap.fill(p, width, initial_indent=lead, subsequent_indent=lead) for p in t.split("\n\n"))
+    texts = [
+        mit,
+        "MIT License\n\nCopyright (c) 2024 Some One\n\n" + fill(mit, 70),
+        "# Copyright 2020 A\n" + fill(isc, 60, "# "),
+        "/* Copyright 2011 B. All rights reserved. */\n" + isc.replace("above copyright", "above\ncopyright"),
+        fill(bsd, 33).replace("license", "licence").upper(),
+        "Copyright notice\n" + mit,  # no copyright line
+        mit + " And more.",
+    ]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.license_id) for r in licenses.scan(table, licenses.known_digests(spark)).where("unit = 'document'").collect())
+    assert got == [(0, "MIT"), (1, "MIT"), (2, "ISC"), (3, "ISC"), (4, "BSD-3-Clause")]
+
+
 # 5: language
 
 
@@ -339,6 +362,40 @@ def test_secrets_short_and_without_digits(spark):
     assert all(clean[i] == t for i, t, _ in texts[len(planted) :])
 
 
+def test_secrets_learned_from_labelled_findings(spark):
+    """Formats that the plain rule doesn't know: learned on labelled documents of one half, held against the other half."""
+    rng = random.Random(17)
+    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    words = [pick(letters, rng.randint(3, 9)) for _ in range(300)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    secret_kinds = [
+        lambda: ("session", pick(letters + letters.upper() + digits, 32)),
+        lambda: ("ticket", pick(letters + digits, 24)),
+        lambda: ("cookie", pick(letters.upper() + digits + "_-", 40)),
+    ]
+    plain_kinds = [
+        lambda: ("build", "-".join(rng.choice(words) for _ in range(4)) + pick(digits, 2)),
+        lambda: ("order", pick(digits, 18)),
+        lambda: ("path", "/".join(rng.choice(words) for _ in range(4)) + "/v" + pick(digits, 1)),
+    ]
+    rows, judged = [], []
+    for i in range(600):
+        label = i % 2
+        name, value = rng.choice(secret_kinds if label else plain_kinds)()
+        rows.append((i, f"{say(12)} {name} {value} {say(12)}", "mail"))
+        judged.append((i, value, label))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    findings = spark.createDataFrame(judged, "doc_id long, secret string, label int")
+    known = secrets.labelled_findings(docs, findings.where("doc_id % 4 < 2"))
+    found = {(r.doc_id, r.secret): r.is_secret for r in secrets.scan(docs, labelled=known).where("doc_id % 4 >= 2").collect()}
+    rule = {(r.doc_id, r.secret): r.is_secret for r in secrets.scan(docs).where("doc_id % 4 >= 2").collect()}
+    wanted = {(i, v) for i, v, label in judged if label and i % 4 >= 2}
+    hits = {key for key, yes in found.items() if yes}
+    assert len(hits & wanted) >= 0.95 * len(wanted) and len(hits & wanted) >= 0.95 * len(hits)
+    assert len({key for key, yes in rule.items() if yes} & wanted) < 0.5 * len(wanted)  # the rule alone misses most
+
+
 # 7: tokens
 
 
@@ -565,6 +622,21 @@ def test_top_k_brute_force_with_ties(spark):
     assert topk.top_k(frame.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_threshold_search_stops_early():
+    """Vectors with a few large components: the bound ends the walk after a small share of the rows, with the exact result."""
+    rng = np.random.default_rng(5)
+    vectors = np.floor(1024 * rng.normal(size=(4000, 16)) ** 3 * np.geomspace(8, 0.01, 16)).astype(np.int64)
+    lists = np.argsort(-vectors.T, axis=1, kind="stable")
+    values, ids = np.take_along_axis(vectors.T, lists, axis=1), np.arange(4000)
+    scored = []
+    for q in range(0, 4000, 200):
+        found, seen = topk.threshold_search(lists, values, vectors, ids, vectors[q], q, 10)
+        scores = vectors @ vectors[q]
+        assert found == [(int(i), int(scores[i])) for i in sorted((i for i in range(4000) if i != q), key=lambda i: (-scores[i], i))[:10]]
+        scored.append(seen)
+    assert np.mean(scored) < 0.25 * 4000
+
+
 def test_pipeline(spark, sf, docs):
     import corpus_pipeline
 
