@@ -275,14 +275,35 @@ def _crowd_links(members: DataFrame, sets: DataFrame, lanes: int, max_bits: int,
     sum of the lesser counts is no less than what two nodes share, so a pair whose sum is too small is no link. In a crowd
     of copies that differ from their original in places of their own this leaves few pairs but links.
     """
-    crowd = members.select("node").distinct()
-    each = saved(crowd.join(sets, "node").select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")))
-    own = each.groupBy("shingle").agg(F.count("*").alias("nodes"), F.min("node").alias("node")).where("nodes = 1")
-    signed = each.select("node", "n", "shingle", F.lit(1).alias("sign")).union(own.select("node", F.lit(0), "shingle", F.lit(-1)))
+    crowd = saved(members.select("node").distinct().join(sets, "node"))
+
+    def flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        lists = batch.column(1)
+        return np.repeat(batch.column(0).to_numpy(), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+
+    def combined():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            nodes, values = flat(batch)
+            values, first, times = np.unique(values, return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(values), pa.array(nodes[first]), pa.array(times)], names=["shingle", "node", "nodes"])
+
+        return each
+
+    def counted():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            lists = [np.bincount(np.asarray(values.values) % classes, minlength=classes) for values in batch.column(1)]
+            counts = pa.array(np.array(lists, np.int32).reshape(-1, classes).tolist(), pa.list_(pa.int32()))
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).value_lengths(), counts], names=["node", "n", "counts"])
+
+        return each
+
+    once = map_arrow(crowd, combined, "shingle long, node long, nodes long").groupBy("shingle").agg(F.sum("nodes").alias("nodes"), F.min("node").alias("node")).where("nodes = 1")
     place = F.pmod(F.col("shingle"), F.lit(classes))
-    counts = [F.coalesce(F.sum(F.when(place == i, F.col("sign"))), F.lit(0)).cast("int") for i in range(classes)]
-    counted = signed.groupBy("node").agg(F.max("n").alias("n"), F.array(*counts).alias("counts"))
-    able = saved(counted.where(F.aggregate("counts", F.lit(0), lambda t, x: t + x) >= F.lit(least) * F.col("n")))
+    own = once.groupBy("node").agg(F.array(*[F.count_if(place == i).cast("int") for i in range(classes)]).alias("own"))
+    every = map_arrow(crowd, counted, "node long, n int, counts array<int>").join(own, "node", "left")
+    shared = F.when(F.col("own").isNull(), F.col("counts")).otherwise(F.zip_with("counts", "own", lambda x, y: x - y))
+    every = every.select("node", "n", shared.alias("counts"))
+    able = saved(every.where(F.aggregate("counts", F.lit(0), lambda t, x: t + x) >= F.lit(least) * F.col("n")))
     bound = F.aggregate(F.zip_with("l.counts", "r.counts", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
     also = bound * (1 + least) >= least * (F.col("l.n") + F.col("r.n"))
     return _across(members.join(able, "node"), lanes, max_bits, also, ("n", "counts"))
