@@ -100,9 +100,10 @@ def reconcile_cells(observations: DataFrame, negatives: DataFrame) -> DataFrame:
     return rows.select("base", "zone", verdict.alias("verdict"))
 
 
-def merge_ledger(*sources: tuple[str, DataFrame], key: str = "domain") -> DataFrame:
-    """One row of each key over named sources (key, day, value): the most recent, and of one day the source named first."""
-    parts = [df.select(key, "day", "value").withColumns({"source": F.lit(name), "_rank": F.lit(i)}) for i, (name, df) in enumerate(sources)]
+def merge_ledger(*sources: tuple[str, DataFrame], key: str = "domain", left_out: Sequence[str] = ()) -> DataFrame:
+    """One row of each key over named sources (key, day, value): the most recent, and of one day the source named first. Names in the zones ``left_out`` don't enter."""
+    entering = ~F.substring_index(key, ".", -1).isin(*left_out) if left_out else F.lit(True)
+    parts = [df.where(entering).select(key, "day", "value").withColumns({"source": F.lit(name), "_rank": F.lit(i)}) for i, (name, df) in enumerate(sources)]
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)

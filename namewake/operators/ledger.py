@@ -265,8 +265,14 @@ def literal_search(docs: DataFrame, q: str, columns: Mapping[str, str], around:
     return docs.withColumns({"match": match, "excerpt": excerpt}).where("match is not null")
 
 
+WARNINGS = {"number": "[0-9]", "hyphen": "-", "repeated letters": r"(.)\1\1", "hard consonant run": "[^aeiou]{6,}"}
+
+
 def auction_score(df: DataFrame, words: DataFrame) -> DataFrame:
-    """Adds ``points`` and ``halves``: labels of two dictionary words get points, digits, hyphens and length cost some, bids and age add some."""
+    """Adds ``points``, ``halves`` and ``warnings``: labels of two dictionary words get points, digits, hyphens and length cost some, bids and age add some.
+
+    The warnings name digits, hyphens, a character three times in a row and six consonants in a row.
+    """
     cuts = F.explode(F.sequence(F.lit(2), F.greatest(F.length("label") - 2, F.lit(2))))
     split = df.select("label").distinct().select("label", cuts.alias("cut")).select("label", F.expr("substr(label, 1, cut)").alias("a"), F.expr("substr(label, cut + 1)").alias("b"))
     entries = words.select("entry").distinct()
@@ -275,7 +281,8 @@ def auction_score(df: DataFrame, words: DataFrame) -> DataFrame:
     rows = df.join(best, "label", "left")
     points = F.when(F.col("halves").isNotNull(), 40).otherwise(0) - F.when(F.col("label").rlike("[0-9]"), 20).otherwise(0) - F.when(F.contains("label", F.lit("-")), 15).otherwise(0)
     points = points + F.least(F.col("bids"), F.lit(10)) * 3 + F.least(F.col("age_years"), F.lit(20)) - F.greatest(F.length("label") - 10, F.lit(0)) * 4
-    return rows.withColumn("points", points)
+    found = [F.when(F.col("label").rlike(pattern), name) for name, pattern in WARNINGS.items()]
+    return rows.withColumns({"points": points, "warnings": F.array_join(F.array_compact(F.array(*found)), ", ")})
 
 
 def derived_rows(df: DataFrame) -> DataFrame:

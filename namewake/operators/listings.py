@@ -32,15 +32,18 @@ def search_listings(
     suffixes: Sequence[str] = (),
     price: tuple[float | None, float | None] = (None, None),
     length: tuple[int | None, int | None] = (None, None),
-    min_age: int | None = None,
-    min_zones: int | None = None,
+    age: tuple[int | None, int | None] = (None, None),
+    zone_count: tuple[int | None, int | None] = (None, None),
     no_digits: bool = False,
     no_hyphens: bool = False,
     has_bids: bool = False,
     has_archive: bool = False,
     available: bool | None = None,
 ) -> DataFrame:
-    """Rows that pass every given filter; a null never passes one, so a price bound drops rows without a price."""
+    """Rows that pass every given filter; a null never passes one, so a price bound drops rows without a price.
+
+    A least count of zones is also met by the lower bound ``zones_at_least``, if there is such a column; a largest one needs the exact ``zones_taken``.
+    """
     tests = []
     if stream:
         tests.append(F.col("stream") == stream)
@@ -50,13 +53,15 @@ def search_listings(
         tests.append(text_match("label", text, position))
     if suffixes:
         tests.append(_any([F.endswith("label", F.lit(s)) for s in suffixes]))
-    for column, (low, high) in ((F.col("price"), price), (F.length("label"), length)):
+    for column, (low, high) in ((F.col("price"), price), (F.length("label"), length), (F.col("age_years"), age)):
         tests += [column >= low] if low is not None else []
         tests += [column <= high] if high is not None else []
-    if min_age is not None:
-        tests.append(F.col("age_years") >= min_age)
-    if min_zones is not None:
-        tests.append(F.col("zones_taken") >= min_zones)
+    fewest, most = zone_count
+    if fewest is not None:
+        known = F.coalesce("zones_taken", "zones_at_least") if "zones_at_least" in df.columns else F.col("zones_taken")
+        tests.append(known >= fewest)
+    if most is not None:
+        tests.append(F.col("zones_taken") <= most)
     if no_digits:
         tests.append(~F.col("label").rlike("[0-9]"))
     if no_hyphens:
@@ -70,7 +75,7 @@ def search_listings(
     return reduce(lambda d, t: d.where(t), tests, df)
 
 
-def research(summary: DataFrame, q: str, *, position: str = "any", no_digits: bool = False, no_hyphens: bool = False, length: tuple[int, int] = (1, 63), zone: str | None = None) -> DataFrame:
+def research(summary: DataFrame, q: str, *, position: str = "any", no_digits: bool = False, no_hyphens: bool = False, no_idn: bool = False, length: tuple[int, int] = (1, 63), zone: str | None = None, min_zones: int = 1) -> DataFrame:
     """Labels for a query of one to six terms; ``-term`` excludes.
 
     ``beginning``, ``end`` and ``any`` want the terms in order, with gaps between; ``shuffle`` takes up to 24 orders.
@@ -91,6 +96,8 @@ def research(summary: DataFrame, q: str, *, position: str = "any", no_digits: bo
     out = summary.where(test & F.length("label").between(*length))
     out = out.where(~F.col("label").rlike("[0-9]")) if no_digits else out
     out = out.where(~F.contains("label", F.lit("-"))) if no_hyphens else out
+    out = out.where(~F.startswith("label", F.lit("xn--"))) if no_idn else out
+    out = out.where(F.size("zones") >= min_zones) if min_zones > 1 else out
     return out.where(F.array_contains("zones", zone)) if zone else out
 
 

@@ -27,7 +27,7 @@ def longest_consonants(label: Column) -> Column:
 
 
 def domain_quality(df: DataFrame) -> DataFrame:
-    """Adds ``quality``: points for length, zone, clean spelling, taken zones, age and archive, less for unreadable labels.
+    """Adds ``quality``: points for length, zone, clean spelling, taken zones, age and archive, less for unreadable labels; and ``reasons``, at most eight of them as text.
 
     Confirmed unavailable names have 0. Reads label, zone, zones_taken, age_years, archive, available; nulls count as nothing known.
     """
@@ -54,7 +54,22 @@ def domain_quality(df: DataFrame) -> DataFrame:
         F.when(F.length(letters) >= 4, -F.least(F.lit(220), unreadable)).otherwise(0),
     ]
     total = sum((p.cast("long") for p in parts[1:]), parts[0].cast("long"))
-    return df.withColumn("quality", F.when(F.col("available") == F.lit(False), 0).otherwise(F.greatest(F.lit(0), total)).cast("long"))
+    unavailable = F.col("available") == F.lit(False)
+    reasons = [
+        F.when(F.col("available"), "confirmed available"),
+        F.when(size > 0, F.format_string("%d chars", size)),
+        F.when(F.col("zone") != "", F.format_string("%s priority", "zone")),
+        F.when(digits, "has number"),
+        F.when(hyphens, "has hyphen"),
+        F.when(~digits & ~hyphens, "clean"),
+        F.when(count("zones_taken") > 0, F.format_string("%d TLDs taken", "zones_taken")),
+        F.when(count("age_years") > 0, F.format_string("%dy old", "age_years")),
+        F.when(count("archive") > 0, F.format_string("%d Wayback", "archive")),
+        F.when((F.length(letters) >= 4) & (unreadable > 0), "low readability"),
+    ]
+    why = F.array_join(F.slice(F.array_compact(F.array(*reasons)), 1, 8), "; ")
+    quality = F.when(unavailable, 0).otherwise(F.greatest(F.lit(0), total)).cast("long")
+    return df.withColumns({"quality": quality, "reasons": F.when(unavailable, "confirmed unavailable").otherwise(why)})
 
 
 def gem_rank(df: DataFrame) -> DataFrame:

@@ -81,8 +81,13 @@ def publishable(obs: DataFrame, repeats: int = 8) -> DataFrame:
     return obs.withColumn("_same", same).where((F.col("class") == "built") & ~F.col("title").rlike(GENERIC_TITLE) & F.col("kit").isNull() & (F.col("_same") < repeats)).drop("_same")
 
 
-def feed(obs: DataFrame, *, q: str, exclude: str | None = None, snippet: int = 40) -> DataFrame:
-    """Rows whose title or text holds ``q`` but not ``exclude``, with the text around the first place."""
+def feed(obs: DataFrame, *, q: str, exclude: str | None = None, zone: str | None = None, days: tuple[Column, int] | None = None, snippet: int = 40) -> DataFrame:
+    """Rows whose title or text holds ``q`` but not ``exclude``, with the text around the first place.
+
+    ``zone`` asks for hosts that end in it, ``days`` (the last day, how many) for rows of the days up to that one; days are numbers.
+    """
+    obs = obs.where(F.substring_index("host", ".", -1) == zone) if zone else obs
+    obs = obs.where((F.col("day") <= days[0]) & (F.col("day") > days[0] - days[1])) if days else obs
     text = F.lower(F.concat_ws(" ", "title", "text"))
     out = obs.where(F.contains(text, F.lit(q.lower())))
     out = out.where(~F.contains(text, F.lit(exclude.lower()))) if exclude else out

@@ -120,10 +120,16 @@ def theme_convergence(recent: DataFrame, base: DataFrame, theme: str, *, least:
     return rows.select(theme, "labels", "roots", "zones", F.round(score, 6).alias("score"), bucket.alias("bucket"))
 
 
-def theme_targets(members: DataFrame, themes: DataFrame, cap: int, prefer: str) -> DataFrame:
-    """(theme, label, zone): at most ``cap`` names of each wanted theme, those of the preferred zone first."""
+def theme_targets(members: DataFrame, themes: DataFrame, cap: int, prefer: str, sample: int = 0) -> DataFrame:
+    """(theme, label, zone): at most ``cap`` names of each wanted theme, those of the preferred zone first.
+
+    ``sample`` labels of all members, drawn by a hash and each in its preferred or else first zone, follow under the theme ``sample``.
+    """
     order = Window.partitionBy("theme").orderBy(F.desc(F.col("zone") == prefer), "label", "zone")
-    return members.select("theme", "label", "zone").distinct().join(themes.select("theme").distinct(), "theme").withColumn("_p", F.row_number().over(order)).where(F.col("_p") <= cap).drop("_p")
+    named = members.select("theme", "label", "zone").distinct().join(themes.select("theme").distinct(), "theme").withColumn("_p", F.row_number().over(order)).where(F.col("_p") <= cap).drop("_p")
+    each = members.groupBy("label").agg(F.min_by("zone", F.struct(F.col("zone") != prefer, "zone")).alias("zone"))
+    drawn = each.orderBy(F.md5("label"), "label").limit(sample).select(F.lit("sample").alias("theme"), "label", "zone")
+    return named.union(drawn) if sample else named
 
 
 def keyword_metrics(seen: DataFrame, rise: DataFrame) -> DataFrame:
@@ -181,12 +187,16 @@ def keyword_clusters(op_terms: DataFrame, *, least_cosine: float = 0.3, least_op
 
 
 def evidence_keys(cands: DataFrame, column: str = "evidence") -> DataFrame:
-    """Adds valid, signal, from_seller, kit and checked_at from evidence in JSON, parsed once; malformed JSON is not valid."""
-    shape = "struct<movement: struct<from: string, to: string>, homepage: struct<kit: string>, registry: struct<checked: string>>"
+    """Adds valid, likely, signal, from_seller, kit and checked_at from evidence in JSON, parsed once; malformed JSON is not valid.
+
+    ``likely``: the classification, or else the assessment's, is a likely sale. Such a row is a signal too.
+    """
+    shape = "struct<classification: string, assessment: struct<classification: string>, movement: struct<from: string, to: string>, homepage: struct<kit: string>, registry: struct<checked: string>>"
     rows = cands.withColumn("_e", F.from_json(column, shape))
     seller = F.coalesce(F.col("_e.movement.from") == "seller", F.lit(False))
     moved = F.coalesce(F.col("_e.movement.to").isin("hosting", "registrar", "other"), F.lit(False))
-    return rows.withColumns({"valid": F.col("_e.movement").isNotNull() | F.col("_e.registry").isNotNull(), "signal": seller & moved, "from_seller": seller, "kit": F.coalesce("_e.homepage.kit", F.lit("")), "checked_at": F.coalesce("_e.registry.checked", F.lit(""))}).drop("_e")
+    likely = F.coalesce(F.coalesce("_e.classification", "_e.assessment.classification") == "likely-sale", F.lit(False))
+    return rows.withColumns({"valid": F.col("_e.movement").isNotNull() | F.col("_e.registry").isNotNull(), "likely": likely, "signal": (seller & moved) | likely, "from_seller": seller, "kit": F.coalesce("_e.homepage.kit", F.lit("")), "checked_at": F.coalesce("_e.registry.checked", F.lit(""))}).drop("_e")
 
 
 def candidate_stats(members: DataFrame, batches: DataFrame, theme: str) -> DataFrame:

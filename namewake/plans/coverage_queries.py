@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import coverage as ops
+from ..operators.trends import ZERO_WEIGHT
 from ..sources import market
 from ..sources.market import LISTINGS, NAMES, ZONES
 from .registry import query
@@ -121,13 +122,13 @@ def c21(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "c20_merge_ledger",
-    f"""{W}, u AS (SELECT label AS domain, day, value, 'curated' AS source, 0 AS r FROM names WHERE kind = 'purchase' UNION ALL SELECT label, day, value, 'discovery', 1 FROM names WHERE kind = 'click' UNION ALL SELECT label, day, value, 'rebuilt', 2 FROM names WHERE kind = 'view')
+    f"""{W}, d AS (SELECT label || '.' || zone AS domain, day, value, kind FROM names WHERE zone NOT IN ({", ".join(repr(z) for z in ZERO_WEIGHT)})), u AS (SELECT domain, day, value, 'curated' AS source, 0 AS r FROM d WHERE kind = 'purchase' UNION ALL SELECT domain, day, value, 'discovery', 1 FROM d WHERE kind = 'click' UNION ALL SELECT domain, day, value, 'rebuilt', 2 FROM d WHERE kind = 'view')
 SELECT domain, CAST(day AS VARCHAR) AS day, value, source FROM u QUALIFY row_number() OVER (PARTITION BY domain ORDER BY day DESC, r, value DESC) = 1""",
 )
 def c20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = market.names(spark, sf_dir).withColumnRenamed("label", "domain")
+    seen = market.names(spark, sf_dir).withColumn("domain", F.concat_ws(".", "label", "zone"))
     pick = lambda kind: seen.where(F.col("kind") == kind)
-    return ops.merge_ledger(("curated", pick("purchase")), ("discovery", pick("click")), ("rebuilt", pick("view"))).withColumn("day", F.col("day").cast("string"))
+    return ops.merge_ledger(("curated", pick("purchase")), ("discovery", pick("click")), ("rebuilt", pick("view")), left_out=ZERO_WEIGHT).withColumn("day", F.col("day").cast("string"))
 
 
 @query(

@@ -280,11 +280,11 @@ def t31(spark: SparkSession, sf_dir: str) -> DataFrame:
     "r7_auction_score",
     f"""WITH {LISTINGS}, dict AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS entry FROM part), a AS (SELECT * FROM listings WHERE stream = 'auction'), c AS (SELECT label, unnest(range(2, greatest(length(label) - 2, 2) + 1)) AS cut FROM (SELECT DISTINCT label FROM a)),
 h AS (SELECT label, min(substr(label, 1, cut) || ' ' || substr(label, cut + 1)) AS halves FROM c WHERE substr(label, 1, cut) IN (SELECT entry FROM dict) AND substr(label, cut + 1) IN (SELECT entry FROM dict) GROUP BY 1)
-SELECT listing_id, CAST(CASE WHEN halves IS NOT NULL THEN 40 ELSE 0 END - CASE WHEN regexp_matches(label, '[0-9]') THEN 20 ELSE 0 END - CASE WHEN contains(label, '-') THEN 15 ELSE 0 END + least(bids, 10) * 3 + least(age_years, 20) - greatest(length(label) - 10, 0) * 4 AS INTEGER) AS points, coalesce(halves, '') AS halves FROM a LEFT JOIN h USING (label)""",
+SELECT listing_id, CAST(CASE WHEN halves IS NOT NULL THEN 40 ELSE 0 END - CASE WHEN regexp_matches(label, '[0-9]') THEN 20 ELSE 0 END - CASE WHEN contains(label, '-') THEN 15 ELSE 0 END + least(bids, 10) * 3 + least(age_years, 20) - greatest(length(label) - 10, 0) * 4 AS INTEGER) AS points, coalesce(halves, '') AS halves, array_to_string(list_filter([CASE WHEN regexp_matches(label, '[0-9]') THEN 'number' END, CASE WHEN contains(label, '-') THEN 'hyphen' END, CASE WHEN list_bool_or(list_transform(range(1, length(label) - 1), lambda i: label[i] = label[i + 1] AND label[i] = label[i + 2])) THEN 'repeated letters' END, CASE WHEN regexp_matches(label, '[^aeiou]{{6,}}') THEN 'hard consonant run' END], lambda x: x IS NOT NULL), ', ') AS warnings FROM a LEFT JOIN h USING (label)""",
 )
 def r7(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = market.listings(spark, sf_dir).where("stream = 'auction'")
-    return ops.auction_score(rows, dictionary(spark, sf_dir)).select("listing_id", "points", "halves").fillna("", ["halves"])
+    return ops.auction_score(rows, dictionary(spark, sf_dir)).select("listing_id", "points", "halves", "warnings").fillna("", ["halves"])
 
 
 @query("r10_derived_rows", f"WITH {ASSESSED} SELECT name, CASE WHEN tier = 'excluded' THEN 'noise' WHEN today_class = 'hosting' THEN 'builder' ELSE 'aftermarket' END AS tape, CASE WHEN n <= 4 THEN '1-4' WHEN n <= 8 THEN '5-8' WHEN n <= 12 THEN '9-12' ELSE '13+' END AS length_band FROM (SELECT *, length(split_part(name, '.', 1)) AS n FROM tiers)")

@@ -23,12 +23,24 @@ def L(select: str) -> str:
     return f"WITH {LISTINGS} {select}"
 
 
-@query("b1_search_listings", L("SELECT listing_id, domain FROM listings WHERE stream = 'auction' AND zone IN ('com', 'io') AND (label LIKE '%ring%' OR label LIKE '%gear%') AND price BETWEEN 1000 AND 50000 AND length(label) <= 9 AND age_years >= 3 AND zones_taken >= 2 AND NOT regexp_matches(label, '[0-9]') AND NOT contains(label, '-') AND bids > 0 AND archive > 0"))
+def counted_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings of which a third have a lower bound of the count of zones only."""
+    exact = F.col("listing_id") % 3 != 0
+    return market.listings(spark, sf_dir).withColumn("zones_at_least", F.col("zones_taken") - 1).withColumn("zones_taken", F.when(exact, F.col("zones_taken")))
+
+
+@query("b1_search_listings", L("SELECT listing_id, domain FROM listings WHERE stream = 'auction' AND zone IN ('com', 'io') AND (label LIKE '%ring%' OR label LIKE '%gear%') AND price BETWEEN 1000 AND 50000 AND length(label) <= 9 AND age_years BETWEEN 3 AND 27 AND coalesce(CASE WHEN listing_id % 3 <> 0 THEN zones_taken END, zones_taken - 1) >= 2 AND listing_id % 3 <> 0 AND zones_taken <= 7 AND NOT regexp_matches(label, '[0-9]') AND NOT contains(label, '-') AND bids > 0 AND archive > 0"))
 def b1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ops.search_listings(market.listings(spark, sf_dir), stream="auction", zones=["com", "io"], text="ring,gear", price=(1000, 50000), length=(None, 9), min_age=3, min_zones=2, no_digits=True, no_hyphens=True, has_bids=True, has_archive=True)
+    counted = counted_listings(spark, sf_dir)
+    found = ops.search_listings(counted, stream="auction", zones=["com", "io"], text="ring,gear", price=(1000, 50000), length=(None, 9), age=(3, 27), zone_count=(2, 7), no_digits=True, no_hyphens=True, has_bids=True, has_archive=True)
     return found.select("listing_id", "domain")
 
 
+@query("b1_search_lower_bound", L("SELECT listing_id, domain FROM listings WHERE zone = 'com' AND CASE WHEN listing_id % 3 <> 0 THEN zones_taken ELSE zones_taken - 1 END >= 6"))
+def b1_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.search_listings(counted_listings(spark, sf_dir), zones=["com"], zone_count=(6, None)).select("listing_id", "domain")
+
+
 SUMMARY = f"{NAMES}, summary AS (SELECT label, list_sort(list(DISTINCT zone)) AS zones FROM names GROUP BY 1)"
 
 
@@ -36,9 +48,9 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.names(spark, sf_dir).groupBy("label").agg(F.sort_array(F.collect_set("zone")).alias("zones"))
 
 
-@query("b2_research", f"WITH {SUMMARY} SELECT label, array_to_string(zones, ',') AS zones FROM summary WHERE (label LIKE '%red%bolt%' OR label LIKE '%bolt%red%') AND NOT contains(label, '-') AND NOT contains(label, '7') AND list_contains(zones, 'com')")
+@query("b2_research", f"WITH {SUMMARY} SELECT label, array_to_string(zones, ',') AS zones FROM summary WHERE (label LIKE '%red%bolt%' OR label LIKE '%bolt%red%') AND NOT contains(label, '-') AND NOT contains(label, '7') AND NOT starts_with(label, 'xn--') AND len(zones) >= 2 AND list_contains(zones, 'com')")
 def b2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.research(summary(spark, sf_dir), "red bolt -7", position="shuffle", no_hyphens=True, zone="com").select("label", F.array_join("zones", ",").alias("zones"))
+    return ops.research(summary(spark, sf_dir), "red bolt -7", position="shuffle", no_hyphens=True, no_idn=True, zone="com", min_zones=2).select("label", F.array_join("zones", ",").alias("zones"))
 
 
 @query("b3_search_names", f"WITH {NAMES} SELECT zone, count(*) AS n FROM names WHERE regexp_matches(label, '^(hot|cold).*[0-9]$') GROUP BY 1")

@@ -24,9 +24,15 @@ quality AS (SELECT *, CAST(CASE WHEN available = false THEN 0 ELSE greatest(0, {
 gems AS (SELECT *, CAST(CASE WHEN zt > 0 THEN least(60, floor(log2(zt + 1) * 12 + 0.5)) ELSE 0 END + CASE WHEN ay > 0 THEN least(30, ay * 2) ELSE 0 END + CASE WHEN ar > 0 THEN least(30, floor(log10(ar + 1) * 15 + 0.5)) ELSE 0 END AS BIGINT) AS bonus FROM quality)"""
 
 
-@query("r1_domain_quality", f"WITH {LISTINGS}, {QUALITY} SELECT listing_id, domain, quality FROM quality")
+REASONS = """SELECT listing_id, domain, quality, CASE WHEN available = false THEN 'confirmed unavailable' ELSE array_to_string(list_filter([CASE WHEN available THEN 'confirmed available' END,
+  CASE WHEN length(label) > 0 THEN length(label) || ' chars' END, CASE WHEN zone <> '' THEN zone || ' priority' END, CASE WHEN regexp_matches(label, '[0-9]') THEN 'has number' END, CASE WHEN contains(label, '-') THEN 'has hyphen' END,
+  CASE WHEN NOT regexp_matches(label, '[0-9-]') THEN 'clean' END, CASE WHEN zt > 0 THEN zt || ' TLDs taken' END, CASE WHEN ay > 0 THEN ay || 'y old' END, CASE WHEN ar > 0 THEN ar || ' Wayback' END,
+  CASE WHEN length(a) >= 4 AND (vowels < 0.27 OR run >= 5) THEN 'low readability' END], lambda x: x IS NOT NULL)[1:8], '; ') END AS reasons FROM quality"""
+
+
+@query("r1_domain_quality", f"WITH {LISTINGS}, {QUALITY} {REASONS}")
 def r1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.domain_quality(market.listings(spark, sf_dir)).select("listing_id", "domain", "quality")
+    return ops.domain_quality(market.listings(spark, sf_dir)).select("listing_id", "domain", "quality", "reasons")
 
 
 @query("r3_gem_rank", f"WITH {LISTINGS}, {QUALITY} SELECT listing_id, quality, bonus, quality + bonus AS gem FROM gems")

@@ -73,9 +73,11 @@ def b13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.publishable(kits(spark, sf_dir)).select("page_id", "title")
 
 
-@query("b14_feed", f"WITH {OBS} SELECT page_id, substr(title || ' ' || text, greatest(instr(lower(title || ' ' || text), 'tion') - 40, 1), 84) AS snippet FROM o WHERE contains(lower(title || ' ' || text), 'tion') AND NOT contains(lower(title || ' ' || text), 'thewh')")
+@query("b14_feed", f"WITH {OBS} SELECT page_id, substr(title || ' ' || text, greatest(instr(lower(title || ' ' || text), 'tion') - 40, 1), 84) AS snippet FROM o WHERE regexp_extract(host, '[^.]*$') = (SELECT max(regexp_extract(host, '[^.]*$')) FROM o) AND day > 4 - 2 AND day <= 4 AND contains(lower(title || ' ' || text), 'tion') AND NOT contains(lower(title || ' ' || text), 'thewh')")
 def b14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.feed(observations(spark, sf_dir), q="tion", exclude="thewh").select("page_id", "snippet")
+    obs = observations(spark, sf_dir)
+    zone = obs.select(F.max(F.substring_index("host", ".", -1))).first()[0]
+    return ops.feed(obs, q="tion", exclude="thewh", zone=zone, days=(F.lit(4), 2)).select("page_id", "snippet")
 
 
 IDENTITY = f"{PAGES}, i AS (SELECT page_id, host AS name, title, regexp_replace(split_part(host, '.', 1), '[^a-z0-9]', '', 'g') AS label, replace(lower(title), host, ' ') AS t FROM f)"

@@ -36,11 +36,13 @@ def a9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "b18_evidence_keys",
-    f"{W} SELECT event_id, event_id % 8 <> 0 AS valid, event_id % 8 <> 0 AND user_id % 2 = 0 AND kind = 'view' AS signal, event_id % 8 <> 0 AND user_id % 2 = 0 AS from_seller, CASE WHEN event_id % 8 <> 0 THEN zone ELSE '' END AS kit, CASE WHEN event_id % 8 <> 0 THEN CAST(day AS VARCHAR) ELSE '' END AS checked_at FROM names",
+    f"{W} SELECT event_id, event_id % 8 <> 0 AS valid, event_id % 8 <> 0 AND CASE WHEN event_id % 3 = 0 THEN kind = 'purchase' ELSE user_id % 7 = 0 END AS likely, event_id % 8 <> 0 AND (user_id % 2 = 0 AND kind = 'view' OR CASE WHEN event_id % 3 = 0 THEN kind = 'purchase' ELSE user_id % 7 = 0 END) AS signal, event_id % 8 <> 0 AND user_id % 2 = 0 AS from_seller, CASE WHEN event_id % 8 <> 0 THEN zone ELSE '' END AS kit, CASE WHEN event_id % 8 <> 0 THEN CAST(day AS VARCHAR) ELSE '' END AS checked_at FROM names",
 )
 def b18(spark: SparkSession, sf_dir: str) -> DataFrame:
     move = F.struct(F.when(F.col("user_id") % 2 == 0, "seller").otherwise("parking").alias("from"), F.when(F.col("kind") == "view", "hosting").otherwise("seller").alias("to"))
-    body = F.to_json(F.struct(move.alias("movement"), F.struct(F.col("zone").alias("kit")).alias("homepage"), F.struct(F.col("day").cast("string").alias("checked")).alias("registry")))
+    own = F.when(F.col("event_id") % 3 == 0, F.when(F.col("kind") == "purchase", "likely-sale").otherwise("acquisition-candidate")).alias("classification")
+    assessed = F.struct(F.when(F.col("user_id") % 7 == 0, "likely-sale").otherwise("portfolio-kit").alias("classification")).alias("assessment")
+    body = F.to_json(F.struct(own, assessed, move.alias("movement"), F.struct(F.col("zone").alias("kit")).alias("homepage"), F.struct(F.col("day").cast("string").alias("checked")).alias("registry")))
     rows = market.names(spark, sf_dir).select("event_id", F.when(F.col("event_id") % 8 == 0, "{").otherwise(body).alias("evidence"))
     return ops.evidence_keys(rows).drop("evidence")
 
@@ -107,10 +109,10 @@ def t17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.theme_convergence(rows.where("day > DATE '2024-01-23'"), rows.where("day <= DATE '2024-01-23'"), "theme")
 
 
-@query("t20_theme_targets", f"{WR}, {THEMED} SELECT theme, label, zone FROM (SELECT DISTINCT theme, label, zone FROM th WHERE theme IN ('small ring', 'blue bolt', 'small gizmo')) QUALIFY row_number() OVER (PARTITION BY theme ORDER BY zone = 'com' DESC, label, zone) <= 30")
+@query("t20_theme_targets", f"{WR}, {THEMED} SELECT theme, label, zone FROM (SELECT DISTINCT theme, label, zone FROM th WHERE theme IN ('small ring', 'blue bolt', 'small gizmo')) QUALIFY row_number() OVER (PARTITION BY theme ORDER BY zone = 'com' DESC, label, zone) <= 30 UNION ALL (SELECT 'sample', label, CASE WHEN bool_or(zone = 'com') THEN 'com' ELSE min(zone) END FROM th GROUP BY label ORDER BY md5(label), label LIMIT 50)")
 def t20(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = themed(spark, sf_dir)
-    return ops.theme_targets(rows, rows.where("theme IN ('small ring', 'blue bolt', 'small gizmo')"), 30, "com")
+    return ops.theme_targets(rows, rows.where("theme IN ('small ring', 'blue bolt', 'small gizmo')"), 30, "com", sample=50)
 
 
 def seen_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
