@@ -31,6 +31,12 @@ def drop_coverage(expected: DataFrame, receipts: DataFrame, events: DataFrame, k
     return rows.withColumn("reason", reason).withColumn("complete", F.col("reason") == "ok")
 
 
+def window_end(zones: DataFrame, status: DataFrame) -> DataFrame:
+    """One row (window_end): the oldest of the zones' newest days with a good status; null if a zone has none. Status: zone, day, status."""
+    newest = status.where("status = 'ok'").groupBy("zone").agg(F.max("day").alias("newest"))
+    return zones.select("zone").distinct().join(newest, "zone", "left").agg(F.when(F.count("*") == F.count("newest"), F.min("newest")).alias("window_end"))
+
+
 def registration_coverage(expected: DataFrame, receipts: DataFrame) -> DataFrame:
     """(day, complete, methodology, missing): a day is complete if every zone has a complete, uncapped receipt of one methodology."""
     rows = expected.join(receipts, ["day", "zone"], "left")
@@ -45,13 +51,16 @@ def registration_coverage(expected: DataFrame, receipts: DataFrame) -> DataFrame
 
 
 def movement_coverage(manifests: DataFrame, expected_zones: Sequence[str]) -> DataFrame:
-    """(day, run, missing, consecutive): each day's newest complete manifest, the zones it lacks, and whether the day before has one too.
+    """(day, run, missing, consecutive, retained, whole): each day's newest complete manifest, the zones it lacks, whether the day before has one too, and whether
+    it kept all movements; ``whole`` if nothing is wanting.
 
-    Manifests: day, run, complete, zones."""
-    newest = manifests.where("complete").groupBy("day").agg(F.max_by(F.struct("run", "zones"), "run").alias("m"))
+    Manifests: day, run, complete, zones, retained."""
+    newest = manifests.where("complete").groupBy("day").agg(F.max_by(F.struct("run", "zones", "retained"), "run").alias("m"))
     missing = F.array_except(F.array(*[F.lit(z) for z in sorted(expected_zones)]), F.col("m.zones"))
     order = Window.orderBy("day")  # a row for each day
-    return newest.select("day", F.col("m.run").alias("run"), F.array_join(missing, ",").alias("missing")).withColumn("consecutive", F.coalesce(F.date_diff("day", F.lag("day").over(order)) == 1, F.lit(False)))
+    rows = newest.select("day", F.col("m.run").alias("run"), F.array_join(missing, ",").alias("missing"), F.coalesce("m.retained", F.lit(False)).alias("retained"))
+    rows = rows.withColumn("consecutive", F.coalesce(F.date_diff("day", F.lag("day").over(order)) == 1, F.lit(False)))
+    return rows.withColumn("whole", (F.col("missing") == "") & F.col("consecutive") & F.col("retained"))
 
 
 def validate_snapshot(df: DataFrame, key: Sequence[str], time: str, *, least: int, previous: int, most_drop: float = 0.2, time_share: float = 0.5) -> DataFrame:

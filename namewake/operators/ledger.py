@@ -159,10 +159,25 @@ def sold_words(segments: DataFrame, top: int = 50) -> DataFrame:
     return counts.withColumn("_place", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "item"))).where(F.col("_place") <= top).drop("_place")
 
 
-def adoption_kits(cands: DataFrame, least: int = 3) -> DataFrame:
-    """Adds kit and kit_size: titles with the name taken out, on ``least`` names or more; residues of under four letters are no kit."""
-    residue = F.trim(F.regexp_replace(F.replace(F.lower("title"), F.lower("name"), F.lit(" ")), r"[^\p{L}\p{N}]+", " "))
-    keyed = cands.withColumn("_key", F.when(F.length(F.replace(residue, F.lit(" "), F.lit(""))) >= 4, residue))
+# References that titles hold, and residues of titles that name no template.
+ENTITIES = {"&ndash;": "–", "&mdash;": "—", "&amp;": "&", "&nbsp;": " ", "&#8211;": "–", "&#8212;": "—", "&#39;": "'", "&quot;": '"'}
+GENERIC_RESIDUES = ["home", "homepage", "welcome", "index", "official site", "official website", "coming soon", "under construction", "untitled", "new site", "my site", "site"]
+EDGES = r"^[-–—|:·•~/\\,.\s]+|[-–—|:·•~/\\,.\s]+$"
+
+
+def adoption_kits(cands: DataFrame, now: Column, *, days: int = 30, least: int = 3) -> DataFrame:
+    """Adds kit and kit_size: titles without the name and its label (of four letters or more), on ``least`` names or more of the last ``days``.
+
+    References are decoded and separators at the ends dropped. A residue of under six characters, without a letter or digit, or a generic one is no kit; nor is an older row in one.
+    """
+    label = F.substring_index(F.lower("name"), ".", 1)
+    residue = F.replace(F.lower("title"), F.lower("name"), F.lit(" "))
+    residue = F.when(F.length(label) >= 4, F.replace(residue, label, F.lit(" "))).otherwise(residue)
+    for reference, char in ENTITIES.items():
+        residue = F.replace(residue, F.lit(reference), F.lit(char))
+    residue = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(residue, r"^www\.", ""), EDGES, ""), r"\s+", " "))
+    fine = (F.length("_key") >= 6) & F.col("_key").rlike("[a-z0-9]") & ~F.col("_key").isin(GENERIC_RESIDUES) & (F.date_diff(now, F.col("day")) <= days)
+    keyed = cands.withColumn("_key", residue).withColumn("_key", F.when(fine, F.col("_key")))
     sizes = keyed.where("_key is not null").groupBy("_key").agg(F.count_distinct("name").alias("kit_size")).where(F.col("kit_size") >= least)
     return keyed.join(sizes, "_key", "left").withColumn("kit", F.when(F.col("kit_size").isNotNull(), F.substring(F.sha1("_key"), 1, 12))).drop("_key")
 

@@ -88,9 +88,9 @@ def name_types(segments: DataFrame, *, stop: Sequence[str] = (), least: int = 8)
 
 
 def mine_fragments(labels: DataFrame, *, least: int = 4, shortest: int = 4, longest: int = 12, nested: float = 0.7) -> DataFrame:
-    """(fragment, support): substrings on ``least`` labels or more, level by level: a fragment is only extended where it is frequent.
+    """(fragment, support, contexts): substrings on ``least`` labels or more, level by level: a fragment is only extended where it is frequent.
 
-    A fragment is left out if one a letter longer has ``nested`` of its support.
+    A fragment is left out if one a letter longer has ``nested`` of its support. ``contexts`` counts the different surroundings, runs of digits taken as one.
     """
     distinct = labels.select("label").distinct()
     places = distinct.where(F.length("label") >= shortest).select("label", F.explode(F.sequence(F.lit(1), F.length("label") - shortest + 1)).alias("at"))
@@ -101,17 +101,18 @@ def mine_fragments(labels: DataFrame, *, least: int = 4, shortest: int = 4, long
         kept = saved(cut.join(frequent, "fragment"))
         if kept.isEmpty():
             break
-        levels.append(kept.select("fragment", "support").distinct())
+        around = F.concat(F.expr("substr(label, 1, at - 1)"), F.lit("|"), F.expr(f"substr(label, at + {size})"))
+        levels.append(kept.withColumn("around", F.regexp_replace(around, "[0-9]+", "#")).groupBy("fragment", "support").agg(F.count_distinct("around").alias("contexts")))
         level, size = kept.select("label", "at"), size + 1
     if not levels:
-        return distinct.select(F.col("label").alias("fragment"), F.lit(0).cast("long").alias("support")).limit(0)
+        return distinct.select(F.col("label").alias("fragment"), F.lit(0).cast("long").alias("support"), F.lit(0).cast("long").alias("contexts")).limit(0)
     every = levels[0]
     for more in levels[1:]:
         every = every.union(more)
     grown = every.where(F.length("fragment") > shortest)
     covers = grown.select(F.explode(F.array(F.expr("substr(fragment, 1, length(fragment) - 1)"), F.expr("substr(fragment, 2)"))).alias("fragment"), F.col("support").alias("above"))
     above = covers.groupBy("fragment").agg(F.max("above").alias("above"))
-    return every.join(above, "fragment", "left").where(F.col("above").isNull() | (F.col("above") < nested * F.col("support"))).select("fragment", "support")
+    return every.join(above, "fragment", "left").where(F.col("above").isNull() | (F.col("above") < nested * F.col("support"))).select("fragment", "support", "contexts")
 
 
 def text_terms(pages: DataFrame, stop: Sequence[str], *, key: str, unigrams: int = 60, bigrams: int = 40) -> DataFrame:
@@ -131,11 +132,29 @@ def text_terms(pages: DataFrame, stop: Sequence[str], *, key: str, unigrams: int
     return first(F.when(F.col("fine"), F.col("w")), 1, unigrams).union(first(pair, 2, bigrams))
 
 
+# Scripts, as regular expressions name them, that tell a language.
+SCRIPTS = [("Hiragana", "ja"), ("Katakana", "ja"), ("Hangul", "ko"), ("Han", "zh"), ("Thai", "th"), ("Arabic", "ar"), ("Hebrew", "he"), ("Greek", "el"), ("Devanagari", "hi"), ("Cyrillic", "ru")]
+
+
+def script_language(tokens: DataFrame, key: str) -> DataFrame:
+    """(key, lang, score): for keys with more letters in other tokens than in Latin ones, the language of the script that most letters are in; any kana is Japanese."""
+    script = F.lit(None).cast("string")
+    for name, lang in reversed(SCRIPTS):
+        script = F.when(F.col("token").rlike(rf"\p{{Is{name}}}"), lang).otherwise(script)
+    latin = F.col("token").rlike(r"^[\p{IsLatin}\p{M}\p{N}]+$")
+    sizes = tokens.groupBy(key, F.when(~latin, script).alias("lang"), latin.alias("latin")).agg(F.sum(F.length("token")).alias("n"))
+    best = F.max(F.when(F.col("lang").isNotNull(), F.struct((F.col("lang") == "ja").alias("kana"), "n", "lang")))
+    rows = sizes.groupBy(key).agg(F.sum(F.when(F.col("latin"), F.col("n")).otherwise(0)).alias("in_latin"), F.sum("n").alias("letters"), best.alias("best"))
+    return rows.where("best is not null and letters - in_latin > in_latin").select(key, "best.lang", F.col("best.n").cast("double").alias("score"))
+
+
 def page_language(tokens: DataFrame, stop_words: DataFrame, key: str) -> DataFrame:
-    """(key, lang, score): the language whose stop words weigh most, each hit weighing one over the number of its languages."""
+    """(key, lang, score): by script, or else the language whose stop words weigh most, each hit weighing one over the number of its languages."""
     spread = stop_words.withColumn("weight", 1 / F.count("*").over(Window.partitionBy("token")))
     scores = tokens.join(spread, "token").groupBy(key, "lang").agg(F.round(F.sum("weight"), 6).alias("score"))
-    return scores.groupBy(key).agg(F.max(F.struct("score", "lang")).alias("best")).select(key, "best.lang", "best.score")
+    by_words = scores.groupBy(key).agg(F.max(F.struct("score", "lang")).alias("by_words"))
+    both = by_words.join(script_language(tokens, key).select(key, F.struct("score", "lang").alias("by_script")), key, "full")
+    return both.select(key, F.coalesce("by_script", "by_words").alias("best")).select(key, "best.lang", "best.score")
 
 
 def resolve_operators(sites: DataFrame, site: str, keys: Mapping[str, Column]) -> DataFrame:
@@ -160,12 +179,19 @@ def resolve_operators(sites: DataFrame, site: str, keys: Mapping[str, Column]) -
             return labels
 
 
-def kit_clusters(names: DataFrame, tokens: Column, *, least: int = 15, token_length: int = 9) -> DataFrame:
-    """(day, token, n): two-word tokens of enough letters on ``least`` names of a day."""
-    each = names.select("day", "label", F.explode(F.array_distinct(tokens)).alias("token")).where(F.length("token") >= token_length)
+def kit_clusters(names: DataFrame, tokens: Column, *, least: int = 15, token_length: int = 9, zone: str = "com") -> DataFrame:
+    """(day, token, n): two-word tokens of enough letters on ``least`` names of a day in the zone."""
+    each = names.where(F.col("zone") == zone).select("day", "label", F.explode(F.array_distinct(tokens)).alias("token")).where(F.length("token") >= token_length)
     return each.groupBy("day", "token").agg(F.count_distinct("label").alias("n")).where(F.col("n") >= least)
 
 
+def kit_members(names: DataFrame, kits: DataFrame, tokens: Column, *, most: int = 400, zone: str = "com") -> DataFrame:
+    """(day, token, label): the members of each kit, the first ``most`` by label."""
+    each = names.where(F.col("zone") == zone).select("day", "label", F.explode(F.array_distinct(tokens)).alias("token")).distinct()
+    place = F.row_number().over(Window.partitionBy("day", "token").orderBy("label"))
+    return each.join(kits.select("day", "token"), ["day", "token"]).withColumn("place", place).where(F.col("place") <= most).drop("place")
+
+
 def family_clusters(names: DataFrame, least: int = 3) -> DataFrame:
     """(day, label, n): labels registered in several zones on one day."""
     return names.groupBy("day", "label").agg(F.count_distinct("zone").alias("n")).where(F.col("n") >= least)

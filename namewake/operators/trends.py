@@ -49,6 +49,14 @@ def daily_tokens(names: DataFrame, tokens: Column) -> DataFrame:
     return each.groupBy("zone", "day", "token").agg(F.count("*").alias("n")).withColumn("words", F.size(F.split("token", " ")))
 
 
+def token_totals(counts: DataFrame, *, zones: Sequence[str] = (), words: tuple[int, int] = (1, 3), contains: str | None = None) -> DataFrame:
+    """(zone, day, tokens, n): how many of the daily token counts pass the filters, and their sum."""
+    rows = counts.where(F.col("words").between(*words))
+    rows = rows.where(F.col("zone").isin(*zones)) if zones else rows
+    rows = rows.where(F.contains("token", F.lit(contains.lower()))) if contains else rows
+    return rows.groupBy("zone", "day").agg(F.count("*").alias("tokens"), F.sum("n").alias("n"))
+
+
 def observed_zone_trends(sightings: DataFrame, day: Column, days: int) -> DataFrame:
     """(zone, total, recent): names by zone, and those first seen there in the last ``days``."""
     first = sightings.groupBy("zone", "label").agg(F.min("day").alias("first"))

@@ -45,6 +45,16 @@ def d9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("zone", F.col("day").cast("string").alias("day"), "reason", "complete")
 
 
+@query(
+    "d9_window_end",
+    f"{W}, s AS (SELECT zone, day, max(event_id) % 3 <> 0 AS ok FROM names WHERE kind = 'click' GROUP BY 1, 2), z AS (SELECT n.zone, newest FROM (SELECT DISTINCT zone FROM names) n LEFT JOIN (SELECT zone, max(day) AS newest FROM s WHERE ok GROUP BY 1) USING (zone)) SELECT CAST(CASE WHEN bool_and(newest IS NOT NULL) THEN min(newest) END AS VARCHAR) AS window_end FROM z",
+)
+def d9_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = market.names(spark, sf_dir)
+    status = seen.where("kind = 'click'").groupBy("zone", "day").agg(F.when(F.max("event_id") % 3 != 0, "ok").otherwise("stale").alias("status"))
+    return ops.window_end(seen, status).select(F.col("window_end").cast("string").alias("window_end"))
+
+
 @query(
     "d24_registration_coverage",
     f"""{W}, {SPINE}, r AS (SELECT zone, day, max(event_id) AS m FROM names WHERE kind = 'signup' GROUP BY 1, 2), x AS (SELECT s.day, s.zone, coalesce(m % 19 <> 0 AND NOT m % 23 = 0, false) AS good, CASE WHEN m IS NOT NULL THEN CASE WHEN m % 29 = 0 THEN 'sampled' ELSE 'full' END END AS methodology FROM spine s LEFT JOIN r USING (zone, day))
@@ -58,12 +68,12 @@ def d24(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "d25_movement_coverage",
-    f"""{W}, m AS (SELECT day, user_id % 5 AS run, max(event_id) % 3 <> 0 AS complete, list(DISTINCT zone) AS zones FROM names WHERE day <> DATE '2024-01-12' GROUP BY 1, 2), b AS (SELECT day, max(run) AS run, max_by(zones, run) AS zones FROM m WHERE complete GROUP BY 1)
-SELECT CAST(day AS VARCHAR) AS day, run, array_to_string(list_sort(list_filter([{", ".join(repr(z) for z in sorted(ZONES))}], lambda z: NOT list_contains(zones, z))), ',') AS missing, coalesce(date_diff('day', lag(day) OVER (ORDER BY day), day) = 1, false) AS consecutive FROM b""",
+    f"""{W}, m AS (SELECT day, user_id % 5 AS run, max(event_id) % 3 <> 0 AS complete, max(event_id) % 4 <> 0 AS retained, list(DISTINCT zone) AS zones FROM names WHERE day <> DATE '2024-01-12' GROUP BY 1, 2), b AS (SELECT day, max(run) AS run, max_by(zones, run) AS zones, max_by(retained, run) AS retained FROM m WHERE complete GROUP BY 1)
+SELECT *, missing = '' AND consecutive AND retained AS whole FROM (SELECT CAST(day AS VARCHAR) AS day, run, retained, array_to_string(list_sort(list_filter([{", ".join(repr(z) for z in sorted(ZONES))}], lambda z: NOT list_contains(zones, z))), ',') AS missing, coalesce(date_diff('day', lag(day) OVER (ORDER BY day), day) = 1, false) AS consecutive FROM b)""",
 )
 def d25(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = market.names(spark, sf_dir).where("day <> DATE '2024-01-12'").groupBy("day", (F.col("user_id") % 5).alias("run"))
-    manifests = seen.agg((F.max("event_id") % 3 != 0).alias("complete"), F.collect_set("zone").alias("zones"))
+    manifests = seen.agg((F.max("event_id") % 3 != 0).alias("complete"), (F.max("event_id") % 4 != 0).alias("retained"), F.collect_set("zone").alias("zones"))
     return ops.movement_coverage(manifests, ZONES).withColumn("day", F.col("day").cast("string"))
 
 

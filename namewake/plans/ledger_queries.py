@@ -176,14 +176,28 @@ def d13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.sold_words(segments(spark, sf_dir))
 
 
+def _decoded(text: str) -> str:
+    for reference, char in ops.ENTITIES.items():
+        text = "replace({}, '{}', '{}')".format(text, reference, char.replace("'", "''"))
+    return text
+
+
+_RESIDUE = _decoded("CASE WHEN length(label) >= 4 THEN replace(replace(lower(title), name, ' '), label, ' ') ELSE replace(lower(title), name, ' ') END")
+_GENERIC = ", ".join(f"'{r}'" for r in ops.GENERIC_RESIDUES)
+
+
 @query(
     "d22_adoption_kits",
-    f"{W}, c AS (SELECT event_id, label || '.' || zone AS name, upper(label) || '.' || zone || ' - ' || kind || CAST(user_id AS VARCHAR) AS title FROM names), k AS (SELECT *, trim(regexp_replace(replace(lower(title), name, ' '), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ') AS r FROM c), s AS (SELECT r, count(DISTINCT name) AS kit_size FROM k WHERE length(replace(r, ' ', '')) >= 4 GROUP BY 1 HAVING count(DISTINCT name) >= 3) SELECT event_id, coalesce(substr(sha1(s.r), 1, 12), '') AS kit, coalesce(kit_size, 0) AS kit_size FROM k LEFT JOIN s ON s.r = k.r",
+    f"""{W}, c AS (SELECT event_id, day, label, label || '.' || zone AS name, CASE WHEN event_id % 5 = 0 THEN 'Welcome | ' || label || '.' || zone WHEN event_id % 5 = 1 THEN 'www.' || kind || ' shop: ' || upper(label) ELSE upper(label) || '.' || zone || ' &ndash; ' || kind || CAST(user_id % 40 AS VARCHAR) END AS title FROM names),
+r AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace({_RESIDUE}, '^www\\.', ''), '{ops.EDGES}', '', 'g'), '\\s+', ' ', 'g'), ' ') AS r FROM c), k AS (SELECT event_id, name, CASE WHEN length(r) >= 6 AND regexp_matches(r, '[a-z0-9]') AND r NOT IN ({_GENERIC}) AND date_diff('day', day, DATE '2024-02-10') <= 30 THEN r END AS r FROM r),
+s AS (SELECT r, count(DISTINCT name) AS kit_size FROM k WHERE r IS NOT NULL GROUP BY 1 HAVING count(DISTINCT name) >= 3) SELECT event_id, coalesce(substr(sha1(s.r), 1, 12), '') AS kit, coalesce(kit_size, 0) AS kit_size FROM k LEFT JOIN s ON s.r = k.r""",
 )
 def d22(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = F.concat(F.upper("label"), F.lit("."), "zone", F.lit(" - "), "kind", F.col("user_id").cast("string"))
-    cands = market.names(spark, sf_dir).select("event_id", F.concat_ws(".", "label", "zone").alias("name"), title.alias("title"))
-    return ops.adoption_kits(cands).select("event_id", "kit", "kit_size").fillna("", ["kit"]).fillna(0, ["kit_size"])
+    name, turn = F.concat_ws(".", "label", "zone"), F.col("event_id") % 5
+    other = F.concat(F.upper("label"), F.lit("."), "zone", F.lit(" &ndash; "), "kind", (F.col("user_id") % 40).cast("string"))
+    title = F.when(turn == 0, F.concat(F.lit("Welcome | "), name)).when(turn == 1, F.concat(F.lit("www."), "kind", F.lit(" shop: "), F.upper("label"))).otherwise(other)
+    cands = market.names(spark, sf_dir).select("event_id", "day", name.alias("name"), title.alias("title"))
+    return ops.adoption_kits(cands, F.lit("2024-02-10").cast("date")).select("event_id", "kit", "kit_size").fillna("", ["kit"]).fillna(0, ["kit_size"])
 
 
 @query("d26_verified_counts", f"WITH {LISTINGS}, {NAMES} SELECT stream, count(DISTINCT label) AS labels, count(DISTINCT label) FILTER (WHERE label IN (SELECT label FROM names WHERE kind = 'view' AND day > DATE '2024-01-15')) AS verified FROM listings GROUP BY 1")

@@ -88,7 +88,7 @@ def t14(spark: SparkSession, sf_dir: str) -> DataFrame:
     "t9_mine_fragments",
     f"""{W}, l AS (SELECT DISTINCT label FROM names), s AS (SELECT label, i, unnest(range(4, least(12, length(label) - i + 1) + 1)) AS n FROM (SELECT label, unnest(range(1, length(label) - 2)) AS i FROM l)),
 f AS (SELECT substr(label, i, n) AS fragment, count(DISTINCT label) AS support FROM s GROUP BY 1 HAVING count(DISTINCT label) >= 4), a AS (SELECT fragment, max(above) AS above FROM (SELECT substr(fragment, 1, length(fragment) - 1) AS fragment, support AS above FROM f UNION ALL SELECT substr(fragment, 2), support FROM f) GROUP BY 1)
-SELECT fragment, support FROM f LEFT JOIN a USING (fragment) WHERE above IS NULL OR above < 0.7 * support""",
+SELECT fragment, support, count(DISTINCT regexp_replace(substr(label, 1, i - 1) || '|' || substr(label, i + n), '[0-9]+', '#', 'g')) AS contexts FROM f LEFT JOIN a USING (fragment) JOIN s ON substr(label, i, n) = fragment WHERE above IS NULL OR above < 0.7 * support GROUP BY 1, 2""",
 )
 def t9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.mine_fragments(market.names(spark, sf_dir))
@@ -114,13 +114,23 @@ STOP_WORDS = [("the", "en"), ("of", "en"), ("and", "en"), ("le", "fr"), ("la", "
 _STOPS = "sw AS (SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{c}')" for w, c in STOP_WORDS) + ") v(token, lang))"
 
 
+ALPHABETS = [("abdegiklmnoprstu", "αβδεγικλμνοπρστυ"), ("abdegiklmnoprstu", "абдегиклмнопрсту")]  # for the texts of one document in ten each
+_MOVED = "CASE doc_id % 10 " + " ".join(f"WHEN {i} THEN translate(lower(text), '{a}', '{b}')" for i, (a, b) in enumerate(ALPHABETS)) + " ELSE lower(text) END"
+_SCRIPT = "CASE " + " ".join(f"WHEN regexp_matches(token, '\\p{{{name}}}') THEN '{lang}'" for name, lang in ops.SCRIPTS) + " END"
+
+
 @query(
     "t8_page_language",
-    f"""WITH {_STOPS}, s AS (SELECT *, 1e0 / count(*) OVER (PARTITION BY token) AS weight FROM sw), t AS (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS token FROM documents), c AS (SELECT doc_id, lang, round(sum(weight), 6) AS score FROM t JOIN s USING (token) GROUP BY 1, 2)
-SELECT doc_id, b.lang AS lang, b.score AS score FROM (SELECT doc_id, max({{'score': score, 'lang': lang}}) AS b FROM c GROUP BY 1)""",
+    f"""WITH {_STOPS}, s AS (SELECT *, 1e0 / count(*) OVER (PARTITION BY token) AS weight FROM sw), t AS (SELECT doc_id, unnest(string_split({_MOVED}, ' ')) AS token FROM documents), c AS (SELECT doc_id, lang, round(sum(weight), 6) AS score FROM t JOIN s USING (token) GROUP BY 1, 2),
+w AS (SELECT doc_id, max({{'score': score, 'lang': lang}}) AS b FROM c GROUP BY 1), m AS (SELECT *, CASE WHEN NOT latin THEN {_SCRIPT} END AS lang FROM (SELECT *, regexp_matches(token, '^[\\p{{Latin}}\\p{{M}}\\p{{N}}]+$') AS latin FROM t)), n AS (SELECT doc_id, latin, lang, CAST(sum(length(token)) AS BIGINT) AS n FROM m GROUP BY 1, 2, 3),
+g AS (SELECT doc_id, max({{'kana': lang = 'ja', 'n': n, 'lang': lang}}) FILTER (WHERE lang IS NOT NULL) AS b FROM n GROUP BY 1 HAVING sum(n) FILTER (WHERE NOT latin) > coalesce(sum(n) FILTER (WHERE latin), 0))
+SELECT doc_id, CASE WHEN g.b IS NULL THEN w.b.lang ELSE g.b.lang END AS lang, CASE WHEN g.b IS NULL THEN w.b.score ELSE CAST(g.b.n AS DOUBLE) END AS score FROM w FULL JOIN (FROM g WHERE b IS NOT NULL) g USING (doc_id)""",
 )
 def t8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = market.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("token"))
+    text = F.lower("text")
+    for i, (old, new) in enumerate(ALPHABETS):
+        text = F.when(F.col("doc_id") % 10 == i, F.translate(F.lower("text"), old, new)).otherwise(text)
+    tokens = market.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(text, " ")).alias("token"))
     return ops.page_language(tokens, spark.createDataFrame(STOP_WORDS, "token string, lang string"), "doc_id")
 
 
@@ -141,12 +151,18 @@ def t22(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKEN = "regexp_extract(label, '^([a-z]+-?[a-z]+)', 1)"
 
 
-@query("t28_kit_clusters", f"{W} SELECT CAST(day AS VARCHAR) AS day, {TOKEN} AS token, count(DISTINCT label) AS n FROM names WHERE length({TOKEN}) >= 8 GROUP BY 1, 2 HAVING count(DISTINCT label) >= 3")
+@query("t28_kit_clusters", f"{W} SELECT CAST(day AS VARCHAR) AS day, {TOKEN} AS token, count(DISTINCT label) AS n FROM names WHERE zone = 'com' AND length({TOKEN}) >= 8 GROUP BY 1, 2 HAVING count(DISTINCT label) >= 3")
 def t28_kits(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = F.array(F.regexp_extract("label", "^([a-z]+-?[a-z]+)", 1))
     return ops.kit_clusters(market.names(spark, sf_dir), tokens, least=3, token_length=8).withColumn("day", F.col("day").cast("string"))
 
 
+@query("t28_kit_members", f"{W}, e AS (SELECT DISTINCT day, {TOKEN} AS token, label FROM names WHERE zone = 'com' AND length({TOKEN}) >= 8) SELECT CAST(day AS VARCHAR) AS day, token, label FROM e QUALIFY count(*) OVER (PARTITION BY day, token) >= 3 AND row_number() OVER (PARTITION BY day, token ORDER BY label) <= 4")
+def t28_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens, seen = F.array(F.regexp_extract("label", "^([a-z]+-?[a-z]+)", 1)), market.names(spark, sf_dir)
+    return ops.kit_members(seen, ops.kit_clusters(seen, tokens, least=3, token_length=8), tokens, most=4).withColumn("day", F.col("day").cast("string"))
+
+
 @query("t28_family_clusters", f"{W} SELECT CAST(day AS VARCHAR) AS day, label, count(DISTINCT zone) AS n FROM names GROUP BY 1, 2 HAVING count(DISTINCT zone) >= 3")
 def t28_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.family_clusters(market.names(spark, sf_dir)).withColumn("day", F.col("day").cast("string"))
@@ -154,11 +170,11 @@ def t28_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "t28_sweep_clusters",
-    f"{W}, k AS (SELECT DISTINCT day, {TOKEN} AS token FROM names WHERE length({TOKEN}) >= 8 GROUP BY 1, 2 HAVING count(DISTINCT label) >= 3), d AS (SELECT a.token, a.day, count(*) AS days FROM k a JOIN k b ON a.token = b.token AND b.day BETWEEN a.day - 20 AND a.day GROUP BY 1, 2) SELECT token, max(days) AS days FROM d GROUP BY 1 HAVING max(days) >= 3",
+    f"{W}, k AS (SELECT DISTINCT day, {TOKEN} AS token FROM names WHERE zone = 'com' AND length({TOKEN}) >= 8 GROUP BY 1, 2 HAVING count(DISTINCT label) >= 2), d AS (SELECT a.token, a.day, count(*) AS days FROM k a JOIN k b ON a.token = b.token AND b.day BETWEEN a.day - 20 AND a.day GROUP BY 1, 2) SELECT token, max(days) AS days FROM d GROUP BY 1 HAVING max(days) >= 3",
 )
 def t28_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = F.array(F.regexp_extract("label", "^([a-z]+-?[a-z]+)", 1))
-    return ops.sweep_clusters(ops.kit_clusters(market.names(spark, sf_dir), tokens, least=3, token_length=8))
+    return ops.sweep_clusters(ops.kit_clusters(market.names(spark, sf_dir), tokens, least=2, token_length=8))
 
 
 @query(

@@ -52,6 +52,15 @@ def d5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.daily_tokens(market.names(spark, sf_dir), tokens).withColumn("day", F.col("day").cast("string"))
 
 
+@query(
+    "d5_token_totals",
+    f"{W}, t AS (SELECT DISTINCT zone, day, label, unnest(list_distinct(list_filter(string_split_regex(label, '[-0-9]+'), lambda x: x <> ''))) AS token FROM names), c AS (SELECT zone, day, token, count(*) AS n FROM t WHERE zone IN ('com', 'ai') AND contains(token, 'bo') GROUP BY 1, 2, 3) SELECT zone, CAST(day AS VARCHAR) AS day, count(*) AS tokens, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1, 2",
+)
+def d5_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = ops.daily_tokens(market.names(spark, sf_dir), F.filter(F.split("label", "[-0-9]+"), lambda t: t != ""))
+    return ops.token_totals(counts, zones=["com", "ai"], contains="bo").withColumn("day", F.col("day").cast("string"))
+
+
 @query("d6_observed_zone_trends", f"{W} SELECT zone, count(*) AS total, count(*) FILTER (WHERE f > DATE '{LAST}' - 7) AS recent FROM (SELECT zone, label, min(day) AS f FROM names GROUP BY 1, 2) GROUP BY 1")
 def d6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.observed_zone_trends(market.names(spark, sf_dir), last(), 7)
