@@ -167,8 +167,24 @@ def emergent_types(days: DataFrame, key: str, split: Column) -> DataFrame:
 
 
 def destination_cohorts(df: DataFrame, by: str, least: int = 10) -> DataFrame:
-    """(day, by, n, large): names that reached a destination on a day, and whether they are a batch."""
-    return df.groupBy("day", by).agg(F.count_distinct("label").alias("n")).withColumn("large", F.col("n") >= least)
+    """(day, by, n, expired, pending, large): names that reached a destination on a day, those that came from expiry, those not yet resolved, and whether they are a batch.
+
+    Reads label, origin, pending; without the last two it only counts names.
+    """
+    return df.groupBy("day", by).agg(*_arrivals(df)).withColumn("large", F.col("n") >= least)
+
+
+def _arrivals(df: DataFrame) -> list[Column]:
+    if not {"origin", "pending"} <= {*df.columns}:
+        return [F.count_distinct("label").alias("n")]
+    expired, pending = F.when(F.col("origin") == "expiry", F.col("label")), F.when(F.col("pending"), F.col("label"))
+    return [F.count_distinct("label").alias("n"), F.count_distinct(expired).alias("expired"), F.count_distinct(pending).alias("pending")]
+
+
+def window_cohorts(df: DataFrame, by: str, start: Column, end: Column, least: int = 10) -> DataFrame:
+    """(by, n, expired, pending, days, large): the destinations of the days from start to end, each name once, and on how many days names arrived."""
+    inside = df.where(F.col("day").between(start, end))
+    return inside.groupBy(by).agg(*_arrivals(df), F.count_distinct("day").alias("days")).withColumn("large", F.col("n") >= least)
 
 
 def learned_platforms(daily: DataFrame, by: str, *, same_day: int = 10, trailing: int = 25) -> DataFrame:

@@ -155,9 +155,22 @@ def t15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.emergent_types(market.names(spark, sf_dir).select("label", "day"), "label", F.lit("2024-01-23").cast("date"))
 
 
-@query("d14_destination_cohorts", f"{W} SELECT CAST(day AS VARCHAR) AS day, host, count(DISTINCT label) AS n, count(DISTINCT label) >= 10 AS large FROM names WHERE kind = 'purchase' GROUP BY 1, 2")
+_ARRIVALS = "count(DISTINCT label) AS n, count(DISTINCT label) FILTER (WHERE event_id % 4 = 0) AS expired, count(DISTINCT label) FILTER (WHERE user_id % 3 = 0) AS pending"
+
+
+def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    origin = F.when(F.col("event_id") % 4 == 0, "expiry").otherwise("seller")
+    return market.names(spark, sf_dir).where("kind = 'purchase'").withColumns({"origin": origin, "pending": F.col("user_id") % 3 == 0})
+
+
+@query("d14_destination_cohorts", f"{W} SELECT CAST(day AS VARCHAR) AS day, host, {_ARRIVALS}, count(DISTINCT label) >= 10 AS large FROM names WHERE kind = 'purchase' GROUP BY 1, 2")
 def d14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.destination_cohorts(market.names(spark, sf_dir).where("kind = 'purchase'"), "host").withColumn("day", F.col("day").cast("string"))
+    return ops.destination_cohorts(arrivals(spark, sf_dir), "host").withColumn("day", F.col("day").cast("string"))
+
+
+@query("d14_window_cohorts", f"{W} SELECT host, {_ARRIVALS}, count(DISTINCT day) AS days, count(DISTINCT label) >= 10 AS large FROM names WHERE kind = 'purchase' AND day BETWEEN DATE '2024-01-10' AND DATE '2024-01-16' GROUP BY 1")
+def d14_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.window_cohorts(arrivals(spark, sf_dir), "host", F.lit("2024-01-10").cast("date"), F.lit("2024-01-16").cast("date"))
 
 
 @query(
