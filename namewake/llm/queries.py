@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmlmain, langid, licenses, packing, secrets, simhash, tokencount, topk, urlfilter
+from . import decontam, htmlmain, langid, licenses, negatives, packing, secrets, simhash, tokencount, topk, urlfilter
 from .common import table
 
 
@@ -60,6 +60,12 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -72,8 +78,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_main_text": op9_main_text,
         "op10_top_k": op10_top_k,
+        "op11_hard_negatives": op11_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": urlfilter.ORACLE, "op4_licenses": licenses.ORACLE, "op10_top_k": topk.ORACLE}
+    return {"op2_url_filter": urlfilter.ORACLE, "op4_licenses": licenses.ORACLE, "op10_top_k": topk.ORACLE, "op11_hard_negatives": negatives.ORACLE}
