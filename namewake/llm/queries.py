@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmlmain, langid, licenses, negatives, packing, secrets, simhash, tokencount, topk, urlfilter
+from . import codes, decontam, htmlmain, langid, licenses, negatives, packing, secrets, simhash, tokencount, topk, urlfilter
 from .common import table
 
 
@@ -66,6 +66,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -79,8 +83,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_main_text": op9_main_text,
         "op10_top_k": op10_top_k,
         "op11_hard_negatives": op11_hard_negatives,
+        "op12_vector_codes": op12_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": urlfilter.ORACLE, "op4_licenses": licenses.ORACLE, "op10_top_k": topk.ORACLE, "op11_hard_negatives": negatives.ORACLE}
+    return {"op2_url_filter": urlfilter.ORACLE, "op4_licenses": licenses.ORACLE, "op10_top_k": topk.ORACLE, "op11_hard_negatives": negatives.ORACLE, "op12_vector_codes": codes.ORACLE}
