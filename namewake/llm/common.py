@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -34,6 +35,13 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Compute ``df`` now as a table in the shared folder. A checkpoint keeps the estimated size of its plan, which loops of joins multiply without end; a table's is that of its files."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def hamming(a: str, b: str, lanes: int) -> Column:
     """Differing bits of the fingerprints in the columns ``a.f0, a.f1 ...`` and ``b.f0 ...``."""
     total = F.lit(0)

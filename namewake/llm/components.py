@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import stored
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -17,13 +17,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     self-links change nothing; links with a null end are ignored.
     """
     ends = edges.select("a", "b").where("a <> b")
-    both = saved(ends.union(ends.select("b", "a")).distinct())
-    labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("label")))
+    both = stored(ends.union(ends.select("b", "a")).distinct())
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("label")))
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         root = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        new = saved(step.join(root, "label", "left").select("node", "old", F.least("label", "root").alias("label")))
+        new = stored(step.join(root, "label", "left").select("node", "old", F.least("label", "root").alias("label")))
         labels = new.select("node", "label")
         if new.where("label <> old").isEmpty():
             return labels

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codes, decontam, htmlmain, langid, licenses, negatives, packing, secrets, simhash, tokencount, topk, urlfilter
+from . import codes, decontam, htmlmain, langid, licenses, minhash, negatives, packing, secrets, simhash, tokencount, topk, urlfilter
 from .common import table
 
 
@@ -70,6 +70,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -84,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_top_k": op10_top_k,
         "op11_hard_negatives": op11_hard_negatives,
         "op12_vector_codes": op12_vector_codes,
+        "op13_minhash": op13_minhash,
     }
 
 
