@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .networks import linked
 from .ranking import saved
 
 LABEL = r"^(?!-)[a-z0-9_-]{1,63}(?<!-)$"
@@ -166,17 +167,7 @@ def resolve_operators(sites: DataFrame, site: str, keys: Mapping[str, Column]) -
     every = links[0]
     for more in links[1:]:
         every = every.union(more)
-    edges = saved(every.where("key is not null").distinct())
-    labels = saved(sites.select(F.col(site).alias("site")).distinct().withColumn("operator", F.col("site")))
-    while True:
-        by_key = edges.join(labels, "site").groupBy("key").agg(F.min("operator").alias("least"))
-        by_site = edges.join(by_key, "key").groupBy("site").agg(F.min("least").alias("least"))
-        step = labels.join(by_site, "site", "left").select("site", F.col("operator").alias("old"), F.least("operator", F.coalesce("least", "operator")).alias("operator"))
-        root = labels.select(F.col("site").alias("operator"), F.col("operator").alias("root"))
-        new = saved(step.join(root, "operator", "left").select("site", "old", F.least("operator", F.coalesce("root", "operator")).alias("operator")))
-        labels = new.select("site", "operator")
-        if new.where("operator <> old").isEmpty():
-            return labels
+    return linked(sites.select(F.col(site).alias("site")), every)
 
 
 def kit_clusters(names: DataFrame, tokens: Column, *, least: int = 15, token_length: int = 9, zone: str = "com") -> DataFrame:

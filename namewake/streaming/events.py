@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.ranking import global_rank, saved
+from ..operators.folds import folded
+from ..operators.ranking import global_rank, saved, shared_folder
 
 
 def read_stream(spark: SparkSession, sf_dir: str, name: str, files: int = 1) -> DataFrame:
@@ -20,15 +21,17 @@ def read_stream(spark: SparkSession, sf_dir: str, name: str, files: int = 1) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet")
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there now and return what it wrote; output and progress lie in the shared folder.
+    """Run a stream over all that is there now and return what it wrote; output and progress lie in the shared folder, state is kept in RocksDB.
 
     ``update`` and ``complete`` outputs are kept by batch, so a restarted batch replaces its own rows.
     """
     spark = stream.sparkSession
-    saved(spark.range(1))  # makes sure of a checkpoint folder
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    folder = f"{top}/stream-{uuid.uuid4()}"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", f"{folder}/out").start()
@@ -120,19 +123,45 @@ def refine_day(stored: DataFrame, late: DataFrame, *, key: str = "label", gap: i
 
 
 def candidate_state(events: DataFrame, key: str = "label") -> DataFrame:
-    """(key, state, steps) of the candidate lifecycle, folded in order: a departure (purchase) starts or resets it as ``exited``; a probe
+    """(key, state, steps) of a short lifecycle, folded in order: a departure (purchase) starts or resets it as ``exited``; a probe
     (view) moves exited to probing; a park (click) to parked-watch; a signup to detected; an error drops it. Before a departure nothing counts."""
-    ordered = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "kind"))).alias("all"))
-
-    def step(acc, e):
-        live = acc != ""
-        return (
-            F.when(e["kind"] == "purchase", "exited")
-            .when(live & (e["kind"] == "error"), "dropped")
-            .when((acc == "exited") & (e["kind"] == "view"), "probing")
-            .when(acc.isin("exited", "probing") & (e["kind"] == "click"), "parked-watch")
-            .when(acc.isin("exited", "probing", "parked-watch") & (e["kind"] == "signup"), "detected")
-            .otherwise(acc)
-        )
-
-    return ordered.select(key, F.aggregate("all", F.lit(""), step).alias("state"), F.size("all").alias("steps"))
+    names = ["", "exited", "probing", "parked-watch", "detected", "dropped"]
+    moves = {"purchase": [1, 1, 1, 1, 1, 1], "error": [0, 5, 5, 5, 5, 5], "view": [0, 2, 2, 3, 4, 5], "click": [0, 3, 3, 3, 4, 5], "signup": [0, 4, 4, 4, 4, 5]}
+    step = F.lit(None)
+    for kind, to in moves.items():
+        step = F.when(F.col("kind") == kind, F.array(*[F.lit(i) for i in to])).otherwise(step)
+    stay = F.array(*[F.lit(i) for i in range(len(names))])
+    found = folded(events, key, ["ts", "event_id"], F.coalesce(step, stay), len(names))
+    steps = events.groupBy(key).agg(F.count("*").cast("int").alias("steps"))
+    return found.join(steps, key).select(key, F.element_at(F.array(*[F.lit(n) for n in names]), F.col("state") + 1).alias("state"), "steps")
+
+
+def roster_snapshot(events: DataFrame, *, key: str = "label", retire_after: int = 3) -> DataFrame:
+    """(key, misses, hosts): the batch twin of the roster machine, for events (key, ts, event_id, fact, detail), and a table it can start from."""
+    n = retire_after
+    retired = n + 2  # state 0: not seen; 1 and 2: no miss, without and with hosts; s + 2: s misses in a row
+    stay = list(range(n + 3))
+    to = {"taken": [2] * (n + 2) + [retired], "missing": [3, 3, *[min(i + 1, retired) for i in stay[2:]]], "fresh": [1, *stay[1:-1], 1], "unknown": [1, *stay[1:]]}
+    step = F.array(*[F.lit(i) for i in stay])
+    for fact, states in to.items():
+        step = F.when(F.col("fact") == fact, F.array(*[F.lit(i) for i in states])).otherwise(step)
+    found = folded(events, key, ["ts", "event_id"], step, n + 3)
+    last = events.where("fact = 'taken'").groupBy(key).agg(F.max(F.struct("ts", "event_id", F.col("detail").alias("hosts")))["hosts"].alias("hosts"))
+    return found.join(last, key, "left").select(key, (F.greatest(F.col("state"), F.lit(2)) - 2).alias("misses"), F.when(F.col("state") == 2, F.col("hosts")).alias("hosts"))
+
+
+def earlier_days(departures: DataFrame, sightings: DataFrame, *, key: str = "label", gap: int = 3, late: str = "2 days") -> DataFrame:
+    """(key, day, late_day): sightings of a key up to ``gap`` days before the day of its departure, as a join of two streams (key, ts). Either side waits
+    in state only as long as the other may still bring a match."""
+    gone = departures.withWatermark("ts", late).select(F.col(key), F.col("ts").alias("gone_at"))
+    seen = sightings.withWatermark("ts", late).select(F.col(key).alias("_key"), F.col("ts").alias("seen_at"))
+    near = (F.col("seen_at") >= F.col("gone_at") - F.expr(f"INTERVAL {gap + 1} DAYS")) & (F.col("seen_at") <= F.col("gone_at"))
+    fits = F.date_diff(F.to_date("gone_at"), F.to_date("seen_at")).between(1, gap)
+    found = gone.join(seen, (F.col(key) == F.col("_key")) & near & fits)
+    return found.select(key, F.to_date("gone_at").alias("day"), F.to_date("seen_at").alias("late_day"))
+
+
+def refined(stored: DataFrame, corrections: DataFrame, *, key: str = "label") -> DataFrame:
+    """(key, day, refined): stored days with the earliest correction of each; a correction never makes an event of its own."""
+    best = corrections.groupBy(key, "day").agg(F.min("late_day").alias("late_day"))
+    return stored.join(best, [key, "day"], "left").select(key, "day", F.coalesce("late_day", "day").alias("refined"))
