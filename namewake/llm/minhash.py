@@ -8,8 +8,8 @@ sketches together are the sketch of the union, and the share of them that both h
   chance of all but ``miss``; for sets that are kept whole always), so each sketch enters only its rarest values into lists: with ``s`` values, the first
   ``s - needed + 1`` in an order by frequency; two such starts must meet. Passages that many texts share are the last in that order.
 * A list's members are first compared with one member, which ties a group of near copies together by as many pairs as it has members; then
-  only across the components that remain. There, shingles that no other such text has bound what two texts can share, which
-  leaves few pairs even in a crowd whose members all differ from one original.
+  only across the components that remain. There, the shingles that others have too, counted by hash, bound what two texts can
+  share, which leaves few pairs even in a crowd whose members all differ from one original.
 * Pairs go through the union sketch, then through an exact comparison of whole shingle sets.
 """
 
@@ -58,7 +58,10 @@ def sketches(rows: DataFrame, words: int, k: int, seed: int = 42) -> DataFrame:
 
 
 def postings(nodes: DataFrame, k: int, percent: int, least: int) -> DataFrame:
-    """(value, node, n, size): the starts of the sketches of ``nodes`` (node, n, sketch), rarest values first, in lists of ``size`` members, two or more."""
+    """(value, node, n, weight): the starts of the sketches of ``nodes`` (node, n, sketch), rarest values first, in lists of two or more members.
+
+    ``weight`` sums how many nodes hold each value of the node's whole sketch: an original weighs more than its copies, which have values of their own.
+    """
     every = nodes.select("node", F.explode("sketch").alias("value"))
     common = every.groupBy("value").agg(F.count("*").alias("times")).where("times > 1")
     shared = every.join(common, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("shared"))
@@ -66,9 +69,10 @@ def postings(nodes: DataFrame, k: int, percent: int, least: int) -> DataFrame:
     wanted = F.least(F.lit(least), F.ceil(F.col("n") * percent / F.lit(100)))
     alone = held - F.size("shared")  # values of one node stand first in the order, and in no list
     start = F.slice("shared", 1, F.greatest(F.lit(0), held - wanted + 1 - alone).cast("int"))
-    placed = saved(nodes.join(shared, "node").select("node", "n", F.explode(start).alias("at")).select(F.col("at.value").alias("value"), "node", "n"))
-    sizes = placed.groupBy("value").agg(F.count("*").alias("size")).where("size > 1")
-    return stored(placed.join(sizes, "value"))
+    weight = F.aggregate("shared", F.lit(0).cast("long"), lambda t, x: t + x["times"])
+    placed = saved(nodes.join(shared, "node").select("node", "n", weight.alias("weight"), F.explode(start).alias("at")).select(F.col("at.value").alias("value"), "node", "n", "weight"))
+    several = placed.groupBy("value").agg(F.count("*").alias("size")).where("size > 1").drop("size")
+    return stored(placed.join(several, "value"))
 
 
 def _sizes_fit(x: Column, y: Column, percent: int) -> Column:
@@ -76,24 +80,14 @@ def _sizes_fit(x: Column, y: Column, percent: int) -> Column:
 
 
 def star(lists: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each member of a list with the member whose lists are largest: an original is in more lists of its copies than any of them."""
-    weights = lists.groupBy("node").agg(F.sum("size").alias("weight"))
-    members = saved(lists.join(weights, "node"))
-    pivots = members.groupBy("value").agg(F.max(F.struct("weight", "node", "n")).alias("best"))
-    pairs = members.join(pivots, "value").where((F.col("node") != F.col("best.node")) & _sizes_fit(F.col("n"), F.col("best.n"), percent))
+    """(a, b): each member of a list with its weightiest member."""
+    pivots = lists.groupBy("value").agg(F.max(F.struct("weight", "node", "n")).alias("best"))
+    pairs = lists.join(pivots, "value").where((F.col("node") != F.col("best.node")) & _sizes_fit(F.col("n"), F.col("best.n"), percent))
     return saved(pairs.select(F.col("best.node").alias("a"), F.col("node").alias("b")).distinct())
 
 
-def across(lists: DataFrame, labels: DataFrame, wanted: DataFrame, rows: DataFrame, words: int, percent: int, lane_rows: int = 64) -> DataFrame:
-    """(a, b): the pairs of members of one list with different labels that can be similar; members of a list's main label do not meet each other.
-
-    ``wanted`` has the first row of each node, ``rows`` their texts. A node's shingles that no other such node has can't be
-    shared, so a pair whose other shingles are too few for the similarity is no link.
-    """
-    named = saved(lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    by_label = named.groupBy("value", "label").agg(F.count("*").alias("here"))
-    several = by_label.groupBy("value").agg(F.count("*").alias("labels"), F.max(F.struct("here", "label"))["label"].alias("main")).where("labels > 1").drop("labels")
-    apart = saved(named.join(several, "value").select("value", "node", "n", "label", "main"))
+def shareable(sets: DataFrame, classes: int) -> DataFrame:
+    """(node, others, counts) of ``sets`` (node, shingles): how many of a node's shingles other nodes have too, and these in ``classes`` by hash."""
 
     def combined():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -104,18 +98,45 @@ def across(lists: DataFrame, labels: DataFrame, wanted: DataFrame, rows: DataFra
 
         return each
 
-    sets = shingle_sets(rows, wanted.join(apart.select("node").distinct(), "node", "left_semi"), words)
+    def counted():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            lists = [np.bincount(np.asarray(values.values) % classes, minlength=classes) for values in batch.column(1)]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(lists, np.int32).reshape(-1, classes).tolist(), pa.list_(pa.int32()))], names=["node", "counts"])
+
+        return each
+
     once = map_arrow(sets, combined, "shingle long, node long, nodes long").groupBy("shingle").agg(F.sum("nodes").alias("nodes"), F.min("node").alias("node")).where("nodes = 1")
-    own = once.groupBy("node").agg(F.count("*").alias("own"))
-    able = apart.join(own, "node", "left").withColumn("others", F.col("n") - F.coalesce("own", F.lit(0))).where(F.col("others") * 100 >= F.col("n") * percent)
-    outside = F.count_if(F.col("label") != F.col("main"))
-    lanes = able.groupBy("value").agg(F.ceil(outside / F.lit(lane_rows)).cast("int").alias("lanes"), F.count("*").alias("able")).where("lanes > 0 and able > 1")
-    able = saved(able.join(lanes.select("value", "lanes"), "value"))
+    place = F.pmod(F.col("shingle"), F.lit(classes)).cast("int")
+    own = once.groupBy("node", place.alias("class")).agg(F.count("*").cast("int").alias("n")).groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("class", "n"))).alias("own"))
+    rest = F.transform("counts", lambda n, i: n - F.coalesce(F.try_element_at("own", i), F.lit(0)))
+    every = map_arrow(sets, counted, "node long, counts array<int>").join(own, "node", "left")
+    every = every.select("node", F.when(F.col("own").isNull(), F.col("counts")).otherwise(rest).alias("counts"))
+    return every.select("node", F.aggregate("counts", F.lit(0), lambda t, n: t + n).alias("others"), "counts")
+
+
+def across(lists: DataFrame, labels: DataFrame, wanted: DataFrame, rows: DataFrame, words: int, percent: int, classes: int = 64, lane_rows: int = 1024) -> DataFrame:
+    """(a, b): the pairs of members of one list with different labels that can be similar; members of a list's main label do not meet each other.
+
+    ``wanted`` has the first row of each node, ``rows`` their texts. What two nodes share is at most the sum of the lesser of their counts of shareable
+    shingles by class; a pair for which that is too little for the similarity is no link and leaves no row. Lists with many members outside the main label are dealt by lanes.
+    """
+    named = saved(lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    by_label = named.groupBy("value", "label").agg(F.count("*").alias("here"))
+    several = by_label.groupBy("value").agg(F.count("*").alias("labels"), F.max(F.struct("here", "label"))["label"].alias("main")).where("labels > 1").drop("labels")
+    apart = saved(named.join(several, "value").select("value", "node", "n", "label", "main"))
+
+    sets = shingle_sets(rows, wanted.join(apart.select("node").distinct(), "node", "left_semi"), words)
+    able = saved(apart.join(shareable(sets, classes), "node").where(F.col("others") * 100 >= F.col("n") * percent))
+    longest = F.col("others") * (100 + percent) - F.col("n") * percent  # a partner's size times ``percent`` is at most that
+    lanes = able.groupBy("value").agg(F.ceil(F.count_if(F.col("label") != F.col("main")) / F.lit(lane_rows)).cast("int").alias("lanes"), F.min("n").alias("least"), F.count("*").alias("able"))
+    able = able.join(lanes.where("lanes > 0 and able > 1").drop("able"), "value").where(F.col("least") * percent <= longest)
     left = able.where("label <> main").withColumn("lane", F.pmod(F.xxhash64("node"), F.col("lanes")).cast("int")).alias("l")
     right = able.withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1))).alias("r")
     met = (F.col("l.value") == F.col("r.value")) & (F.col("l.lane") == F.col("r.lane")) & ((F.col("r.label") == F.col("l.main")) | (F.col("l.label") < F.col("r.label")))
-    both = F.least("l.others", "r.others") * (100 + percent) >= (F.col("l.n") + F.col("r.n")) * percent
-    pairs = left.join(right, met & both & _sizes_fit(F.col("l.n"), F.col("r.n"), percent))
+    size = (F.col("l.n") + F.col("r.n")) * percent
+    cheap = (F.least("l.others", "r.others") * (100 + percent) >= size) & _sizes_fit(F.col("l.n"), F.col("r.n"), percent)
+    bound = F.aggregate(F.zip_with("l.counts", "r.counts", lambda x, y: F.least(x, y)), F.lit(0), lambda t, n: t + n)
+    pairs = left.join(right, met & cheap & (bound * (100 + percent) >= size))
     return saved(pairs.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct())
 
 
@@ -124,9 +145,9 @@ def likely(pairs: DataFrame, nodes: DataFrame, k: int, percent: int, least: int)
     sketch = nodes.select("node", "sketch")
     both = pairs.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
     union = F.slice(F.sort_array(F.array_union("x", "y")), 1, k)
-    counted = both.select("a", "b", F.size(union).alias("size"), F.array_max(union).alias("last"), F.array_intersect("x", "y").alias("shared"))
-    found = F.size(F.filter("shared", lambda v: v <= F.col("last")))
-    return saved(counted.where(F.when(F.col("size") < k, found * 100 >= F.col("size") * percent).otherwise(found >= least)).select("a", "b"))
+    found = F.size(F.array_intersect(union, F.array_intersect("x", "y")))
+    enough = F.when(F.size(union) < k, found * 100 >= F.size(union) * percent).otherwise(found >= least)
+    return saved(both.where(enough).select("a", "b"))
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
