@@ -13,6 +13,8 @@ import hashlib
 import html
 import json
 import re
+from collections.abc import Iterable
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -23,8 +25,11 @@ from .common import map_arrow, saved
 
 # A quote opens a value only after an equals sign; a tag whose quote never closes ends at the first ``>``.
 ATTRIBUTES = r"""(?:=\s*+"[^"]*+"|=\s*+'[^']*+'|[^>])*+"""
-MARKUP = re.compile(rf"""<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>{ATTRIBUTES})>|<[!?/][^>]*>""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+OPENING = re.compile(r"<(?:!--|!\[CDATA\[|/?[a-zA-Z]|[!?/])")
+TAG = re.compile(rf"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attributes>{ATTRIBUTES})>", re.S)
+PLAIN_TAG = re.compile(r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attributes>[^>]*+)>", re.S)
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+TOLD = frozenset("class id role hidden aria-hidden style".split())
 NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 # Elements of HTML by their part in the layout.
@@ -60,7 +65,9 @@ def _names(attributes: str) -> tuple[str, frozenset[str], bool, bool]:
     """Of a tag: its class as written, the words in its class and id, whether its role is no article's, and whether it is hidden."""
     css, parts, role, hidden = "", set(), False, False
     for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), html.unescape(value.strip("\"'"))
+        if (name := name.lower()) not in TOLD:
+            continue
+        value = html.unescape(value.strip("\"'"))
         if name in ("class", "id"):
             css = value if name == "class" else css
             parts.update(p.lower() for p in NAME_PARTS.findall(value))
@@ -75,11 +82,44 @@ def _names(attributes: str) -> tuple[str, frozenset[str], bool, bool]:
     return css, frozenset(parts), role, hidden
 
 
+class Scanner:
+    """Finds markup from left to right, in time linear in the page: what can't end is not looked for again."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.pattern = page, TAG
+        self.last_end, self.last_data = page.rfind(">"), page.rfind("]]>")
+
+    def after(self, at: int) -> tuple[int, int, re.Match | None, bool] | None:
+        """Start and end of the next markup from ``at`` on, its match if it is a tag, and whether it is a CDATA section."""
+        page = self.page
+        while m := OPENING.search(page, at):
+            start = m.start()
+            if m[0] == "<!--":
+                end = page.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(page), None, False
+            if start > self.last_end:  # only a comment needs no end
+                if (at := page.find("<!--", start)) < 0:
+                    return None
+                continue
+            if m[0] == "<![CDATA[" and start < self.last_data:
+                return start, page.find("]]>", start) + 3, None, True
+            if m[0][-1].isalpha():
+                tag = self.pattern.match(page, start)
+                if tag is None:  # every later > is in quotes: from here on quotes don't count
+                    self.pattern = PLAIN_TAG
+                    tag = PLAIN_TAG.match(page, start)
+                return start, tag.end(), tag, False
+            return start, page.find(">", start) + 1, None, False
+        return None
+
+
 def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
     """The tree of block elements, and the blocks of text in page order with their elements."""
     root = Node("", "", None, False, 0)
     nodes, stack, blocks, text = [root], [root], [], []
+    open_at: dict[str, list[int]] = {}  # of each tag, the places in the stack
     at, length, in_link, plain = 0, len(page), False, 0
+    scanner = Scanner(page)
 
     def add(part: str) -> None:
         nonlocal plain
@@ -97,29 +137,32 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
                 stack[-1].mass += plain
         plain = 0
 
+    def innermost(tags: Iterable[str]) -> int:
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
+
     def close(*tags: str, until: str = "") -> None:
-        stop = until.split()
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                flush()
-                del stack[i:]
-                return
-            if stack[i].tag in stop:
-                return
-
-    while m := MARKUP.search(page, at):
-        if m.start() > at:
-            add(html.unescape(page[at : m.start()]))
-        at = m.end()
-        if m["tag"] is None:
-            if m[0].startswith("<![CDATA["):
-                add(m[0][9:-3])
+        place = innermost(tags)
+        if place and place >= innermost(until.split()):
+            flush()
+            for node in stack[place:]:
+                open_at[node.tag].pop()
+            del stack[place:]
+
+    while found := scanner.after(at):
+        start, end, m, data = found
+        if start > at:
+            add(html.unescape(page[at:start]))
+        at = end
+        if m is None:
+            if data:
+                add(page[start + 9 : end - 3])
             continue
         tag, ends, attributes = m["tag"].lower(), m["end"], m["attributes"]
         if tag in RAW:
             if not ends and not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else length  # the search goes on behind it: nothing in it is markup
+                closing = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at)
+                end = page.find(">", closing.end()) if closing else -1
+                at = end + 1 if end >= 0 else length  # the search goes on behind it: nothing in it is markup
             continue
         if tag == "br":
             text.append(" ")
@@ -145,7 +188,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
         css, parts, role, hidden = _names(attributes) if attributes else ("", frozenset(), False, False)
         if tag in ("html", "body", "main"):
             doubt = 0
-        elif role or tag in DROPPED or tag == "header" and not any(n.tag in ("article", "main") for n in stack):
+        elif role or tag in DROPPED or tag == "header" and not innermost(("article", "main")):
             doubt = 2
         else:
             bad = parts & (NOT_AN_ARTICLE if tag == "article" else frozenset() if tag == "header" else UNWANTED)
@@ -153,6 +196,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
         node = Node(tag, f"{tag}.{css}" if css else tag, up, hidden, doubt)
         up.children.append(node)
         nodes.append(node)
+        open_at.setdefault(tag, []).append(len(stack))
         stack.append(node)
     if at < length:
         add(html.unescape(page[at:]))
@@ -171,10 +215,20 @@ def _judge(nodes: list[Node], blocks: list[tuple[Node, str]]) -> None:
         node.up.mass += node.mass
     total = nodes[0].mass
 
-    anchors = [n for n in nodes if n.tag in ("article", "main") and n.mass]
+    anchor = [n.tag in ("article", "main") and n.mass > 0 for n in nodes]
+    place = {id(n): i for i, n in enumerate(nodes)}
+    above, stop = [0] * len(nodes), list(range(1, len(nodes) + 1))  # anchors around a node; the end of what is in it, in page order
+    for i, node in enumerate(nodes[1:], 1):
+        up = place[id(node.up)]
+        above[i] = above[up] + anchor[up]
+    for i in range(len(nodes) - 1, 0, -1):
+        up = place[id(nodes[i].up)]
+        stop[up] = max(stop[up], stop[i])
+    before = list(accumulate(anchor, initial=0))
 
     def framed(form: Node) -> bool:
-        return 5 * form.mass >= 4 * total and all(_under(n, form) or _under(form, n) for n in anchors)
+        i = place[id(form)]
+        return 5 * form.mass >= 4 * total and above[i] + before[stop[i]] - before[i] == before[-1]
 
     def decide(least: float) -> None:
         for node in nodes[1:]:
@@ -190,12 +244,6 @@ def _judge(nodes: list[Node], blocks: list[tuple[Node, str]]) -> None:
         decide(0.5)
 
 
-def _under(node: Node | None, top: Node) -> bool:
-    while node is not None and node is not top:
-        node = node.up
-    return node is top
-
-
 def collapse(root: Node, depth: int = 60) -> list:
     """The tree as nested [key, children], runs of like siblings merged; numbers the nodes in order (``slot``).
 

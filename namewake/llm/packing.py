@@ -74,9 +74,10 @@ class WordIds(dict):
 
     def ids(self, text: str) -> bytes:
         raw = text.encode()
-        if b"\xcc" not in raw and b"\xcd" not in raw:  # first bytes of combining marks
-            raw = raw.lower()
-        packed = b"".join(map(self.__getitem__, raw.split()))
+        words = raw.split() if b"\xcc" in raw or b"\xcd" in raw else raw.lower().split()  # first bytes of combining marks
+        if b"<|" in raw:  # special strings count as they are written, before case is dropped
+            words = [w if b"<|" in w else low for w, low in zip(raw.split(), words, strict=True)]
+        packed = b"".join(map(self.__getitem__, words))
         if len(self) > self.keep:
             self.older = dict(self)
             self.clear()

@@ -237,7 +237,7 @@ def test_word_ids_equal_the_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer, mine = Tokenizer.from_file(path), packing.WordIds(path, 50)
     rng = random.Random(1)
-    parts = list("abTÉé'.,!;%1 \n\t") + ["́", " ", "'s", "<|endoftext|>", "日本", "😀", "İ", "ﬁ"]
+    parts = ["<|ENDOFTEXT|>", "<|StartOfText|>", "<|startoftext|>", "<|", "|>", *"abTÉé'.,!;%1 \n\t", "́", " ", "'s", "<|endoftext|>", "日本", "😀", "İ", "ﬁ"]
     for _ in range(1500):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
         assert mine.ids(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
@@ -527,6 +527,12 @@ def test_main_text_parts():
         ("<div>" * 900 + "<p>open", "open"),
         ('<p title="a > b">one</p><a href=x"y>two</a><p>three</p>', "one\ntwo\nthree"),
         ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"),
+        ('<p title="the class=ad one">h</p>', "h"),
+        ('<div data-hidden="1"><p>h</p></div>', "h"),
+        ('<div data-id="comments-1"><p>h</p></div>', "h"),
+        ('<div data-x="1" hidden><p>h</p></div><p>seen</p>', "seen"),
+        ("<p>x</p><![CDATA[<div class=ad>y", "x\ny"),
+        ("<a" * 2000, "<a" * 2000),
     ],
 )
 def test_main_text_cases(page, wanted):
@@ -534,6 +540,15 @@ def test_main_text_cases(page, wanted):
     htmlmain.page_slots(page)
 
 
+@pytest.mark.parametrize("page", ["<a" * 500_000, "<ul>" * 100_000 + "</p>" * 150_000, "<p><article>" + "<div>" * 80_000 + "</p>" * 150_000, '<a x=">" ' * 110_000, "<![CDATA[" * 110_000 + ">", "<script>" + "</script" * 120_000, "<form>" * 80_000 + "<main>x</main>" * 5000, "<div>" * 50_000 + "<header>" * 60_000, "<!" * 400_000])
+def test_broken_pages_of_a_megabyte_take_linear_time(page):
+    import time
+
+    began = time.perf_counter()
+    htmlmain.main_text(page)
+    assert time.perf_counter() - began < 10  # about one second; what is quadratic takes hours
+
+
 def test_alignment_of_deep_and_wide_trees_is_quick():
     import json
     import time
