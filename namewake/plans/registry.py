@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
-GROUPS = ("zone_queries", "trend_queries", "listing_queries", "score_queries", "site_queries", "coverage_queries", "name_queries", "ledger_queries", "theme_queries", "stream_queries", "insight_queries", "miner_queries")
+GROUPS = ("zone_queries", "trend_queries", "listing_queries", "score_queries", "site_queries", "coverage_queries", "name_queries", "ledger_queries", "theme_queries", "stream_queries", "insight_queries", "miner_queries", "assessment_queries", "trending_queries")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
