@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import assessment as ops
+from ..operators import derived
 from ..operators.ranking import saved
 from ..sources import market
-from ..sources.market import NAMES
+from ..sources.market import LISTINGS, NAMES
 from .registry import query
 
 NOW = "2024-01-30 12:00:00"
@@ -137,3 +138,96 @@ def r9_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def r12_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.views(assessed(spark, sf_dir)).select("domain", "view")
+
+
+VENUES = ["resale marketplace or reseller", "registrar default parking", "hosting", None]
+PAGES_OF = [(38, 5, "<>", "page_checked"), (39, 8, "=", "page_for_sale"), (40, 8, "=", "page_parked"), (41, 8, "=", "page_placeholder"), (42, 3, "<>", "page_active"), (43, 3, "=", "transfer_after"), (44, 9, "=", "parking"), (45, 6, "=", "page_error")]
+_SHOWN = ", ".join(f"{_h_sql(i)} % {n} {op} 0 AS {name}" for i, n, op, name in PAGES_OF)
+
+
+def shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assessed departures with what is known of their venue, registration and page."""
+    flags = [(_h(i) % n != 0 if op == "<>" else _h(i) % n == 0).alias(name) for i, n, op, name in PAGES_OF]
+    facts = assessed(spark, sf_dir)
+    rows = facts.select("*", *flags, _pick(VENUES, 46).alias("venue_class"), (_h(47) % 40 - 2).alias("other_extensions"), F.when(_h(48) % 4 != 0, F.date_sub("departed", _h(49) % 12000)).alias("registered"), F.when(_h(50) % 4 != 0, 200 + _h(50) % 300).alias("page_status"))
+    return rows
+
+
+SHOWN = f"""{LADDER}, shown AS (SELECT a.*, j.relisted, j.in_use, j.bm, j.ti, j.buyer_use, j.suspended, j.today_class, j.prev_class, j.cohort, {_SHOWN}, {_pick_sql(VENUES, 46)} AS venue_class, {_h_sql(47)} % 40 - 2 AS other_extensions, CASE WHEN {_h_sql(48)} % 4 <> 0 THEN a.departed - {_h_sql(49)} % 12000 END AS registered, CASE WHEN {_h_sql(50)} % 4 <> 0 THEN 200 + {_h_sql(50)} % 300 END AS page_status
+  FROM assessed a JOIN judged j USING (domain)),
+taped AS (SELECT *, CASE WHEN venue_class = 'registrar default parking' THEN CASE WHEN transfer_after THEN 'aftermarket' ELSE 'builder' END WHEN departed - registered <= 90 THEN 'builder' WHEN venue_class = 'resale marketplace or reseller' THEN 'aftermarket' ELSE 'noise' END AS tape FROM shown)"""
+
+
+@query(
+    "r10_derived_rows",
+    f"""{SHOWN} SELECT domain, tape, CASE WHEN registered IS NULL THEN '' WHEN year(registered) < 2000 THEN 'before 2000' WHEN year(registered) < 2010 THEN '2000-2009' WHEN year(registered) < 2020 THEN '2010-2019' ELSE '2020 or later' END AS year_band,
+  CASE WHEN other_extensions < 0 THEN '' WHEN other_extensions = 0 THEN '0 other' WHEN other_extensions <= 4 THEN '1-4 other' WHEN other_extensions <= 19 THEN '5-19 other' ELSE '20+ other' END AS extension_band,
+  CASE WHEN length(split_part(domain, '.', 1)) <= 4 THEN '1-4' WHEN length(split_part(domain, '.', 1)) <= 6 THEN '5-6' WHEN length(split_part(domain, '.', 1)) <= 8 THEN '7-8' WHEN length(split_part(domain, '.', 1)) <= 11 THEN '9-11' ELSE '12+' END AS length_band,
+  CASE WHEN NOT page_checked THEN 'site not checked' WHEN page_for_sale THEN 'for sale' WHEN page_parked THEN 'parked' WHEN page_placeholder THEN 'no site yet' WHEN page_active AND (page_status IS NULL OR page_status < 400) THEN 'live site' ELSE 'no site yet' END AS page_state,
+  coalesce(CASE WHEN kit_size >= 3 OR bm THEN NULL WHEN classification = 'likely-sale' THEN CASE basis WHEN 'built' THEN 'transfer + branded site' WHEN 'transfer' THEN 'marketplace exit + registrar transfer' WHEN 'off-market' THEN 'off market 14+ days' END
+    WHEN classification = 'transfer-completed' THEN CASE WHEN in_use THEN 'transfer + branded site' ELSE 'marketplace exit + registrar transfer' END WHEN classification = 'transfer-in-progress' AND venue_class = 'resale marketplace or reseller' THEN 'transfer pending'
+    WHEN classification = 'acquisition-candidate' AND (tape = 'builder' OR tape = 'aftermarket' AND venue_class = 'resale marketplace or reseller') AND in_use AND NOT relisted AND NOT expiration AND NOT parking THEN 'branded site launched' END, '') AS lead_reason FROM taped""",
+)
+def r10_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.derive(shown(spark, sf_dir)).select("domain", "tape", *[F.coalesce(c, F.lit("")).alias(c) for c in ("year_band", "extension_band", "length_band", "page_state", "lead_reason")])
+
+
+@query(
+    "r10_timelines",
+    f"""WITH {NAMES}, m AS (SELECT label || '.' || zone AS domain, min(epoch_us(ts)) AS w FROM names WHERE kind = 'purchase' GROUP BY 1), o AS (SELECT label || '.' || zone AS domain, epoch_us(ts) AS w, CASE WHEN kind <> 'view' THEN kind END AS kind, CASE WHEN kind <> 'click' THEN host END AS detail FROM names WHERE kind <> 'purchase'),
+r AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY domain ORDER BY w DESC, kind DESC NULLS LAST, detail DESC NULLS LAST) <= 11),
+t AS (SELECT domain, 0 AS f, w, 'movement' AS kind, 'left' AS detail FROM m UNION ALL SELECT domain, 1, w, coalesce(kind, 'probe'), coalesce(nullif(detail, ''), 'observed') FROM r)
+SELECT domain, string_agg(CAST(w AS VARCHAR) || ' ' || kind || ' ' || detail, '; ' ORDER BY f, w) AS timeline FROM t GROUP BY 1""",
+)
+def r10_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = market.names(spark, sf_dir).select(F.concat_ws(".", "label", "zone").alias("domain"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "kind", "host")
+    moves = seen.where("kind = 'purchase'").groupBy("domain").agg(F.min("at").alias("at")).withColumn("detail", F.lit("left"))
+    rest = seen.where("kind <> 'purchase'").select("domain", "at", F.when(F.col("kind") != "view", F.col("kind")).alias("kind"), F.when(F.col("kind") != "click", F.col("host")).alias("detail"))
+    shown_ = F.array_join(F.transform("timeline", lambda e: F.concat_ws(" ", e["at"].cast("string"), e["kind"], e["detail"])), "; ")
+    return derived.timelines(moves, rest).select("domain", shown_.alias("timeline"))
+
+
+STATES = ["exited", "probing", "transferring", "parked-watch"]
+KITS = [None, None, None, "k1", "k2", "k3"]
+
+
+@query(
+    "r11_probe_order",
+    f"""{SHOWN}, p0 AS (SELECT *, {_pick_sql(STATES, 51)} AS state, {_h_sql(52)} % 3 AS probe_count, {_pick_sql(KITS, 53)} AS kit, {_h_sql(54)} % 3 AS alpha_rank, {_h_sql(55)} % 2 AS theme_rank, CASE WHEN {_h_sql(56)} % 4 <> 0 THEN today_class END AS moved_to, prev_class = 'seller' AS left_seller FROM taped),
+p AS (SELECT *, coalesce(classification IN ('expiration', 'registry-hold'), false) OR expiration OR suspended AS deferred, CASE WHEN state = 'transferring' THEN 0 ELSE 1 + 2 * alpha_rank + theme_rank END AS score FROM p0),
+q AS (SELECT domain FROM p WHERE kit IS NOT NULL AND probe_count = 0 AND NOT deferred QUALIFY row_number() OVER (PARTITION BY kit ORDER BY score, domain) <= 3)
+SELECT domain, CAST(CASE WHEN probe_count = 0 AND NOT deferred THEN CASE WHEN kit IS NULL OR domain IN (SELECT domain FROM q) THEN -100 ELSE -50 END + score WHEN probe_count = 0 THEN 6 WHEN state = 'transferring' THEN 0 WHEN deferred OR parking THEN 5 WHEN classification = 'likely-sale' THEN -1
+  WHEN buyer_use AND NOT page_error THEN 1 WHEN cohort < 10 AND moved_to = 'hosting' THEN 1 WHEN cohort < 10 AND moved_to = 'other' THEN 2 WHEN cohort < 100 AND moved_to = 'hosting' THEN 2 WHEN moved_to IS NOT NULL AND cohort >= 100 THEN 4 WHEN moved_to IS NULL AND left_seller THEN 4 ELSE 3 END AS INTEGER) AS priority FROM p""",
+)
+def r11_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = shown(spark, sf_dir).select(
+        "domain", "classification", "expiration", "suspended", "parking", "buyer_use", "page_error", "cohort", _pick(STATES, 51).alias("state"), (_h(52) % 3).alias("probe_count"), _pick(KITS, 53).alias("kit"),
+        (_h(54) % 3).alias("alpha_rank"), (_h(55) % 2).alias("theme_rank"), F.when(_h(56) % 4 != 0, F.col("today_class")).alias("moved_to"), (F.col("prev_class") == "seller").alias("left_seller"),
+    )
+    return derived.probe_order(rows).select("domain", "priority")
+
+
+@query(
+    "c12_better_sales",
+    f"""WITH {LISTINGS}, o AS (SELECT label, zone, listing_id % 3 <> 0 AS checked, bids > 2 AS live, stream = 'auction' OR price IS NOT NULL AS for_sale, price, ends_at, CAST(listing_id AS VARCHAR) AS url FROM listings)
+SELECT label, zone, url, coalesce(price, -1) AS price FROM o QUALIFY row_number() OVER (PARTITION BY label, zone ORDER BY checked OR for_sale DESC, live DESC, for_sale DESC, price IS NOT NULL DESC, coalesce(price, 0), ends_at NULLS LAST, url) = 1""",
+)
+def c12_better(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = market.listings(spark, sf_dir)
+    offers = rows.select("label", "zone", (F.col("listing_id") % 3 != 0).alias("checked"), (F.col("bids") > 2).alias("live"), ((F.col("stream") == "auction") | F.col("price").isNotNull()).alias("for_sale"), "price", "ends_at", F.col("listing_id").cast("string").alias("url"))
+    return derived.better_sales(offers).select("label", "zone", "url", F.coalesce("price", F.lit(-1.0)).alias("price"))
+
+
+@query(
+    "c16_keyword_merge",
+    f"""WITH {NAMES}, ob AS (SELECT upper(label) || ' ' AS keyword, day, count(DISTINCT zone) AS n_zones, count(*) AS new_zones, string_agg(DISTINCT zone, ',' ORDER BY zone) AS zones, 'observed' AS source FROM names WHERE kind = 'signup' GROUP BY label, day),
+zo AS (SELECT label AS keyword, day, count(DISTINCT zone) AS n_zones, count(*) AS new_zones, string_agg(DISTINCT zone, ',' ORDER BY zone) AS zones, CASE WHEN length(label) % 2 = 0 THEN 'daily-diff' ELSE 'observed' END AS source FROM names WHERE kind IN ('purchase', 'click') GROUP BY label, day),
+al AS (SELECT *, 0 AS f FROM ob UNION ALL SELECT *, 1 FROM zo), k AS (SELECT lower(trim(keyword)) AS keyword, day, n_zones, new_zones, zones, source, f FROM al)
+SELECT keyword, CAST(max(day) AS VARCHAR) AS day, max(n_zones) AS n_zones, max(new_zones) AS new_zones, arg_max(zones, {{'d': day, 'f': -f}}) AS zones, CASE WHEN count(DISTINCT source) = 1 THEN min(source) ELSE 'observed+daily-diff' END AS source FROM k GROUP BY keyword ORDER BY max(day) DESC, max(new_zones) DESC, max(n_zones) DESC, keyword LIMIT 200""",
+)
+def c16_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = market.names(spark, sf_dir)
+    daily = lambda rows: rows.groupBy("label", "day").agg(F.count_distinct("zone").alias("n_zones"), F.count("*").alias("new_zones"), F.array_join(F.sort_array(F.collect_set("zone")), ",").alias("zones"))
+    observed = daily(seen.where("kind = 'signup'")).select(F.concat(F.upper("label"), F.lit(" ")).alias("keyword"), "day", "n_zones", "new_zones", "zones", F.lit("observed").alias("source"))
+    zones = daily(seen.where("kind IN ('purchase', 'click')")).select(F.col("label").alias("keyword"), "day", "n_zones", "new_zones", "zones", F.when(F.length("label") % 2 == 0, "daily-diff").otherwise("observed").alias("source"))
+    return derived.merged_trends(observed, zones, 200).withColumn("day", F.col("day").cast("string"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import constructions
+from ..operators import constructions, keywords
 from ..operators import trending as ops
+from ..operators.ranking import saved
 from ..operators.trends import keyword_history
 from ..sources import market
 from ..sources.market import NAMES
@@ -80,3 +81,57 @@ SELECT word, pattern, labels, CAST(row_number() OVER (PARTITION BY word ORDER BY
 )
 def t12_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return constructions.family_patterns(segments(spark, sf_dir), sought(spark, sf_dir))
+
+
+KEYWORDS = f"""WITH RECURSIVE {NAMES}, {SEGMENTS}, w AS (SELECT label, list_filter(pieces, lambda p: p <> '?') AS w FROM segments), base AS (SELECT label, label || '.' || zone AS site, user_id % 40 AS op, day, zone, event_id % 3 <> 0 AS described, CASE user_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' END AS lang FROM names WHERE day > DATE '{LAST}' - 14 AND day <= DATE '{LAST}'),
+uses AS (SELECT label AS term, site, op, day, zone, CAST(NULL AS VARCHAR) AS role, CAST(NULL AS VARCHAR) AS partner, described, lang FROM base UNION ALL SELECT w[i], site, op, day, zone, CASE WHEN i = len(w) THEN 'head' ELSE 'modifier' END, CASE WHEN len(w) > 1 THEN w[CASE WHEN i = 1 THEN 2 ELSE i - 1 END] END, described, lang FROM (SELECT base.*, w, unnest(range(1, len(w) + 1)) AS i FROM base JOIN w USING (label))),
+regs AS (SELECT term, day, count(*) AS n FROM (SELECT label AS term, day FROM names WHERE kind = 'signup' UNION ALL SELECT w[i], day FROM (SELECT day, w, unnest(range(1, len(w) + 1)) AS i FROM names JOIN w USING (label) WHERE kind = 'signup')) WHERE day_of_month % 10 <> 5 GROUP BY 1, 2),
+dd AS (SELECT day, count(DISTINCT op) AS ops FROM uses GROUP BY 1), fl AS (SELECT greatest(3, ceil(list_sort(list(ops))[(count(*) + 1) // 2] * 0.2)) AS f FROM dd), pa AS (SELECT day, CASE WHEN age <= 3 THEN 0 ELSE 1 END AS part FROM (SELECT day, row_number() OVER (ORDER BY day DESC) AS age FROM dd, fl WHERE ops >= f) WHERE age <= 10),
+al AS (SELECT count(DISTINCT op) FILTER (WHERE part = 0) AS ar, count(DISTINCT op) FILTER (WHERE part = 1) AS ap FROM uses JOIN pa USING (day)), nd AS (SELECT count(*) FILTER (WHERE part = 0) AS nr, count(*) FILTER (WHERE part = 1) AS np FROM pa), rd AS (SELECT count(*) FILTER (WHERE part = 0) AS r, count(*) FILTER (WHERE part = 1) AS p FROM pa WHERE day IN (SELECT day FROM regs)),
+u AS (SELECT uses.*, date_diff('day', uses.day, DATE '{LAST}') AS age, part FROM uses LEFT JOIN pa USING (day) WHERE term IN (SELECT term FROM uses GROUP BY 1 HAVING count(DISTINCT site) >= 2)),
+o AS (SELECT term, count(DISTINCT op) FILTER (WHERE age < 7) AS operators, count(DISTINCT op) FILTER (WHERE age >= 7) AS ops_first, count(DISTINCT op) AS ops_span, count(DISTINCT op) FILTER (WHERE part = 0) AS recent, count(DISTINCT op) FILTER (WHERE part = 1) AS prior, count(DISTINCT op) FILTER (WHERE described) AS described,
+  count(DISTINCT day) FILTER (WHERE age < 7) AS days_active, count(DISTINCT day) FILTER (WHERE age >= 7) AS days_first, count(DISTINCT zone) AS zones, count(DISTINCT role) AS roles, count(DISTINCT partner) AS partners FROM u GROUP BY 1),
+s AS (SELECT term, day, part, count(DISTINCT op) AS n FROM u GROUP BY 1, 2, 3), b AS (SELECT term, coalesce(sum(n) FILTER (WHERE part = 0), 0) AS built, coalesce(sum(n) FILTER (WHERE part = 0 AND day IN (SELECT day FROM regs)), 0) AS b3, coalesce(sum(n) FILTER (WHERE part = 1 AND day IN (SELECT day FROM regs)), 0) AS b7 FROM s GROUP BY 1),
+g AS (SELECT term, coalesce(sum(n) FILTER (WHERE part = 0), 0) AS r3, coalesce(sum(n) FILTER (WHERE part = 1), 0) AS r7 FROM regs JOIN pa USING (day) GROUP BY 1),
+tg AS (SELECT term, count(*) FILTER (WHERE n >= 2 AND r >= 1) AS strong, string_agg(lang || ':' || CAST(n AS VARCHAR), ',' ORDER BY n DESC, lang) AS languages FROM (SELECT term, lang, count(DISTINCT op) AS n, count(DISTINCT op) FILTER (WHERE part = 0) AS r FROM u WHERE lang IS NOT NULL AND age < 7 GROUP BY 1, 2) GROUP BY 1),
+m AS (SELECT o.*, built, b3, b7, coalesce(r3, 0) AS r3, coalesce(r7, 0) AS r7, coalesce(strong, 0) AS strong, coalesce(languages, '') AS languages, CASE WHEN nr >= 2 AND np >= 3 AND ar >= 10 AND ap >= 10 THEN floor((recent / ar) / ((prior + 1) / (ap + 1)) * 100 + 0.5) / 100 END AS rise_raw, rd.r AS rr, rd.p AS rp FROM o JOIN b USING (term) LEFT JOIN g USING (term) LEFT JOIN tg USING (term), al, nd, rd WHERE operators >= 1),
+q AS (SELECT *, rr > 0 AND rp > 0 AND r3 + r7 > 0 AND b7 / (r7 + 1) > 0 AND b3 / (r3 + 1) < 0.7 * (b7 / (r7 + 1)) AS share_falling, rr > 0 AND rp > 0 AND r3 >= 6 AND r3 / greatest(rr, 1) >= 1.5 * ((r7 + 1) / greatest(rp, 1)) AS regs_rise, strong >= 2 AND regexp_matches(term, '^[\\p{{Latin}}\\p{{N}} ]+$') AS is_global FROM m),
+profiles AS (SELECT *, CASE WHEN recent >= 4 THEN rise_raw END AS rise, regs_rise AND coalesce(rise_raw <= 1.1, false) AS speculative, built >= 3 AND coalesce(rise_raw > 1.2, false) AS organic, CASE WHEN is_global THEN least(1.75, 1 + 0.25 * (strong - 1)) ELSE 1e0 END AS boost,
+  CASE WHEN share_falling OR coalesce(rise_raw < 0.7, false) THEN 'watch' WHEN least(ops_first, operators) >= 2 AND least(days_first, days_active) >= 2 AND ops_span >= 8 AND zones >= 2 AND described >= 5 THEN 'confirmed' WHEN operators >= 3 AND days_active >= 3 AND (roles >= 2 OR partners >= 3 OR zones >= 2) AND coalesce(rise_raw >= 1, true) THEN 'forming' ELSE 'watch' END AS stage FROM q)"""
+KEYWORDS = KEYWORDS.replace("day_of_month % 10 <> 5", "extract('day' FROM day) % 10 <> 5")
+
+
+def keyword_uses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Labels and their words as used by sites, and as registered on the days that don't end in 5."""
+    seen = market.names(spark, sf_dir)
+    words = segments(spark, sf_dir).select("label", F.filter("pieces", lambda p: p != "?").alias("w"))
+    lang = F.when(F.col("user_id") % 3 == 0, "en").when(F.col("user_id") % 3 == 1, "de")
+    base = seen.select("label", F.concat_ws(".", "label", "zone").alias("site"), (F.col("user_id") % 40).alias("op"), "day", "zone", (F.col("event_id") % 3 != 0).alias("described"), lang.alias("lang"), "kind")
+    each = base.join(words, "label").select("*", F.posexplode("w").alias("i", "term"))
+    partner = F.when(F.size("w") > 1, F.element_at("w", F.when(F.col("i") == 0, 2).otherwise(F.col("i"))))
+    columns = ["term", "site", "op", "day", "zone", "role", "partner", "described", "lang", "kind"]
+    whole = base.withColumns({"term": F.col("label"), "role": F.lit(None).cast("string"), "partner": F.lit(None).cast("string")}).select(*columns)
+    uses = whole.union(each.withColumns({"role": F.when(F.col("i") == F.size("w") - 1, "head").otherwise("modifier"), "partner": partner}).select(*columns))
+    regs = uses.where((F.col("kind") == "signup") & (F.dayofmonth("day") % 10 != 5)).groupBy("term", "day").agg(F.count("*").alias("n"))
+    return uses.drop("kind"), regs
+
+
+@query("t24_keyword_profiles", f"{KEYWORDS} SELECT term, operators, ops_first, ops_span, recent, prior, described, days_active, days_first, zones, roles, partners, languages, coalesce(rise_raw, -1) AS rise_raw, coalesce(rise, -1) AS rise, share_falling, speculative, organic, is_global, boost, stage FROM profiles")
+def t24_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = keywords.keyword_profiles(*keyword_uses(spark, sf_dir), F.lit(LAST).cast("date"))
+    return found.drop("ops_last", "days_last").fillna(-1, ["rise_raw", "rise"])
+
+
+@query(
+    "t26_ranked_keywords",
+    f"""{KEYWORDS}, nv AS (SELECT term, round(least(1, length(term) / 12), 6) AS score, length(term) <= 4 AS common FROM profiles WHERE operators >= 1),
+bi AS (SELECT term, CAST(operators AS DOUBLE) AS score, row_number() OVER (ORDER BY operators DESC, days_active DESC, term) AS place FROM profiles), tr AS (SELECT term, round(rise * log2(1 + operators) * (days_active / 7) * boost, 4) AS score FROM profiles WHERE rise >= 1.5),
+em AS (SELECT term, nv.score, operators FROM profiles JOIN nv USING (term) WHERE operators >= 2 AND NOT regexp_matches(term, '^[0-9]') AND nv.score > 0 AND term NOT IN (SELECT term FROM bi JOIN nv USING (term) WHERE place <= 30 AND common))
+SELECT 'biggest' AS list, CAST(place AS INTEGER) AS place, term, score FROM bi WHERE place <= 30
+UNION ALL SELECT 'trending', CAST(row_number() OVER (ORDER BY score DESC, term) AS INTEGER), term, score FROM tr QUALIFY row_number() OVER (ORDER BY score DESC, term) <= 30
+UNION ALL SELECT 'emerging', CAST(row_number() OVER (ORDER BY score DESC, operators DESC, term) AS INTEGER), term, score FROM em QUALIFY row_number() OVER (ORDER BY score DESC, operators DESC, term) <= 30""",
+)
+def t26_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profiles = saved(keywords.keyword_profiles(*keyword_uses(spark, sf_dir), F.lit(LAST).cast("date")))
+    novelty = profiles.select("term", F.round(F.least(F.lit(1.0), F.length("term") / 12), 6).alias("score"), (F.length("term") <= 4).alias("common"))
+    return keywords.ranked_keywords(profiles, 30, novelty=novelty)
