@@ -33,13 +33,13 @@ def domain_quality(df: DataFrame) -> DataFrame:
     """
     label, size = F.col("label"), F.length("label")
     count = lambda c: F.coalesce(F.col(c), F.lit(0))
-    digits, hyphens = label.rlike("[0-9]"), F.contains(label, F.lit("-"))
+    bare = df.withColumns({"_digits": label.rlike("[0-9]"), "_hyphens": F.contains(label, F.lit("-")), "_letters": F.regexp_replace(label, "[^a-z]", "")})
+    letters = F.col("_letters")
+    shape = bare.withColumns({"_vowels": F.length(F.regexp_replace(letters, "[^aeiouy]", "")) / F.length(letters), "_run": longest_consonants(label)})  # once a row, not once a use
+    digits, hyphens, vowels, run = F.col("_digits"), F.col("_hyphens"), F.col("_vowels"), F.col("_run")
     zone = F.lit(20)
     for name, points in ZONE_POINTS.items():
         zone = F.when(F.col("zone") == name, points).otherwise(zone)
-    letters = F.regexp_replace(label, "[^a-z]", "")
-    vowels = F.length(F.regexp_replace(letters, "[^aeiouy]", "")) / F.length(letters)
-    run = longest_consonants(label)
     unreadable = F.when(vowels < 0.18, 120).when(vowels < 0.27, 45).otherwise(0) + F.when(run >= 6, 120).when(run >= 5, 45).otherwise(0)
     parts = [
         F.when(size <= 0, 0).otherwise(_steps(size, LENGTH_POINTS, F.greatest(F.lit(0), 25 - (size - 12) * 5))),
@@ -69,7 +69,8 @@ def domain_quality(df: DataFrame) -> DataFrame:
     ]
     why = F.array_join(F.slice(F.array_compact(F.array(*reasons)), 1, 8), "; ")
     quality = F.when(unavailable, 0).otherwise(F.greatest(F.lit(0), total)).cast("long")
-    return df.withColumns({"quality": quality, "reasons": F.when(unavailable, "confirmed unavailable").otherwise(why)})
+    found = shape.withColumns({"quality": quality, "reasons": F.when(unavailable, "confirmed unavailable").otherwise(why)})
+    return found.drop("_digits", "_hyphens", "_letters", "_vowels", "_run")
 
 
 def gem_rank(df: DataFrame) -> DataFrame:

@@ -114,16 +114,14 @@ def filter_movement(rows: DataFrame, *, selection: str | None = None, from_class
 
 def movement_summary(diff: DataFrame, top: int = 40) -> DataFrame:
     """(section, item, n): counts by kind, by class transition, and the ``top`` providers that changed names left or reached."""
-    kinds = diff.groupBy(F.col("kind").alias("item")).agg(F.count("*").alias("n")).withColumn("section", F.lit("kind"))
-    changed = diff.where("kind = 'changed'")
-    moves = changed.groupBy(F.concat_ws(">", "prev_class", "today_class").alias("item")).agg(F.count("*").alias("n")).withColumn("section", F.lit("transition"))
-
-    def leading(column: str, section: str) -> DataFrame:
-        counts = changed.groupBy(F.col(column).alias("item")).agg(F.count("*").alias("n"))
-        return counts.orderBy(F.desc("n"), "item").limit(top).withColumn("section", F.lit(section))
-
-    columns = ["section", "item", "n"]
-    return kinds.select(columns).union(moves.select(columns)).union(leading("prev_key", "lost").select(columns)).union(leading("today_key", "gained").select(columns))
+    item = lambda section, value: F.struct(F.lit(section).alias("section"), value.alias("item"))
+    changed = F.col("kind") == "changed"
+    moves = [("transition", F.concat_ws(">", "prev_class", "today_class")), ("lost", F.col("prev_key")), ("gained", F.col("today_key"))]
+    each = F.array_compact(F.array(item("kind", F.col("kind")), *[F.when(changed, item(section, value)) for section, value in moves]))
+    counts = diff.select(F.explode(each).alias("x")).groupBy("x.section", "x.item").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("section").orderBy(F.desc("n"), "item")
+    leading = counts.where("section IN ('lost', 'gained')").withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).drop("place")
+    return counts.where("section IN ('kind', 'transition')").union(leading)
 
 
 def recover_removed(drops: DataFrame, baseline: DataFrame) -> DataFrame:

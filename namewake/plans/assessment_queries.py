@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import assessment as ops
-from ..operators import derived
+from ..operators import derived, opportunities
 from ..operators.ranking import saved
 from ..sources import market
 from ..sources.market import LISTINGS, NAMES
@@ -231,3 +231,82 @@ def c16_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     observed = daily(seen.where("kind = 'signup'")).select(F.concat(F.upper("label"), F.lit(" ")).alias("keyword"), "day", "n_zones", "new_zones", "zones", F.lit("observed").alias("source"))
     zones = daily(seen.where("kind IN ('purchase', 'click')")).select(F.col("label").alias("keyword"), "day", "n_zones", "new_zones", "zones", F.when(F.length("label") % 2 == 0, "daily-diff").otherwise("observed").alias("source"))
     return derived.merged_trends(observed, zones, 200).withColumn("day", F.col("day").cast("string"))
+
+
+FIELDS = [*opportunities.QUALITY, *opportunities.MOST]
+_ALLOWED = ["candidate", "substitute", "equivalent", None]
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Sighted names as candidates, with their assessed quality, offers and evidence, and the sources that speak of their category; all follows from the names."""
+    seen = market.names(spark, sf_dir).groupBy(F.concat_ws(".", "label", "zone").alias("domain")).agg(F.count("*").alias("current_labels"), F.count_distinct("day").alias("active_days"))
+    now = F.lit(NOW).cast("timestamp")
+    rows = seen.select(
+        "domain",
+        "current_labels",
+        "active_days",
+        *[F.when(_h(60 + i) % 40 != 0, (9 + _h(60 + i) % 12 / 10 - F.when(_h(60 + i) % 17 == 0, 3).otherwise(0)) if f not in opportunities.MOST else _h(60 + i) % 10 / 4).alias(f) for i, f in enumerate(FIELDS)],
+        (F.lit(0.7) + _h(75) % 30 / 100).alias("confidence"),
+        F.when(_h(76) % 20 != 0, (_h(76) % 9 + 1) * 100.0).alias("price"),
+        F.when(_h(77) % 3 == 0, 800.0).alias("max_price"),
+        F.when(_h(78) % 10 != 0, "other.example").alias("substitute"),
+        (_h(79) % 20 * 1000.0).alias("substitute_price"),
+        (_h(80) % 12 * 1000.0).alias("retail_ceiling"),
+        _pick(_ALLOWED, 81).alias("preference"),
+        (_h(82) % 40 / 100 + 0.6).alias("substitute_confidence"),
+        (_h(83) % 60 / 100 + 0.4).alias("substitution_strength"),
+        (_h(84) % 3 == 0).alias("accelerating"),
+        (_h(85) % 30 * 1.0).alias("renewal"),
+        (_h(86) % 110 / 100).alias("fee"),
+        (_h(87) % 100 / 100).alias("probability"),
+        (_h(88) % 30 * 1000.0).alias("sale_price"),
+        _pick(["stated", "stated", "stated", ""], 89).alias("assumptions"),
+        _pick(["available", "listed", "sold"], 90).alias("quote_status"),
+        _pick(["acme", "acme", " "], 91).alias("quote_provider"),
+        F.when(_h(92) % 8 == 0, "x.com").otherwise(F.upper("domain")).alias("quote_domain"),
+        F.when(_h(76) % 20 != 0, (_h(76) % 9 + 1) * 100.0 + F.when(_h(93) % 9 == 0, 1.0).otherwise(0.0)).alias("quote_price"),
+        (now - F.make_dt_interval(hours=_h(94) % 30 - 2)).alias("quoted_at"),
+        (_h(95) % 6 != 0).alias("review_passed"),
+        F.when(_h(96) % 7 == 0, F.array(F.lit("shop"))).otherwise(F.array(F.lit("shop"), F.lit("xyz"))).alias("excluded"),
+        (_h(97) % 40).alias("distinct_labels"),
+        F.when(_h(98) % 9 == 0, "absent").otherwise(F.substring("domain", 1, 3)).alias("token"),
+    )
+    each = rows.select("domain", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    h = lambda i: F.conv(F.substring(F.md5(F.concat("domain", F.col("k").cast("string"))), i, 4), 16, 10).cast("int")
+    sources = each.select(
+        "domain", F.when(h(1) % 5 == 0, "blog").otherwise("primary").alias("kind"), F.when(h(5) % 6 == 0, "vendor").otherwise("category").alias("scope"), F.when(h(9) % 7 == 0, "short").otherwise("a summary that is long enough").alias("summary"),
+        F.concat(F.when(h(13) % 9 == 0, "ftp").otherwise("https"), F.lit("://www.site"), (h(17) % 3).cast("string"), F.lit(".press.example/a")).alias("url"), (now - F.make_dt_interval(days=h(21) % 220)).alias("published_at"),
+    )
+    return rows, sources.withColumn("url", F.replace("url", F.lit(".press.example"), F.lit(".example")))
+
+
+def _field_sql(i: int, f: str) -> str:
+    value = f"{_h_sql(60 + i)} % 10 / 4" if f in opportunities.MOST else f"9 + {_h_sql(60 + i)} % 12 / 10 - CASE WHEN {_h_sql(60 + i)} % 17 = 0 THEN 3 ELSE 0 END"
+    return f"CASE WHEN {_h_sql(60 + i)} % 40 <> 0 THEN CAST({value} AS DOUBLE) END AS {f}"
+
+
+def _array_sql(*tests: tuple[str, str]) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {test} THEN '{name}' END" for test, name in tests) + "], lambda x: x IS NOT NULL)"
+
+
+_OVERALL = "floor((" + " + ".join(f"least({f}, 10) * {w}" for f, (_, w) in opportunities.QUALITY.items()) + ") * 10 * 100 + 0.5) / 100"
+_QUALITY = _array_sql(*[(f"{f} < {least}", f) for f, (least, _) in opportunities.QUALITY.items()], *[(f"{f} > {most}", f) for f, most in opportunities.MOST.items()], ("confidence < 0.8", "confidence"), ("o < 76", "overall"))
+_MISSING = "list_filter([" + ", ".join(f"CASE WHEN {f} IS NULL THEN 'missing:{f}' END" for f in [*FIELDS, "confidence"]) + "], lambda x: x IS NOT NULL)"
+OPPORTUNITIES = f"""WITH {NAMES}, s0 AS (SELECT label || '.' || zone AS domain, count(*) AS current_labels, count(DISTINCT day) AS active_days FROM names GROUP BY 1), ca AS (SELECT *, {", ".join(_field_sql(i, f) for i, f in enumerate(FIELDS))}, 0.7 + CAST({_h_sql(75)} % 30 AS DOUBLE) / 100 AS confidence,
+  CASE WHEN {_h_sql(76)} % 20 <> 0 THEN ({_h_sql(76)} % 9 + 1) * 100e0 END AS price, CASE WHEN {_h_sql(77)} % 3 = 0 THEN 800e0 END AS max_price, {_h_sql(78)} % 10 <> 0 AS has_sub, {_h_sql(79)} % 20 * 1000e0 AS sub, {_h_sql(80)} % 12 * 1000e0 AS ceil_, {_pick_sql(_ALLOWED, 81)} AS preference, {_h_sql(82)} % 40 AS sc, {_h_sql(83)} % 60 AS ss, {_h_sql(84)} % 3 = 0 AS accelerating,
+  {_h_sql(85)} % 30 * 1e0 AS renewal, {_h_sql(86)} % 110 / 100 AS fee, {_h_sql(87)} % 100 / 100 AS probability, {_h_sql(88)} % 30 * 1000e0 AS sale, {_h_sql(89)} % 4 < 3 AS stated, {_h_sql(90)} % 3 < 2 AND {_h_sql(91)} % 3 < 2 AND {_h_sql(92)} % 8 <> 0 AND {_h_sql(76)} % 20 <> 0 AND {_h_sql(93)} % 9 <> 0 AND {_h_sql(94)} % 30 - 2 BETWEEN 0 AND 24 AS quoted,
+  {_h_sql(95)} % 6 <> 0 AS review, {_h_sql(96)} % 7 <> 0 AS no_xyz, {_h_sql(97)} % 40 AS distinct_labels, {_h_sql(98)} % 9 <> 0 AS has_token FROM s0),
+so AS (SELECT domain, k, md5(domain || CAST(k AS VARCHAR)) AS m FROM s0, range(4) r(k)), sn AS (SELECT domain, CAST('0x' || m[1:4] AS INTEGER) % 5 <> 0 AND CAST('0x' || m[5:8] AS INTEGER) % 6 <> 0 AND CAST('0x' || m[9:12] AS INTEGER) % 7 <> 0 AND CAST('0x' || m[13:16] AS INTEGER) % 9 <> 0 AS fine, CAST('0x' || m[17:20] AS INTEGER) % 3 AS site, CAST('0x' || m[21:24] AS INTEGER) % 220 AS age FROM so),
+ad AS (SELECT domain, count(DISTINCT site) AS publishers, min(age) AS newest FROM sn WHERE fine AND age <= 180 GROUP BY 1),
+x AS (SELECT *, {_OVERALL} AS o, {_MISSING} AS missing, CASE WHEN price > 0 AND ceil_ > 0 THEN ceil_ / price END AS up, probability * sale * (1 - fee) - (price + 4 * renewal) AS profit FROM ca LEFT JOIN ad USING (domain)),
+g AS (SELECT domain, CASE WHEN len(missing) > 0 THEN 0 ELSE o END AS overall, CASE WHEN len(missing) > 0 THEN missing ELSE {_QUALITY} END AS q, {_array_sql(("price IS NULL OR price <= 0", "price"), ("max_price <= 0", "maximum"), ("price > max_price", "above-maximum"))} AS b,
+  {_array_sql(("NOT has_sub", "substitute"), ("price IS NULL", "price"), ("sub <= 0", "substitute-price"), ("ceil_ <= 0", "ceiling"), ("preference IS NULL", "preference"), ("sc / 100 + 0.6 < 0.75", "confidence"), ("ss / 100 + 0.4 < 0.6", "strength"), ("preference IN ('substitute', 'equivalent') AND ceil_ > sub", "above-substitute"), ("up < 10", "upside"))} AS s,
+  {_array_sql(("coalesce(publishers, 0) < 2", "publishers"), ("accelerating AND NOT coalesce(newest <= 90, false)", "acceleration"))} AS a, {_array_sql(("NOT quoted", "quote"), ("fee >= 1 OR probability <= 0 OR sale <= 0 OR NOT stated", "assumptions"), ("profit IS NULL OR profit <= 0", "profit"))} AS e,
+  {_array_sql(("NOT review", "review"), ("NOT no_xyz", "xyz"), ("current_labels < 3 OR distinct_labels < 10 OR active_days < 3", "one-off"), ("NOT has_token OR split_part(domain, '.', 2) IN ('xyz', 'shop', 'info')", "vocabulary"))} AS r, floor(up * 100 + 0.5) / 100 AS upside, profit, price, active_days, current_labels, distinct_labels FROM x)"""
+
+
+@query("r6_opportunity_gates", f"{OPPORTUNITIES} SELECT domain, round(overall, 2) AS overall, array_to_string(q, ',') AS quality_reasons, array_to_string(b, ',') AS budget_reasons, array_to_string(s, ',') AS substitute_reasons, array_to_string(a, ',') AS adoption_reasons, array_to_string(e, ',') AS economics_reasons, array_to_string(r, ',') AS registration_reasons, len(q) + len(b) + len(s) + len(a) + len(e) + len(r) = 0 AS passed FROM g")
+def r6_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, sources = candidates(spark, sf_dir)
+    found = opportunities.ranked_opportunities(saved(rows), sources, F.lit(NOW).cast("timestamp"))
+    return found.select("domain", F.round("overall", 2).alias("overall"), *[F.array_join(f"{g}_reasons", ",").alias(f"{g}_reasons") for g in ("quality", "budget", "substitute", "adoption", "economics", "registration")], "passed")
