@@ -125,3 +125,13 @@ def sibling_evidence(df: DataFrame, taken: DataFrame, covered: DataFrame, zones:
     wanted = df.select("label").distinct().select("label", F.explode(F.array(*[F.lit(z) for z in zones])).alias("zone"))
     rows = wanted.join(taken.select("label", "zone", F.lit(True).alias("seen")).distinct(), ["label", "zone"], "left").join(covered.select("zone", F.lit(True).alias("whole")).distinct(), "zone", "left")
     return rows.select("label", "zone", F.when(F.col("seen"), "taken").when(F.col("whole"), "not_taken").otherwise("unknown").alias("state"))
+
+
+def sibling_matches(evidence: DataFrame, zones: Sequence[str], *, mode: str = "taken", match: str = "all") -> DataFrame:
+    """(label) of ``evidence`` (label, zone, state) whose states in ``zones`` fit: ``mode`` taken or not_taken in ``all`` or ``any`` of them, or ``any`` for none unknown. Labels without a state for each zone don't fit; no zones fit all."""
+    if not zones:
+        return evidence.select("label").distinct()
+    wanted = F.col("state") != "unknown" if mode == "any" else F.col("state") == mode
+    once = evidence.where(F.col("zone").isin(*zones)).groupBy("label", "zone").agg(F.max(wanted).alias("fits"))
+    counts = once.groupBy("label").agg(F.count("*").alias("n"), F.count_if("fits").alias("hits")).where(F.col("n") == len(set(zones)))
+    return counts.where(F.col("hits") >= (1 if match == "any" and mode != "any" else F.col("n"))).select("label")

@@ -147,3 +147,16 @@ def merged_trends(observed: DataFrame, zones: DataFrame, limit: int) -> DataFram
     found = rows.groupBy("keyword").agg(F.max("day").alias("day"), F.max("n_zones").alias("n_zones"), F.max("new_zones").alias("new_zones"), F.max_by("zones", newest).alias("zones"), F.sort_array(F.collect_set(own)).alias("sources"))
     named = found.select("keyword", "day", "n_zones", "new_zones", "zones", F.array_join(F.array_distinct(F.transform("sources", lambda s: s["source"])), "+").alias("source"))
     return named.orderBy(F.desc("day"), F.desc("new_zones"), F.desc("n_zones"), "keyword").limit(limit)
+
+
+def facet_counts(rows: DataFrame, facets: Mapping[str, Column]) -> DataFrame:
+    """(facet, value, n): how many rows have each value of each facet, in one pass; unknown values are left out."""
+    each = F.array_compact(F.array(*[F.when(value.isNotNull(), F.struct(F.lit(name).alias("facet"), value.cast("string").alias("value"))) for name, value in facets.items()]))
+    return rows.select(F.explode(each).alias("x")).groupBy("x.facet", "x.value").agg(F.count("*").alias("n"))
+
+
+def split_counts(words: DataFrame, most: int = 3) -> DataFrame:
+    """(words, n, share): how many labels (label, n_words; 0 or null for invented ones) are made of one word, two ... up to ``most``, and of none."""
+    made = F.when(F.coalesce("n_words", F.lit(0)).between(1, most), F.col("n_words").cast("string")).otherwise("invented")
+    counts = words.groupBy(made.alias("words")).agg(F.count("*").alias("n"))
+    return counts.join(F.broadcast(counts.agg(F.sum("n").alias("all")))).select("words", "n", F.round(F.col("n") / F.col("all"), 6).alias("share"))  # a row for each number

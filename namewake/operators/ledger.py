@@ -280,6 +280,16 @@ def literal_search(docs: DataFrame, q: str, columns: Mapping[str, str], around:
     return docs.withColumns({"match": match, "excerpt": excerpt}).where("match is not null")
 
 
+def ranked_literal_search(docs: DataFrame, q: str, columns: Mapping[str, str], *, junk: str, around: int = 30) -> DataFrame:
+    """``literal_search`` with ``rank``, the number of the first of ``columns`` that has the words; rows with ``junk`` set are found by the first column only."""
+    hidden = F.coalesce(F.col(junk), F.lit(False))
+    first, *rest = columns.items()
+    seen = docs.withColumns({f"_{name}": F.when(~hidden, F.col(column)) for name, column in rest})
+    found = literal_search(seen, q, {first[0]: first[1], **{name: f"_{name}" for name, _ in rest}}, around)
+    rank = F.array_position(F.array(*[F.lit(name) for name in columns]), F.col("match")) - 1
+    return found.withColumn("rank", rank.cast("int")).drop(*[f"_{name}" for name, _ in rest])
+
+
 WARNINGS = {"number": "[0-9]", "hyphen": "-", "repeated letters": r"(.)\1\1", "hard consonant run": "[^aeiou]{6,}"}
 
 

@@ -146,6 +146,13 @@ def keyword_rise(seen: DataFrame, *, recent: int = 3, prior: int = 7, least: int
     return terms.join(F.broadcast(totals)).select("term", "recent_ops", "prior_ops", F.when(F.col("have") >= recent + prior, F.round(rise, 6)).alias("rise"))
 
 
+def token_sources(events: DataFrame, start: Column, end: Column, token: str = "token") -> DataFrame:
+    """(token, domains, sources, busiest): the different domains of a token's events in a range, the sources that tell of them, and the source with most domains (the first by name of equals)."""
+    once = events.where(F.col("day").between(start, end)).select(token, "domain", "source").distinct()
+    by_source = once.groupBy(token, "source").agg(F.count("*").alias("n")).groupBy(token).agg(F.array_join(F.sort_array(F.collect_list("source")), ",").alias("sources"), F.min(F.struct((-F.col("n")).alias("down"), "source"))["source"].alias("busiest"))
+    return once.groupBy(token).agg(F.count_distinct("domain").alias("domains")).join(by_source, token)
+
+
 def span_delta(old: DataFrame, new: DataFrame, key: str, *, rising: float = 1.5, fading: float = 0.6) -> DataFrame:
     """(key, old_n, new_n, ratio, trend): shares per thousand of two spans compared; one occurrence is added to either count."""
     a, b = old.groupBy(key).agg(F.count("*").alias("old_n")), new.groupBy(key).agg(F.count("*").alias("new_n"))

@@ -139,6 +139,13 @@ def universe_summary(labels: DataFrame, *, min_zones: int = 2, anchors: tuple[st
     return every.where((F.col("n_zones") >= min_zones) | single).select("label", "n_zones", "zones")
 
 
+def universe_totals(labels: DataFrame, *, min_zones: int = 2) -> DataFrame:
+    """(zone, labels, shared, alone): the different labels of each zone, those in ``min_zones`` zones or more, and those of this zone only."""
+    once = labels.select("label", "zone").distinct()
+    spread = once.groupBy("label").agg(F.count("*").alias("n"))
+    return once.join(spread, "label").groupBy("zone").agg(F.count("*").alias("labels"), F.count_if(F.col("n") >= min_zones).alias("shared"), F.count_if(F.col("n") == 1).alias("alone"))
+
+
 def seller_delegations(records: DataFrame, providers: DataFrame) -> DataFrame:
     """(name, host, provider): the first host of each name, in order, that is a provider's or below it."""
     labels = F.split("host", r"\.")

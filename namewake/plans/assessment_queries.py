@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import assessment as ops
-from ..operators import derived, opportunities
+from ..operators import coverage, derived, ledger, opportunities, trends
+from ..operators import zones as zone_ops
 from ..operators.ranking import saved
+from ..operators.themes import name_words
 from ..sources import market
 from ..sources.market import LISTINGS, NAMES
+from .name_queries import dictionary
 from .registry import query
 
 NOW = "2024-01-30 12:00:00"
@@ -310,3 +313,59 @@ def r6_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, sources = candidates(spark, sf_dir)
     found = opportunities.ranked_opportunities(saved(rows), sources, F.lit(NOW).cast("timestamp"))
     return found.select("domain", F.round("overall", 2).alias("overall"), *[F.array_join(f"{g}_reasons", ",").alias(f"{g}_reasons") for g in ("quality", "budget", "substitute", "adoption", "economics", "registration")], "passed")
+
+
+EVIDENCE = "t AS (SELECT DISTINCT label, zone FROM names), c AS (SELECT zone FROM names GROUP BY 1 HAVING max(event_id) % 2 = 0), e AS (SELECT l.label, z.zone, CASE WHEN t.label IS NOT NULL THEN 'taken' WHEN c.zone IS NOT NULL THEN 'not_taken' ELSE 'unknown' END AS state FROM (SELECT DISTINCT label FROM names) l CROSS JOIN (SELECT unnest(['com', 'net', 'ai', 'io']) AS zone) z LEFT JOIN t ON t.label = l.label AND t.zone = z.zone LEFT JOIN c ON c.zone = z.zone)"
+
+
+@query(
+    "b12_sibling_matches",
+    f"WITH {NAMES}, {EVIDENCE}, g AS (SELECT label, count(*) FILTER (WHERE state = 'taken') AS t, count(*) FILTER (WHERE state = 'not_taken') AS n, count(*) FILTER (WHERE state <> 'unknown') AS k FROM e WHERE zone IN ('com', 'ai') GROUP BY 1) SELECT label, 'all taken' AS rule FROM g WHERE t = 2 UNION ALL SELECT label, 'any taken' FROM g WHERE t >= 1 UNION ALL SELECT label, 'all free' FROM g WHERE n = 2 UNION ALL SELECT label, 'any free' FROM g WHERE n >= 1 UNION ALL SELECT label, 'known' FROM g WHERE k = 2",
+)
+def b12_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = market.names(spark, sf_dir)
+    covered = seen.groupBy("zone").agg(F.max("event_id").alias("m")).where("m % 2 = 0")
+    evidence = saved(coverage.sibling_evidence(seen, seen, covered, ["com", "net", "ai", "io"]))
+    rules = {"all taken": ("taken", "all"), "any taken": ("taken", "any"), "all free": ("not_taken", "all"), "any free": ("not_taken", "any"), "known": ("any", "all")}
+    found = [coverage.sibling_matches(evidence, ["com", "ai"], mode=mode, match=match).withColumn("rule", F.lit(rule)) for rule, (mode, match) in rules.items()]
+    every = found[0]
+    for more in found[1:]:
+        every = every.union(more)
+    return every
+
+
+@query("d1_universe_totals", f"WITH {NAMES}, o AS (SELECT DISTINCT label, zone FROM names), s AS (SELECT label, count(*) AS n FROM o GROUP BY 1) SELECT zone, count(*) AS labels, count(*) FILTER (WHERE n >= 2) AS shared, count(*) FILTER (WHERE n = 1) AS alone FROM o JOIN s USING (label) GROUP BY 1")
+def d1_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zone_ops.universe_totals(market.names(spark, sf_dir))
+
+
+@query(
+    "d7_token_sources",
+    f"WITH {NAMES}, o AS (SELECT DISTINCT label AS token, label || '.' || zone AS domain, host AS source FROM names WHERE day BETWEEN DATE '2024-01-10' AND DATE '2024-01-30'), s AS (SELECT token, source, count(*) AS n FROM o GROUP BY 1, 2) SELECT token, count(DISTINCT domain) AS domains, (SELECT string_agg(source, ',' ORDER BY source) FROM s WHERE s.token = o.token) AS sources, (SELECT arg_min(source, {{'d': -n, 's': source}}) FROM s WHERE s.token = o.token) AS busiest FROM o GROUP BY 1",
+)
+def d7_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = market.names(spark, sf_dir).select(F.col("label").alias("token"), F.concat_ws(".", "label", "zone").alias("domain"), F.col("host").alias("source"), "day")
+    return trends.token_sources(events, F.lit("2024-01-10").cast("date"), F.lit("2024-01-30").cast("date"))
+
+
+@query("d13_facet_counts", f"{SHOWN}, v AS (SELECT unnest([{{'facet': 'day', 'value': CAST(departed AS VARCHAR)}}, {{'facet': 'class', 'value': classification}}, {{'facet': 'tape', 'value': tape}}, {{'facet': 'basis', 'value': nullif(basis, '')}}]) AS x FROM taped) SELECT x.facet AS facet, x.value AS value, count(*) AS n FROM v WHERE x.value IS NOT NULL GROUP BY 1, 2")
+def d13_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = derived.derive(shown(spark, sf_dir))
+    return derived.facet_counts(rows, {"day": F.col("departed"), "class": F.col("classification"), "tape": F.col("tape"), "basis": F.col("basis")})
+
+
+@query(
+    "d13_split_counts",
+    f"WITH {NAMES}, d AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS e FROM part), p AS (SELECT DISTINCT a.e || b.e AS stem FROM d a, d b), l AS (SELECT DISTINCT label FROM names), k AS (SELECT CASE WHEN p.stem IS NOT NULL THEN '2' ELSE 'invented' END AS words FROM l LEFT JOIN p ON p.stem = replace(regexp_replace(label, '[0-9]*$', ''), '-', '')) SELECT words, count(*) AS n, round(count(*) / (SELECT count(*) FROM k), 6) AS share FROM k GROUP BY 1",
+)
+def d13_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.split_counts(name_words(market.names(spark, sf_dir), dictionary(spark, sf_dir)))
+
+
+@query(
+    "t31_ranked_search",
+    r"WITH d AS (SELECT doc_id, source AS name, left(text, 60) AS title, lang AS description, text AS body, doc_id % 5 = 0 AS junk FROM documents), m AS (SELECT doc_id, junk, [regexp_matches(coalesce(name, ''), p), regexp_matches(coalesce(title, ''), p), regexp_matches(coalesce(description, ''), p), regexp_matches(coalesce(body, ''), p)] AS h FROM d, (SELECT '(?i)(^|[^A-Za-z0-9_])of[^A-Za-z0-9]+the([^A-Za-z0-9_]|$)' AS p)) SELECT doc_id, CASE WHEN h[1] THEN 'name' WHEN h[2] THEN 'title' WHEN h[3] THEN 'description' ELSE 'body' END AS match, CASE WHEN h[1] THEN 0 WHEN h[2] THEN 1 WHEN h[3] THEN 2 ELSE 3 END AS rank FROM m WHERE h[1] OR NOT junk AND (h[2] OR h[3] OR h[4])",
+)
+def t31_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = market.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("name"), F.substring("text", 1, 60).alias("title"), F.col("lang").alias("description"), F.col("text").alias("body"), (F.col("doc_id") % 5 == 0).alias("junk"))
+    return ledger.ranked_literal_search(docs, "of the", {"name": "name", "title": "title", "description": "description", "body": "body"}, junk="junk").select("doc_id", "match", "rank")

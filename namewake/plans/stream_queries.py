@@ -262,3 +262,11 @@ def k10_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k10_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = ops.drain(ops.window_counts(name_stream(spark, sf_dir), "burst", "label"), "complete")
     return counts.select("label", F.unix_micros("start").alias("start_us"), "n")
+
+
+@query("k3_registrable_stream", f"{W}, {STREAM} SELECT event_id, label || '.' || zone AS registrable FROM st WHERE zone IN ('com', 'io', 'dev')")
+def k3_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suffixes = spark.createDataFrame([("com",), ("io",), ("dev",)], "suffix string")
+    name = F.concat(F.when(F.col("event_id") % 2 == 0, "*.").otherwise("www."), "label", F.lit("."), "zone")
+    seen = name_stream(spark, sf_dir).select("event_id", name.alias("name"))
+    return ops.drain(ops.registrable(seen, suffixes).select("event_id", "registrable"))
