@@ -72,6 +72,18 @@ def validate_snapshot(df: DataFrame, key: Sequence[str], time: str, *, least: in
     return total.select("n", "duplicates", F.round(F.col("t") / F.greatest(n, F.lit(1)), 6).alias("timed"), verdict.alias("verdict"))
 
 
+def snapshot_health(meta: DataFrame, now: Column, *, most_hours: float = 1.0, least: int = 1) -> DataFrame:
+    """Adds ``status`` (missing, invalid, stale, current) and ``age_hours`` to snapshots (generated_at, verified_at, count).
+
+    Missing without a time, invalid under ``least`` rows, stale once its time is over ``most_hours`` ago: that of the newest proof that it is unchanged, else that of its making. A time in
+    the future has the age 0; a null count is 0.
+    """
+    seen = F.coalesce("verified_at", "generated_at")
+    age = F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(seen)) / 3_600_000_000)
+    status = F.when(F.col("generated_at").isNull(), "missing").when(F.coalesce("count", F.lit(0)) < least, "invalid").when(age > most_hours, "stale").otherwise("current")
+    return meta.withColumns({"status": status, "age_hours": F.when(F.col("generated_at").isNotNull(), F.round(age, 6))})
+
+
 def gate_observation(df: DataFrame, by: str, *, least: int = 50, most_unknown: float = 0.05, most_lost: float = 0.2) -> DataFrame:
     """(by, n, unknown, lost, passed) from rows with ``result``."""
     rows = df.groupBy(by).agg(F.count("*").alias("n"), F.count_if(F.col("result") == "unknown").alias("unknown"), F.count_if(F.col("result") == "lost").alias("lost"))

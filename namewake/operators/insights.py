@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,10 +11,6 @@ from pyspark.sql.window import Window
 from .ranking import saved
 from .trends import ZERO_WEIGHT
 
-# Words that registrations have known for long.
-ESTABLISHED = "app apps cloud crypto bitcoin startup software online digital tech technology website gaming marketing".split()
-
-
 def freshness(
     imports: DataFrame,
     departures: DataFrame,
@@ -81,15 +79,15 @@ def tape_facts(entries: DataFrame, facts: list[str], tie: str) -> DataFrame:
     return entries.where("likely").where(good).groupBy(label.alias("label")).agg(best.alias("f")).select("label", "f.*")
 
 
-def emerging(terms: DataFrame, common: DataFrame) -> DataFrame:
+def emerging(terms: DataFrame, common: DataFrame, established: Sequence[str] = ()) -> DataFrame:
     """(term, novelty, score): novelty x adoption x widening x frontier of terms (term, operators, per_million, presence, established, roles,
     partners, zones, frontier_share).
 
     ``common`` (word, rank) are the words of common language; a word outside it is wholly new. Terms of under two operators, established ones and
-    phrases of established words only score 0. A null per_million is a term that registrations have never had.
+    phrases of ``established`` words only score 0. A null per_million is a term that registrations have never had.
     """
     words = terms.select("term", F.explode(F.split("term", " ")).alias("word")).join(common, "word", "left")
-    known = F.col("word").isin(*ESTABLISHED)
+    known = F.col("word").isin(*established, "")
     one = F.when(known, 0.02).when(F.col("rank").isNull(), 1.0).otherwise(F.least(F.lit(1.0), 0.02 + F.pow(F.col("rank") / 10000, F.lit(1.5))))
     lexical = words.groupBy("term").agg(F.exp(F.sum(F.log(one))).alias("product"), F.count("*").alias("n_words"), F.bool_and(known).alias("old"))
     rows = terms.join(lexical, "term")

@@ -162,7 +162,8 @@ def sold_words(segments: DataFrame, top: int = 50) -> DataFrame:
 # References that titles hold, and residues of titles that name no template.
 ENTITIES = {"&ndash;": "–", "&mdash;": "—", "&amp;": "&", "&nbsp;": " ", "&#8211;": "–", "&#8212;": "—", "&#39;": "'", "&quot;": '"'}
 GENERIC_RESIDUES = ["home", "homepage", "welcome", "index", "official site", "official website", "coming soon", "under construction", "untitled", "new site", "my site", "site"]
-EDGES = r"^[-–—|:·•~/\\,.\s]+|[-–—|:·•~/\\,.\s]+$"
+_EDGE = r"[\s\p{Pd}|/\\•·~:.,]"  # white space, dashes, bars, slashes, bullets and stops
+EDGES = f"^{_EDGE}+|{_EDGE}+$"
 
 
 def adoption_kits(cands: DataFrame, now: Column, *, days: int = 30, least: int = 3) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 # Points of the quality score.
 ZONE_POINTS = {"com": 120, "ai": 95, "sh": 80, "io": 75, "net": 55, "org": 50, "bot": 45, "dev": 45, "app": 40, "co": 35}
 LENGTH_POINTS = [(3, 170), (4, 150), (5, 130), (6, 110), (8, 85), (10, 60), (12, 35)]
-# Words of terms that are noise.
+# Words of terms that are noise: a short list of the library's own, which callers replace.
 LEXICON = ["casino", "poker", "slots", "betting", "porn", "xxx", "escort"]
 
 
@@ -104,15 +104,15 @@ def availability_gap(df: DataFrame, now: Column, hours: int = 48) -> DataFrame:
     return df.withColumn("com_state", F.when(free, "confirmed-available").when(taken, "taken").otherwise("unknown"))
 
 
-def term_signal(df: DataFrame, zero_weight: Sequence[str], curated: Sequence[str], bulk_zones: int = 12) -> DataFrame:
+def term_signal(df: DataFrame, zero_weight: Sequence[str], curated: Sequence[str], bulk_zones: int = 12, lexicon: Sequence[str] = LEXICON) -> DataFrame:
     """Adds ``signal`` to (term, zones): noise, mixed or quality.
 
-    Noise: a word of the lexicon, half digits, spread over many zones of which most are not curated, or digits in gibberish.
+    Noise: a word of the ``lexicon``, half digits, spread over many zones of which most are not curated, or digits in gibberish.
     """
     term = F.lower("term")
     digits = F.length(F.regexp_replace(term, "[^0-9]", "")) / F.greatest(F.length(term), F.lit(1))
     gibberish = (F.length(term) < 3) | term.rlike(r"(.)\1\1") | ~term.rlike("[aeiouy]")
-    lexicon = F.exists(F.array(*[F.lit(w) for w in LEXICON]), lambda w: F.contains(term, w))
+    lexicon = F.exists(F.array(*[F.lit(w) for w in lexicon]), lambda w: F.contains(term, w))
     weighted = F.filter("zones", lambda z: ~z.isin(*zero_weight))
     others = F.size(F.filter(weighted, lambda z: ~z.isin(*curated)))
     bulk = (F.size(weighted) >= bulk_zones) & (others > F.size(weighted) / 2)

@@ -215,3 +215,9 @@ def buyer_stats(members: DataFrame, theme: str, buyer: str) -> DataFrame:
     counts = members.groupBy(theme, buyer).agg(F.count("*").alias("n"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy(theme))
     return counts.withColumn("share", share).groupBy(theme).agg(F.count("*").alias("buyers"), F.round(F.max("share"), 6).alias("top_share"), F.round(1 - F.sum(F.col("share") * F.col("share")), 6).alias("independence"))
+
+
+def built_counts(members: DataFrame, theme: str, built: Column) -> DataFrame:
+    """(theme, labels, built): a theme's different members and how many of them are built upon, by any of their rows."""
+    each = members.groupBy(theme, "label").agg(F.max(F.coalesce(built, F.lit(False))).alias("built"))
+    return each.groupBy(theme).agg(F.count("*").alias("labels"), F.count_if("built").alias("built"))

@@ -369,3 +369,21 @@ def d13_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t31_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = market.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("name"), F.substring("text", 1, 60).alias("title"), F.col("lang").alias("description"), F.col("text").alias("body"), (F.col("doc_id") % 5 == 0).alias("junk"))
     return ledger.ranked_literal_search(docs, "of the", {"name": "name", "title": "title", "description": "description", "body": "body"}, junk="junk").select("doc_id", "match", "rank")
+
+
+@query(
+    "d23_snapshot_health",
+    f"WITH {NAMES}, m AS (SELECT zone, CASE WHEN zone <> 'xyz' THEN max(ts) END AS g, CASE WHEN length(zone) = 2 THEN max(ts) + INTERVAL 5 HOUR END AS v, count(*) FILTER (WHERE kind = 'purchase' AND zone <> 'net') AS n FROM names GROUP BY zone), a AS (SELECT zone, g, n, greatest(0, (epoch_us(TIMESTAMP '2024-01-31 00:30:00') - epoch_us(coalesce(v, g))) / 3600000000) AS age FROM m) SELECT zone, CASE WHEN g IS NULL THEN 'missing' WHEN n < 1 THEN 'invalid' WHEN age > 1 THEN 'stale' ELSE 'current' END AS status, coalesce(CASE WHEN g IS NOT NULL THEN round(age, 6) END, -1) AS age_hours FROM a",
+)
+def d23_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = market.names(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    meta = seen.groupBy("zone").agg(F.max("ts").alias("last"), F.count_if((F.col("kind") == "purchase") & (F.col("zone") != "net")).alias("count"))
+    meta = meta.select("zone", F.when(F.col("zone") != "xyz", F.col("last")).alias("generated_at"), F.when(F.length("zone") == 2, F.col("last") + F.expr("INTERVAL 5 HOURS")).alias("verified_at"), "count")
+    found = coverage.snapshot_health(meta, F.lit("2024-01-31 00:30:00").cast("timestamp"))
+    return found.select("zone", "status", F.coalesce("age_hours", F.lit(-1.0)).alias("age_hours"))
+
+
+@query("d16_built_counts", f"WITH {NAMES}, e AS (SELECT regexp_extract(label, '^[a-z]{{4}}') AS theme, label, bool_or(kind = 'signup') AS b FROM names GROUP BY label) SELECT theme, count(*) AS labels, count(*) FILTER (WHERE b) AS built FROM e GROUP BY 1")
+def d16_built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = market.names(spark, sf_dir).select(F.regexp_extract("label", "^[a-z]{4}", 0).alias("theme"), "label", "kind")
+    return trends.built_counts(members, "theme", F.col("kind") == "signup")

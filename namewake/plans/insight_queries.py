@@ -68,13 +68,13 @@ def t21_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 TERMS = f"""k AS (SELECT n.user_id, n.zone, n.day, n.kind, s.label, list_filter(pieces, lambda p: p <> '?') AS w FROM names n JOIN segments s USING (label)), t AS (SELECT user_id, zone, day, kind, unnest(w) AS term, w FROM k UNION ALL SELECT user_id, zone, day, kind, array_to_string(w, ' '), w FROM k WHERE len(w) = 2),
 f AS (SELECT term, count(DISTINCT user_id) AS operators, 1e6 * count(*) / (SELECT count(*) FROM names) AS per_million, count(DISTINCT day) / (SELECT count(DISTINCT day) FROM names) AS presence, count(DISTINCT kind) AS roles, count(DISTINCT array_to_string(w, ' ')) AS partners, count(DISTINCT zone) AS zones, count(*) FILTER (WHERE zone IN ('ai', 'io')) / count(*) AS frontier_share FROM t GROUP BY 1),
 c AS (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) * 100 AS rank FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS word FROM part) GROUP BY 1 QUALIFY row_number() OVER (ORDER BY count(*) DESC, word) <= 10),
-lx AS (SELECT term, exp(sum(ln(CASE WHEN rank IS NULL THEN 1e0 ELSE least(1e0, 0.02 + pow(rank / 10000, 1.5)) END))) AS product, count(*) AS n FROM (SELECT term, unnest(string_split(term, ' ')) AS word FROM f) LEFT JOIN c USING (word) GROUP BY 1)"""
+lx AS (SELECT term, exp(sum(ln(CASE WHEN word IN ('ring', 'rod', 'new') THEN 0.02 WHEN rank IS NULL THEN 1e0 ELSE least(1e0, 0.02 + pow(rank / 10000, 1.5)) END))) AS product, bool_and(word IN ('ring', 'rod', 'new')) AS old, count(*) AS n FROM (SELECT term, unnest(string_split(term, ' ')) AS word FROM f) LEFT JOIN c USING (word) GROUP BY 1)"""
 
 
 @query(
     "t25_emerging",
     f"""{WR}, {TERMS}, x AS (SELECT *, (1 / (1 + log10(1 + per_million))) * (1 - 0.7 * presence) * CASE WHEN n = 1 THEN product ELSE sqrt(product) END AS novelty FROM f JOIN lx USING (term))
-SELECT term, round(novelty, 6) AS novelty, CASE WHEN operators < 2 THEN 0e0 ELSE round(novelty * log2(1 + operators) * (1 + CASE WHEN roles >= 2 THEN 0.4 ELSE 0 END + least(partners, 10) * 0.05 + CASE WHEN zones >= 2 THEN 0.3 ELSE 0 END) * (1 + 1.5 * frontier_share), 4) END AS score FROM x""",
+SELECT term, round(novelty, 6) AS novelty, CASE WHEN operators < 2 OR old OR presence >= 0.99 THEN 0e0 ELSE round(novelty * log2(1 + operators) * (1 + CASE WHEN roles >= 2 THEN 0.4 ELSE 0 END + least(partners, 10) * 0.05 + CASE WHEN zones >= 2 THEN 0.3 ELSE 0 END) * (1 + 1.5 * frontier_share), 4) END AS score FROM x""",
 )
 def t25(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = market.names(spark, sf_dir)
@@ -86,10 +86,10 @@ def t25(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_distinct("user_id").alias("operators"), F.count("*").alias("n"), F.count_distinct("day").alias("active"), F.count_distinct("kind").alias("roles"), F.count_distinct(F.array_join("w", " ")).alias("partners"),
         F.count_distinct("zone").alias("zones"), (F.count_if(F.col("zone").isin("ai", "io")) / F.count("*")).alias("frontier_share"),
     )
-    facts = facts.join(F.broadcast(totals)).withColumns({"per_million": 1e6 * F.col("n") / F.col("all"), "presence": F.col("active") / F.col("days"), "established": F.lit(False)})  # one row
+    facts = facts.join(F.broadcast(totals)).withColumns({"per_million": 1e6 * F.col("n") / F.col("all"), "presence": F.col("active") / F.col("days"), "established": F.col("active") / F.col("days") >= 0.99})  # one row
     words = market.table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     common = words.orderBy(F.desc("n"), "word").limit(10).select("word", (F.row_number().over(ops.Window.orderBy(F.desc("n"), "word")) * 100).alias("rank"))
-    return ops.emerging(facts, common)
+    return ops.emerging(facts, common, ["ring", "rod", "new"])
 
 
 @query("t16_brand_families")
