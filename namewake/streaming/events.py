@@ -152,9 +152,11 @@ def roster_snapshot(events: DataFrame, *, key: str = "label", retire_after: int
 
 def earlier_days(departures: DataFrame, sightings: DataFrame, *, key: str = "label", gap: int = 3, late: str = "2 days") -> DataFrame:
     """(key, day, late_day): sightings of a key up to ``gap`` days before the day of its departure, as a join of two streams (key, ts). Either side waits
-    in state only as long as the other may still bring a match."""
-    gone = departures.withWatermark("ts", late).select(F.col(key), F.col("ts").alias("gone_at"))
-    seen = sightings.withWatermark("ts", late).select(F.col(key).alias("_key"), F.col("ts").alias("seen_at"))
+    in state only as long as the other may still bring a match. Of a key's departures or sightings of one day the first to come stands for all: they have
+    the same matches by day, and a busy key would otherwise meet itself in all pairs. A day's later rows come within the delay or are too late for the join as well."""
+    once = lambda rows: rows.withWatermark("ts", late).withColumn("_day", F.to_date("ts")).dropDuplicatesWithinWatermark([key, "_day"])
+    gone = once(departures).select(F.col(key), F.col("ts").alias("gone_at"))
+    seen = once(sightings).select(F.col(key).alias("_key"), F.col("ts").alias("seen_at"))
     near = (F.col("seen_at") >= F.col("gone_at") - F.expr(f"INTERVAL {gap + 1} DAYS")) & (F.col("seen_at") <= F.col("gone_at"))
     fits = F.date_diff(F.to_date("gone_at"), F.to_date("seen_at")).between(1, gap)
     found = gone.join(seen, (F.col(key) == F.col("_key")) & near & fits)

@@ -169,3 +169,11 @@ def test_only_changed_days_are_taken_anew(spark, tmp_path):
     assert {f for f in before if "day=2024-01-02" not in f} <= files()
     assert spark.read.parquet(target).where("day = '2024-01-02'").count() == 8
     assert {r.day: r.imports for r in reimport.imported(spark, manifest).collect()} == {"2024-01-01": 1, "2024-01-02": 2, "2024-01-03": 1, "2024-01-04": 1, "2024-01-09": 1}
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_a_busy_key_meets_itself_once_a_day(spark, tmp_path, files):
+    rows = [(i, at(24 * day + i % 24), "a", fact, None) for i in range(48) for day, fact in ((8, "seen"), (9, "seen"), (10, "gone"))]
+    stream = as_stream(spark, tmp_path, rows, files)
+    found = events.drain(events.earlier_days(stream.where("fact = 'gone'"), stream.where("fact = 'seen'"), late="9 days"))
+    assert sorted((str(r.day), str(r.late_day)) for r in found.collect()) == [("2024-01-11", "2024-01-09"), ("2024-01-11", "2024-01-10")]
