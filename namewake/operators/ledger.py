@@ -55,10 +55,15 @@ def receive(spark: SparkSession, table: str, receipts: str, df: DataFrame, keys:
 
 
 def receipt(df: DataFrame, keys: Sequence[str], day: str = "day") -> DataFrame:
-    """(day, n, digest): a digest of a day's rows that does not depend on their order; equal rows count each."""
+    """(day, n, digest): a digest of a day's rows that does not depend on their order; equal rows count each.
+
+    It is the sum of a 48-bit hash of each row modulo 2**64, as a signed number: the plain sum while that fits into a long, whatever the number of rows.
+    """
     row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys]), 256)
-    part = F.conv(F.substring(row, 1, 12), 16, 10).cast("long")
-    return df.groupBy(day).agg(F.count("*").alias("n"), F.sum(part).alias("digest"))
+    part = F.conv(F.substring(row, 1, 12), 16, 10).cast("decimal(20,0)")
+    full, half = (F.lit(str(2**bits)).cast("decimal(38,0)") for bits in (64, 63))
+    digest = F.pmod(F.col("total") + half, full) - half
+    return df.groupBy(day).agg(F.count("*").alias("n"), F.sum(part).alias("total")).select(day, "n", digest.cast("long").alias("digest"))
 
 
 def prune(df: DataFrame, today: Column, keep_days: int, day: str = "day") -> DataFrame:

@@ -76,3 +76,16 @@ def test_labels_grow_with_the_tables(spark):
 
     small, large = (market.names(spark, f"/root/testdata/sf{sf}").select("label").distinct().count() for sf in ("0.001", "0.1"))
     assert large > 10 * small
+
+
+def test_the_receipt_of_a_day_of_many_rows(spark):
+    import hashlib
+
+    part = lambda label: int(hashlib.sha256(f"{label}\x1fcom".encode()).hexdigest()[:12], 16)
+    heavy = max((f"label{i}" for i in range(50)), key=part)
+    n = (1 << 63) // part(heavy) + 2  # the plain sum is just too large for a long
+    days = spark.range(n).select(F.lit("2024-01-05").cast("date").alias("day"), F.lit(heavy).alias("label"), F.lit("com").alias("zone"))
+    got = ledger.receipt(days, ["label", "zone"]).first()
+    assert got.n == n and got.digest == (n * part(heavy) + (1 << 63)) % (1 << 64) - (1 << 63) < 0
+    table, receipts = (ledger.shared_path(spark, name) for name in ("days", "receipts"))
+    assert [ledger.receive(spark, table, receipts, rows, ["label", "zone"]).first().verdict for rows in (days, days, days.limit(n - 1))] == ["new", "same", "refused"]
