@@ -13,6 +13,7 @@ is within two bits of both, so each member is joined on the values around it.
 Similar texts may differ in any number of SimHash bits. Where a Jaccard similarity is asked for, ``bands`` searches by
 MinHash instead: a permutation's least shingle is the same in two texts with the probability of their similarity, however
 short they are, so the chance that some band agrees whole is known for each similarity. The lanes are then one bit of each minimum.
+``more_bands`` keeps SimHash and adds such bands to its blocks as further candidates; fingerprints and their Hamming distance then decide what is compared exactly.
 """
 
 from __future__ import annotations
@@ -44,9 +45,9 @@ def shingle_hashes(text: str | None, words: int, seed: int) -> list[int]:
     return [digest(joined[a:b], seed) for a, b in spans]
 
 
-def fingerprint(hashes: list[int]) -> int:
+def fingerprint(hashes: list[int] | np.ndarray) -> int:
     """A bit is 1 if it is set in over half of the hashes; as a signed 64-bit integer. No hashes: 0."""
-    if not hashes:
+    if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)
     values = np.array(hashes, dtype="<u8")
@@ -70,7 +71,7 @@ def fingerprints(docs: DataFrame, *, words: int = 4, lanes: int = 1, seed: int =
     return map_arrow(docs.select("doc_id", "text", "digest"), make, "doc_id long, digest long, " + ", ".join(f"{f} long" for f in _lanes(lanes)))
 
 
-def minima(hashes: list[int], n: int, seed: int) -> np.ndarray:
+def minima(hashes: list[int] | np.ndarray, n: int, seed: int) -> np.ndarray:
     """The least of the hashes under each of ``n`` permutations; no hashes: the largest number each time."""
     rng = np.random.default_rng(seed)
     factors, shifts = rng.integers(0, 1 << 64, (2, n), np.uint64)
@@ -104,6 +105,40 @@ def sketches(docs: DataFrame, *, words: int, lanes: int, bands: int, seed: int =
     return map_arrow(docs.select("doc_id", "text", "digest"), make, "doc_id long, digest long, " + ", ".join(f"{f} long" for f in _lanes(lanes)) + ", keys array<long>")
 
 
+def mixed(values: np.ndarray, lane: int) -> np.ndarray:
+    """Other 64-bit hashes for each lane; those of lane 0 are the values."""
+    if not lane:
+        return values
+    z = values + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def fingerprints_and_bands(docs: DataFrame, *, words: int, lanes: int, bands: int, rows: int = 7, seed: int = 42) -> DataFrame:
+    """(doc_id, digest, f0, f1 ..., sketch, keys): fingerprints of each text's different shingles, a hash of all its minima, and a key for each of ``bands`` runs of ``rows`` minima.
+
+    As similarity is that of sets, repeats don't count here: a line repeated a thousand times would else be all that a fingerprint shows.
+    """
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            prints, whole, keys = [], [], []
+            for text in batch.column(1).to_pylist():
+                hashes = np.unique(np.array(shingle_hashes(text, words, seed), np.uint64))
+                prints.append([fingerprint(mixed(hashes, lane)) for lane in range(lanes)])
+                least = minima(hashes, bands * rows, seed)
+                whole.append(xxhash.xxh64_intdigest(least.tobytes()))
+                keys.append([xxhash.xxh64_intdigest(least[b * rows : (b + 1) * rows].tobytes(), b) for b in range(bands)])
+            columns = [pa.array([p[i] for p in prints], pa.int64()) for i in range(lanes)]
+            keys = pa.array(np.array(keys, np.uint64).reshape(-1, bands).view(np.int64).tolist(), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns, pa.array(np.array(whole, np.uint64).view(np.int64)), keys], names=["doc_id", "digest", *_lanes(lanes), "sketch", "keys"])
+
+        return each
+
+    return map_arrow(docs.select("doc_id", "text", "digest"), make, "doc_id long, digest long, " + ", ".join(f"{f} long" for f in _lanes(lanes)) + ", sketch long, keys array<long>")
+
+
 def block_keys(lanes: int, blocks: int, agree: int) -> Column:
     """An array of longs, one for each choice of ``agree`` blocks: its number and the bits of the blocks."""
     each = blocks // lanes
@@ -177,7 +212,7 @@ def _lanes(lanes: int) -> list[str]:
 
 
 def components(
-    docs: DataFrame, *, words: int = 4, max_bits: int = 4, blocks: int = 7, agree: int = 3, lanes: int = 1, seed: int = 42, min_jaccard: float | None = None, hot_block: int | None = None, bands: int | None = None
+    docs: DataFrame, *, words: int = 4, max_bits: int = 4, blocks: int = 7, agree: int = 3, lanes: int = 1, seed: int = 42, min_jaccard: float | None = None, hot_block: int | None = None, bands: int | None = None, more_bands: int | None = None
 ) -> DataFrame:
     """(doc_id, f0 ..., component_id) for every row of ``docs`` (doc_id, text).
 
@@ -185,29 +220,34 @@ def components(
     ``min_jaccard`` a link must also have that Jaccard similarity of its word shingles; the blocks are then a
     search with a recall below 1, since similar texts may differ in any number of bits. Without it the links are
     exactly those of at most ``max_bits`` bits. With ``bands`` as well the search is by MinHash, of ``64 * lanes // bands``
-    minima a band (``blocks`` and ``agree`` are not used). Blocks of more than ``hot_block`` members (16384, or 64 for
+    minima a band (``blocks`` and ``agree`` are not used); with ``more_bands`` it is by the blocks and as many bands of seven minima, and the
+    fingerprints are those of sets. Blocks of more than ``hot_block`` members (16384, or 64 for
     similarities) are searched by another path, with the same links.
 
     A null, empty or blank text has fingerprint 0 and is linked like any other. Rows with a null doc_id get a
     fingerprint and never name a component (null only if no other row is in it). Rows with the same doc_id stay
     separate rows. An empty table gives no rows. Columns besides doc_id and text are not read.
     """
-    found = _grouped(docs, words, max_bits, blocks, agree, lanes, seed, min_jaccard, hot_block, bands)
+    found = _grouped(docs, words, max_bits, blocks, agree, lanes, seed, min_jaccard, hot_block, bands, more_bands)
     return found.select("doc_id", *_lanes(lanes), F.col("component.doc_id").alias("component_id"))
 
 
-def _grouped(docs: DataFrame, words: int, max_bits: int, blocks: int, agree: int, lanes: int, seed: int, min_jaccard: float | None, hot_block: int | None, bands: int | None) -> DataFrame:
+def _grouped(docs: DataFrame, words: int, max_bits: int, blocks: int, agree: int, lanes: int, seed: int, min_jaccard: float | None, hot_block: int | None, bands: int | None, more_bands: int | None) -> DataFrame:
     """(doc_id, digest, f0 ..., component): a row of ``docs`` is known by its doc_id and its text's digest; ``component`` is the least such pair, null ids last."""
-    if bands is not None and min_jaccard is None:
+    if (bands is not None or more_bands is not None) and min_jaccard is None:
         raise ValueError("bands are a search for a Jaccard similarity")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("digest", F.xxhash64("text"))
-    prints = saved(fingerprints(rows, words=words, lanes=lanes, seed=seed) if bands is None else sketches(rows, words=words, lanes=lanes, bands=bands, seed=seed))
-    prints = prints.withColumn("node", F.col("f0") if lanes == 1 else F.xxhash64(*_lanes(lanes)))
+    if more_bands is not None:
+        prints = saved(fingerprints_and_bands(rows, words=words, lanes=lanes, bands=more_bands, seed=seed)).withColumn("node", F.xxhash64(*_lanes(lanes), "sketch"))
+    else:
+        prints = saved(fingerprints(rows, words=words, lanes=lanes, seed=seed) if bands is None else sketches(rows, words=words, lanes=lanes, bands=bands, seed=seed))
+        prints = prints.withColumn("node", F.col("f0") if lanes == 1 else F.xxhash64(*_lanes(lanes)))
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
-    least_keys = [] if bands is None else [F.min("keys").alias("keys")]
+    least_keys = [] if bands is None and more_bands is None else [F.min("keys").alias("keys")]
     distinct = saved(prints.groupBy("node", *_lanes(lanes)).agg(F.min(row).alias("first"), *least_keys))
     nodes = distinct.select("node", *_lanes(lanes))
-    keys = block_keys(lanes, blocks, agree) if bands is None else F.col("keys")
+    keys = F.col("keys") if bands is not None else block_keys(lanes, blocks, agree)
+    keys = keys if more_bands is None else F.concat(keys, "keys")
     grouped = _busy(distinct.select("node", F.explode(keys).alias("key")))
     sets = None if min_jaccard is None else shingle_sets(rows, distinct.join(grouped.select("node").distinct(), "node", "left_semi"), words)
 
@@ -237,7 +277,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     A row with a null doc_id stays only if its component has no other row that is named. Texts that are no near-duplicates
     all stay, though they share a doc_id. Of wholly repeated rows one stays. An empty table gives no rows. Options: see ``components``.
     """
-    options = {"words": 4, "max_bits": 4, "blocks": 7, "agree": 3, "lanes": 1, "seed": 42, "min_jaccard": None, "hot_block": None, "bands": None} | options
+    options = {"words": 4, "max_bits": 4, "blocks": 7, "agree": 3, "lanes": 1, "seed": 42, "min_jaccard": None, "hot_block": None, "bands": None, "more_bands": None} | options
     first = saved(_grouped(docs, **options).where("doc_id <=> component.doc_id and digest = component.digest").select("doc_id", "digest"))
     same = F.col("doc.doc_id").cast("long").eqNullSafe(F.col("first.doc_id")) & (F.xxhash64(F.col("doc.text").cast("string")) == F.col("first.digest"))
     kept = docs.alias("doc").join(first.distinct().alias("first"), same, "left_semi")
