@@ -304,9 +304,10 @@ def fair_order(df: DataFrame, shares: Mapping[str, int], limit: int) -> DataFram
 
 
 def diverse_examples(df: DataFrame, group: str, signature: str, order: Sequence[Column | str], n: int = 12) -> DataFrame:
-    """``n`` rows of each group: the first of each signature before any second one."""
+    """``n`` rows of each group: the first of each signature before any second one. A signature's first ``n`` are all that can be among them, so no
+    more of a busy group comes together."""
     inner = F.row_number().over(Window.partitionBy(group, signature).orderBy(*order))
-    return df.withColumn("turn", inner).withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy("turn", *order))).where(F.col("place") <= n).drop("turn")
+    return df.withColumn("turn", inner).where(F.col("turn") <= n).withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy("turn", *order))).where(F.col("place") <= n).drop("turn")
 
 
 def day_sample(df: DataFrame, day: str, n: int, key: str) -> DataFrame:
