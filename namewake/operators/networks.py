@@ -18,16 +18,16 @@ def linked(sites: DataFrame, links: DataFrame) -> DataFrame:
     """(site, operator): ``sites`` (site) that share a key of ``links`` (site, key), directly or over others, named by the smallest of them.
 
     Sites and keys form a bipartite graph; the smallest site is passed over keys, pre-aggregated, until nothing changes. A key that all sites have is
-    a hub like any other. Null keys link nothing.
+    a hub like any other. Null keys link nothing. Tables of a round are merged by sorting, so that none of them passes through the driver.
     """
     edges = stored(links.where("key is not null").select("site", "key").distinct())
     labels = stored(sites.select("site").distinct().withColumn("operator", F.col("site")))
     while True:
-        by_key = edges.join(labels, "site").groupBy("key").agg(F.min("operator").alias("least"))
-        by_site = edges.join(by_key, "key").groupBy("site").agg(F.min("least").alias("least"))
-        step = labels.join(by_site, "site", "left").select("site", F.col("operator").alias("old"), F.least("operator", F.coalesce("least", "operator")).alias("operator"))
+        by_key = edges.join(labels.hint("merge"), "site").groupBy("key").agg(F.min("operator").alias("least"))
+        by_site = edges.join(by_key.hint("merge"), "key").groupBy("site").agg(F.min("least").alias("least"))
+        step = labels.join(by_site.hint("merge"), "site", "left").select("site", F.col("operator").alias("old"), F.least("operator", F.coalesce("least", "operator")).alias("operator"))
         root = labels.select(F.col("site").alias("operator"), F.col("operator").alias("root"))
-        new = stored(step.join(root, "operator", "left").select("site", "old", F.least("operator", F.coalesce("root", "operator")).alias("operator")))
+        new = stored(step.join(root.hint("merge"), "operator", "left").select("site", "old", F.least("operator", F.coalesce("root", "operator")).alias("operator")))
         labels = new.select("site", "operator")
         if new.where("operator <> old").isEmpty():
             return labels

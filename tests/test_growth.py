@@ -12,3 +12,19 @@ def test_diverse_examples_limit_each_signature_first(spark):
     found = listings.diverse_examples(rows, "label", "zone", ["id"], n=12)
     assert found._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") > 2  # of signatures as well as of groups
     assert [r.id for r in found.where("label = 'busy0'").orderBy("place").collect()] == list(range(0, 24, 2))
+
+
+def test_linked_sends_no_table_through_the_driver(spark, monkeypatch):
+    from namewake.operators import networks
+
+    plans, kept = [], networks.stored
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df)
+
+    monkeypatch.setattr(networks, "stored", watched)
+    links = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (3, "b"), (4, None)], "site long, key string")
+    got = {r.site: r.operator for r in networks.linked(links.select("site"), links).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
