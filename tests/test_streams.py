@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from namewake.streaming import events, machines, reimport
-from namewake.streaming.ordered import run_ordered
+from namewake.streaming.ordered import Ordered, run_ordered
 
 START = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 SCHEMA = "event_id long, ts timestamp, label string, fact string, detail string"
@@ -177,3 +177,50 @@ def test_a_busy_key_meets_itself_once_a_day(spark, tmp_path, files):
     stream = as_stream(spark, tmp_path, rows, files)
     found = events.drain(events.earlier_days(stream.where("fact = 'gone'"), stream.where("fact = 'seen'"), late="9 days"))
     assert sorted((str(r.day), str(r.late_day)) for r in found.collect()) == [("2024-01-11", "2024-01-09"), ("2024-01-11", "2024-01-10")]
+
+
+class Kept:
+    """A value or a map in state, without Spark."""
+
+    def __init__(self):
+        self.all = {}
+
+    exists = lambda self: () in self.all
+    get = lambda self: self.all[()]
+    update = lambda self, value: self.all.update({(): value})
+    keys = lambda self: iter(list(self.all))
+    getValue = lambda self, at: self.all[at]
+    updateValue = lambda self, at, value: self.all.update({at: value})
+    removeKey = lambda self, at: self.all.pop(at)
+
+
+def test_a_busy_key_is_never_held_whole(monkeypatch):
+    """What waits of a key is stored and read in pieces, and what it writes leaves the worker before the rest is read."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    seen = []
+
+    class Watched(machines.ErrorShare):
+        def row(self, held, due, ms, fact, detail):
+            seen.append(ms)
+            return super().row(held, due, ms, fact, detail)
+
+    monkeypatch.setattr(Ordered, "run", 1000)
+    monkeypatch.setattr(Ordered, "piece", 100)
+    waiting, held, timers = Kept(), Kept(), []
+    handle = SimpleNamespace(getMapState=lambda *_: waiting, getValueState=lambda *_: held, registerTimer=timers.append, deleteTimer=timers.remove)
+    job = Ordered(Watched(10), "zone")
+    job.init(handle)
+    rng = random.Random(1)
+    times = [rng.randrange(10_000) for _ in range(5000)]
+    frames = (pd.DataFrame({"us": [1000 * t for t in times[i : i + 250]], "id": [str(j) for j in range(i, i + 250)], "fact": "error", "detail": None}) for i in range(0, 5000, 250))
+    assert not list(job.handleInputRows(("com",), frames, None)) and timers == [min(times)]
+    assert len(waiting.all) == 50 and max(len(v[0]) for v in waiting.all.values()) == 100
+    written = job.handleExpiredTimer(("com",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 6000), None)
+    first = next(written)
+    assert len(first) == len(seen) == 100
+    out = pd.concat([first, *written])
+    assert list(zip(out["us"], out["id"], strict=True)) == sorted((1000 * t, i) for i, t in enumerate(times) if t < 6000)
+    assert sum(len(v[0]) for v in waiting.all.values()) == sum(t >= 6000 for t in times) and timers[-1] == min(t for t in times if t >= 6000)
