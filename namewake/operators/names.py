@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -116,21 +117,44 @@ def mine_fragments(labels: DataFrame, *, least: int = 4, shortest: int = 4, long
     return every.join(above, "fragment", "left").where(F.col("above").isNull() | (F.col("above") < nested * F.col("support"))).select("fragment", "support", "contexts")
 
 
+def first_terms(phrases: Sequence[str], stop: frozenset[str], most: Sequence[int]) -> list[tuple[int, str, int, int]]:
+    """(words, term, phrase, place in it) of a text's first distinct words and word pairs, at most ``most`` of each; what follows them is not looked at."""
+    found: tuple[dict, dict] = {}, {}
+    for p, phrase in enumerate(phrases):
+        last = None
+        for i, word in enumerate(filter(None, phrase.split(" "))):
+            word_or_none = word if len(word) >= 3 and word not in stop else None
+            for terms, limit, term, at in ((found[0], most[0], word_or_none, i), (found[1], most[1], last and word_or_none and f"{last} {word}", i - 1)):
+                if term and len(terms) < limit:
+                    terms.setdefault(term, (p, at))
+            last = word_or_none
+        if all(len(terms) >= limit for terms, limit in zip(found, most, strict=True)):
+            break
+    return [(n, term, *at) for n, terms in enumerate(found, 1) for term, at in terms.items()]
+
+
 def text_terms(pages: DataFrame, stop: Sequence[str], *, key: str, unigrams: int = 60, bigrams: int = 40) -> DataFrame:
-    """(key, term, place): the first distinct words and word pairs of a text, in order; pairs don't reach over stop words or punctuation."""
+    """(key, term, place, words): the first distinct words and word pairs of a text, in order; pairs don't reach over stop words or punctuation.
+
+    A text is cut to its first terms before anything is shuffled; rows of one key are one text, and its first terms are among those of its rows.
+    """
+    stops, most, kind = frozenset(stop), (unigrams, bigrams), dict(pages.dtypes)[key]
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):  # what a task holds as Python objects
+                part = batch.slice(at, 256)
+                found = [(row, *term) for row, phrases in enumerate(part.column(1).to_pylist()) for term in first_terms(phrases, stops, most)]
+                rows, *columns = zip(*found, strict=True) if found else [()] * 5
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), *map(pa.array, columns, types)], names=[key, "words", "term", "p", "i"])
+
+    types = [pa.int32(), pa.string(), pa.int32(), pa.int32()]
     phrases = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}' ]+"), lambda p: F.trim(p) != "")
-    rows = pages.select(key, F.posexplode(phrases).alias("p", "phrase")).select(key, "p", F.posexplode(F.split(F.trim("phrase"), " +")).alias("i", "w"))
-    fine = ~F.col("w").isin(*stop) & (F.length("w") >= 3)
-    order = Window.partitionBy(key, "p").orderBy("i")
-    marked = rows.withColumn("next", F.lead("w").over(order)).withColumn("fine", fine)
-    pair = F.when(F.col("fine") & ~F.col("next").isin(*stop) & (F.length("next") >= 3), F.concat_ws(" ", "w", "next"))
-
-    def first(term: Column, size: int, limit: int) -> DataFrame:
-        once = marked.select(key, "p", "i", term.alias("term")).where("term is not null").groupBy(key, "term").agg(F.min(F.struct("p", "i")).alias("at"))
-        place = F.row_number().over(Window.partitionBy(key).orderBy("at"))
-        return once.select(key, "term", place.alias("place"), F.lit(size).alias("words")).where(F.col("place") <= limit)
-
-    return first(F.when(F.col("fine"), F.col("w")), 1, unigrams).union(first(pair, 2, bigrams))
+    cut = pages.where("text is not null").select(key, phrases).mapInArrow(first, f"{key} {kind}, words int, term string, p int, i int")
+    once = cut.repartition(key).groupBy(key, "words", "term").agg(F.min(F.struct("p", "i")).alias("at"))
+    place = F.row_number().over(Window.partitionBy(key, "words").orderBy("at"))
+    limit = F.when(F.col("words") == 1, unigrams).otherwise(bigrams)
+    return once.select(key, "term", place.alias("place"), "words").where(F.col("place") <= limit)
 
 
 # Scripts, as regular expressions name them, that tell a language.

@@ -28,3 +28,16 @@ def test_linked_sends_no_table_through_the_driver(spark, monkeypatch):
     got = {r.site: r.operator for r in networks.linked(links.select("site"), links).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4}
     assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
+
+
+def test_text_terms_cuts_a_text_before_it_is_shuffled(spark):
+    from namewake.operators import names
+
+    long = " ".join(f"w{i:04d}" for i in range(3000))
+    texts = [(1, f"{long}. {long}"), (2, "The red fox' tail,  the fox' tail; red fox' tail to"), (3, None), (4, "red  sun"), (4, "sky, red moon"), (5, " .,")]
+    found = names.text_terms(spark.createDataFrame(texts, "id long, text string"), ["the"], key="id", unigrams=3, bigrams=2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") < plan.index("MapInArrow")  # the plan is printed from its end
+    got = sorted((r.id, r.words, r.place, r.term) for r in found.where("id <> 4").collect())
+    assert got == [(1, 1, 1, "w0000"), (1, 1, 2, "w0001"), (1, 1, 3, "w0002"), (1, 2, 1, "w0000 w0001"), (1, 2, 2, "w0001 w0002"), (2, 1, 1, "red"), (2, 1, 2, "fox'"), (2, 1, 3, "tail"), (2, 2, 1, "red fox'"), (2, 2, 2, "fox' tail")]
+    assert {r.term for r in found.where("id = 4 AND words = 1").collect()} >= {"red", "sky", "sun"}
