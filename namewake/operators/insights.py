@@ -151,8 +151,9 @@ def insight_cards(adds: DataFrame, segments: DataFrame, words: DataFrame, day: C
     counts = used.groupBy("word").agg(F.count_distinct("label").alias("labels"), F.count("*").alias("names"))
     weight = F.col("names") * F.least(F.lit(1.0), F.pow(F.length("word") / 6, F.lit(2)))
     counts = counts.orderBy(F.desc(F.round(weight, 9)), "word").limit(top)
-    texts = now.select("label").distinct().select("label", F.explode(F.sequence(F.lit(1), F.length("label"))).alias("at"))
-    texts = texts.select("label", F.explode(F.transform(F.sequence(F.lit(3), F.greatest(F.lit(3), F.least(F.lit(18), F.length("label") - F.col("at") + 1))), lambda n: F.substring("label", F.col("at"), n))).alias("word")).distinct()
+    inside = lambda at: F.transform(F.sequence(F.lit(3), F.greatest(F.lit(3), F.least(F.lit(18), F.length("label") - at + 1))), lambda n: F.substring("label", at, n))
+    runs = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("label")), inside)))  # a label is one row, so no pair comes twice
+    texts = now.select("label").distinct().select(F.explode(runs).alias("word"))
     raw = texts.join(entries, "word").groupBy("word").agg(F.count("*").alias("raw"))
     kept = saved(counts.join(raw, "word", "left").where((F.col("labels") >= least) & (F.col("labels") >= aligned_share * F.coalesce("raw", "labels"))).drop("raw"))
     spans = kept.select("word", "labels", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at"))

@@ -41,3 +41,24 @@ def test_text_terms_cuts_a_text_before_it_is_shuffled(spark):
     got = sorted((r.id, r.words, r.place, r.term) for r in found.where("id <> 4").collect())
     assert got == [(1, 1, 1, "w0000"), (1, 1, 2, "w0001"), (1, 1, 3, "w0002"), (1, 2, 1, "w0000 w0001"), (1, 2, 2, "w0001 w0002"), (2, 1, 1, "red"), (2, 1, 2, "fox'"), (2, 1, 3, "tail"), (2, 2, 1, "red fox'"), (2, 2, 2, "fox' tail")]
     assert {r.term for r in found.where("id = 4 AND words = 1").collect()} >= {"red", "sky", "sun"}
+
+
+def test_insight_cards_look_words_up_before_they_gather_them(spark, monkeypatch):
+    import re
+
+    from namewake.operators import insights
+
+    plans, kept = [], insights.saved
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df)
+
+    monkeypatch.setattr(insights, "saved", watched)
+    names = [(label, zone, 1) for label in ("redredsun", "redmoon", "redsun", "sunred") for zone in ("com", "io")]
+    adds = spark.createDataFrame(names, "label string, zone string, n int").withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), "n"))
+    pieces = spark.createDataFrame([("redredsun", ["red", "red", "sun"]), ("redmoon", ["red", "moon"]), ("redsun", ["red", "sun"]), ("sunred", ["sun", "red"])], "label string, pieces array<string>")
+    words = spark.createDataFrame([("red",), ("sun",), ("moon",)], "entry string")
+    got = insights.insight_cards(adds, pieces, words, F.lit("2024-01-02").cast("date")).collect()
+    assert sorted((r.word, r.labels, r.names) for r in got) == [("red", 4, 8), ("sun", 3, 6)]
+    assert any("raw" in p for p in plans) and not any(re.search(r"keys=\[label#\d+, word#\d+\]", p) for p in plans)  # every run of letters of every label
