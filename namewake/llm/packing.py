@@ -65,10 +65,11 @@ class WordIds(dict):
     def __missing__(self, word: bytes) -> bytes:
         packed = self.older.get(word)
         if packed is None:
-            if word[-1:] in b",.;:!?" and word[-2:-1].isalpha():
-                return self[word[:-1]] + self[word[-1:]]
-            ids = self.merged(word) if self.direct and self.is_plain(word) else self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-            packed = np.array(ids, dtype="<u4").tobytes()
+            if word[-1:] in b",.;:!?" and (word[-2:-1].isalpha() or len(word) > 1 and self.is_plain(word[:-1])):
+                packed = self[word[:-1]] + self[word[-1:]]
+            else:
+                ids = self.merged(word) if self.direct and self.is_plain(word) else self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+                packed = np.array(ids, dtype="<u4").tobytes()
         self[word] = packed
         return packed
 

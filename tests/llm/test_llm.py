@@ -659,3 +659,15 @@ def test_pipeline(spark, sf, docs):
     assert pieces.doc_id.nunique() <= len(docs) and pieces.doc_id.nunique() > 0.7 * len(docs)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, spark.read.parquet(f"{sf}/documents.parquet").limit(0), sf).count() == 0, name
+
+
+def test_words_with_a_mark_are_words_and_a_mark():
+    """Also after a letter beyond ASCII, and once for each such word; a text's ids stay those of the library."""
+    from types import SimpleNamespace
+
+    words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"), 1000)
+    library, asked = words.tokenizer, []
+    words.tokenizer = SimpleNamespace(encode=lambda text, **options: asked.append(text) or library.encode(text, **options))
+    text = "Canción, cañó. aé! thing; thing; ßx: Été. é. é.. ʰ. é́. á. か。 か. İ. Σ."
+    assert np.frombuffer(words.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert not {"canción,", "cañó.", "aé!", "é."} & set(asked) and b"thing;" in words
