@@ -21,6 +21,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,7 @@ from .common import map_arrow, saved
 
 WORD = re.compile(r"[^\W_]+")
 CELL = 16  # words; a window is two neighbouring cells
+BLOCK = 64  # terms whose rows of a matrix go together
 
 
 def words_of(text: str | None) -> list[str]:
@@ -60,7 +62,10 @@ def best_stretch(item: list[str], words: list[str]) -> tuple[float, list[str]]:
 
 
 def gram_product(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
-    """Sum of a^T (a basis) over the sparse rows (terms, weights): each partition sums its own rows first."""
+    """Sum of a^T (a basis) over the sparse rows (terms, weights): each partition sums its own rows, then the partitions are added for each ``BLOCK`` of terms.
+
+    The driver gets the total only, in rows of one block and about a megabyte at a time, however many partitions there are.
+    """
     shape = basis.shape
 
     def run(batches):
@@ -69,10 +74,21 @@ def gram_product(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
             for terms, weights in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 weights = np.array(weights)
                 total[terms] += np.outer(weights, weights @ basis[terms])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+        place = TaskContext.get().partitionId()
+        for low in range(0, len(total), BLOCK):
+            if (part := total[low : low + BLOCK]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([low], pa.int32()), pa.array([place], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["low", "place", "part"])
+
+    def added(block: pa.Table) -> pa.Table:
+        parts = sorted(zip(block["place"].to_pylist(), block["part"].to_pylist(), strict=True))  # always in the same order, as rounding depends on it
+        total = sum(np.frombuffer(part) for _, part in parts)
+        return pa.table({"low": block["low"][:1], "part": pa.array([total.tobytes()], pa.binary())})
 
-    parts = rows.mapInArrow(run, "part binary").toLocalIterator()
-    return sum((np.frombuffer(r.part).reshape(shape) for r in parts), np.zeros(shape))
+    sums = rows.mapInArrow(run, "low int, place int, part binary").groupBy("low").applyInArrow(added, "low int, part binary")
+    product = np.zeros(shape)
+    for r in sums.coalesce(max(1, product.nbytes >> 20)).toLocalIterator():
+        product[r.low : r.low + BLOCK] = np.frombuffer(r.part).reshape(-1, shape[1])
+    return product
 
 
 def latent_basis(rows: DataFrame, terms: int, rank: int, *, extra: int = 16, rounds: int = 2, seed: int = 5) -> np.ndarray:
@@ -150,6 +166,7 @@ class Finder:
         targets = np.stack([w @ self.space.basis[t] for t, w in rows]) if rows else np.zeros((0, self.space.basis.shape[1]))
         self.targets = (targets / np.maximum(np.linalg.norm(targets, axis=1, keepdims=True), 1e-12)).T.astype(np.float32)
         self.term_rows = (self.space.basis * self.space.idf[:, None]).astype(np.float32)
+        self.space = Space(self.space.vocabulary, self.space.idf, self.space.basis[:, :0])  # tasks need the scaled rows only
 
     def possible(self, words: list[str]) -> list[int]:
         """The items of which enough answer words stand somewhere in the text; no other can pass the answer check."""
