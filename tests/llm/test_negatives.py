@@ -62,3 +62,42 @@ def test_empty_and_without_anchors(spark):
 def test_slots_are_the_last_limits_not_below():
     limits = np.array([90, 50, 20])
     assert negatives.slot_of(np.array([90, 89, 51, 50, 21, 20, 3]), limits).tolist() == [0, 0, 0, 1, 1, 2, 2]
+
+
+def test_shards_meet_blocks_without_a_shuffle(spark, monkeypatch):
+    plans, kept = [], negatives.saved
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df)
+
+    monkeypatch.setattr(negatives, "saved", watched)
+    rows = [(i, i % 3, [i % 7 - 3, i % 5 - 2, i % 11 - 4]) for i in range(400)]
+    got = negatives.mine(frame(spark, rows), F.col("vec_id") % 100 == 0, shard_rows=16, block_anchors=2)
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    scan = "Scan ExistingRDD"  # a plan is printed from its end: what the scoring steps read, up to their second table
+    read = [scan.join(x.split(scan)[:2]) for p in plans for x in p.split("MapInArrow")[1:] if x.count(scan) >= 2]
+    assert len(read) == 2 and all("CartesianProduct" in x for x in read) and not any("Exchange" in x or "Broadcast" in x for x in read)
+    assert sorted(map(tuple, got.collect())) == brute(rows)
+
+
+def test_anchors_in_several_parts_of_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(negatives, "HELD", 160)
+    rng = np.random.default_rng(9)
+    rows = [(i, int(rng.integers(3)), rng.integers(-9, 9, 4).tolist()) for i in range(900)]
+    got = negatives.mine(frame(spark, rows).repartition(5), F.col("vec_id") % 100 == 0, shard_rows=32, block_anchors=2)
+    assert sorted(map(tuple, got.collect())) == brute(rows)
+
+
+@pytest.mark.parametrize("power", [12, 25])
+def test_products_beyond_the_exact_floats(spark, power):
+    rng = np.random.default_rng(10)
+    rows = [(i, int(rng.integers(3)), (rng.integers(-4, 5, 6) * 2**power + (i % 3 if power < 20 else 0)).tolist()) for i in range(300)]
+    got = negatives.mine(frame(spark, rows), F.col("vec_id") % 100 == 0, shard_rows=64)
+    assert sorted(map(tuple, got.collect())) == brute(rows)
+
+
+def test_narrow_keeps_the_numbers():
+    for top, kind in ((2**15 - 1, np.int16), (2**15, np.int32), (-(2**31), np.int32), (2**31, np.int64)):
+        found = negatives.narrow(np.array([top, 0]))
+        assert found.dtype == kind and found.tolist() == [top, 0]
