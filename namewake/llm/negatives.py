@@ -7,10 +7,10 @@ holds are the first ``k`` of its own slot and all lower ones: a suffix of the sl
 window's lower limit.
 
 Scores are computed twice, by shards of the rows and blocks of the anchors: for the positives, then, with the limits they
-give, for the slots. Every shard meets every block by reading the two saved tables part by part, so what is compared is
-shuffled no more often than it is read; a task takes one pair at a time and carries, from shard to shard, the best rows of
-the anchors of its part. So neither side has to fit anywhere as a whole, no label is gathered, and a task's result is as
-large as its anchors, whatever it compares them with.
+give, for the slots. The two saved tables are read against each other part by part: neither is shuffled or broadcast for it.
+A task takes one pair of a shard and a block at a time and carries, from shard to shard, the best rows of the anchors of its
+part. So neither side has to fit anywhere as a whole, no label is gathered, and a task's result is as large as its anchors,
+whatever they are compared with.
 """
 
 from __future__ import annotations
